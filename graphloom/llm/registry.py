@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, huffman_ids, pieces, quality, secrets, urls
+from . import decontaminate, huffman_ids, ngram_join, pieces, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op3_url_filter": urls.op3_url_filter,
     "op4_pieces": pieces.op4_pieces,
     "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_huffman_ids": huffman_ids.op9_huffman_ids,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLE_SQL = {
     "op3_url_filter": urls.SQL,
     "op6_quality": quality.SQL,
+    "op8_ngram_join": ngram_join.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
