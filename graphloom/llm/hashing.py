@@ -8,7 +8,7 @@ import numpy as np
 
 _LETTER = np.random.default_rng(20240229).integers(0, 1 << 63, (2, 256), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3)
-_SIZE = 1 << 20
+_SIZE = 1 << 18
 
 
 @cache

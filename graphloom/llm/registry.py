@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, huffman_ids, ngram_join, pieces, quality, secrets, toxicity, urls
+from . import decontaminate, huffman_ids, ngram_join, pieces, quality, secrets, toxicity, urls, word_dedup
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op3_url_filter": urls.op3_url_filter,
     "op4_pieces": pieces.op4_pieces,
+    "op5_word_dedup": word_dedup.op5_word_dedup,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_ngram_join": ngram_join.op8_ngram_join,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_url_filter": urls.SQL,
+    "op5_word_dedup": word_dedup.SQL,
     "op6_quality": quality.SQL,
     "op8_ngram_join": ngram_join.SQL,
     "op10_decontaminate": decontaminate.SQL,
