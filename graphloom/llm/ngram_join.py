@@ -103,7 +103,7 @@ def _group_rows(task: int, group: list[tuple], buckets: int) -> Iterator[pa.Reco
     docs = np.repeat(np.arange(len(group), dtype=np.uint32), [len(g[2]) for g in group])
     bucket, tokens, docs, seen = combined(tokens, docs, len(group), buckets)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    last = np.append(first[1:], len(bucket))
+    last = np.append(first[1:], len(bucket))[: len(first)]
     b = bucket[first]
     yield pa.record_batch([pa.array(b, pa.int32()), pa.array(np.full(len(b), task), pa.int64()), pa.array([tokens[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()), pa.array([docs[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()), *(pa.nulls(len(b), pa.int64()),) * 6], _SCHEMA)
     k = len(group)
@@ -182,7 +182,7 @@ def _tokens_dealt(buckets: int):
             order = np.argsort(bucket, kind="stable")
             token, rep, bucket = token[order], rep[order], bucket[order]
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            last = np.append(first[1:], len(bucket))
+            last = np.append(first[1:], len(bucket))[: len(first)]
             return pa.record_batch({"bucket": pa.array(bucket[first], pa.int32()), "tokens": pa.array([token[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()), "reps": pa.array([rep[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary())})
 
         held, reps, size = [], [], 0
@@ -215,7 +215,7 @@ def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     many = many[np.argsort(rep[many], kind="stable")]
     token, rep, count = token[many], rep[many], count[many]
     first = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1]))) if len(rep) else np.zeros(0, int)
-    last = np.append(first[1:], len(rep))
+    last = np.append(first[1:], len(rep))[: len(first)]
     yield pa.record_batch({"rep": pa.array(rep[first], pa.int64()), "tokens": pa.array([token[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()), "counts": pa.array([count[i:j].astype("<u4").tobytes() for i, j in zip(first, last, strict=True)], pa.binary())})
 
 

@@ -184,14 +184,15 @@ def encoded_texts(model: Pieces, column: pa.Array) -> Iterator[tuple[str, tuple[
 
 
 def _full(model_file: str):
-    kind = pa.struct([("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("decoded", pa.string())])
-
     def encoded(column: pa.Array) -> pa.Array:
-        model, rows = loaded(model_file), []
+        model, parts, backs = loaded(model_file), [], []
         for text, (ids, _, decoded) in encoded_texts(model, column):
-            start, end = model.spans(text, ids)
-            rows.append({"ids": ids.astype(np.int32), "starts": start.astype(np.int32), "ends": end.astype(np.int32), "decoded": decoded})
-        return pa.array(rows, kind)
+            parts.append((ids.astype(np.int32), *(x.astype(np.int32) for x in model.spans(text, ids))))
+            backs.append(decoded)
+        offsets = pa.array(np.concatenate(([0], np.cumsum([len(p[0]) for p in parts]))), pa.int32())
+        flat = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int32) for k in range(3)]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in flat]
+        return pa.StructArray.from_arrays([*lists, pa.array(backs, pa.string())], ["ids", "starts", "ends", "decoded"])
 
     return encoded
 

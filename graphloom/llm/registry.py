@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, huffman_ids, ngram_join, pieces, quality, secrets, toxicity, urls, word_dedup
+from . import byte_dedup, decontaminate, huffman_ids, ngram_join, pieces, quality, secrets, toxicity, urls, word_dedup
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_byte_dedup": byte_dedup.op2_byte_dedup,
     "op3_url_filter": urls.op3_url_filter,
     "op4_pieces": pieces.op4_pieces,
     "op5_word_dedup": word_dedup.op5_word_dedup,

@@ -142,7 +142,7 @@ def _strings(ids: list[int], held: list[str], hot: np.ndarray, buckets: int, pac
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     doc, line = words.doc[a], words.line
     who, place = np.array(ids, np.int64)[doc], (a - words.first[doc]).astype("<i4")
-    for i, j in zip(first, np.append(first[1:], len(bucket)), strict=True):
+    for i, j in zip(first, np.append(first[1:], len(bucket))[: len(first)], strict=True):
         packed = b"\n".join([line[x:y] for x, y in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)])
         yield pa.record_batch([pa.array([bucket[i]], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([pack.compress(packed)]), pa.array([n[i:j].astype("<i4").tobytes()]), pa.array([who[i:j].tobytes()]), pa.array([place[i:j].tobytes()])], _SCHEMA)
 
