@@ -16,6 +16,7 @@ bits in one table, in step for all marks of a block.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,7 +34,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK, STRIDE, LONGEST = 1 << 16, 128, 18
 #: Chunks of text that a worker remembers at most, and their length at most; others are tokenised each time.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 48
+REMEMBERED, REMEMBERED_BYTES = 500_000, 40
 
 
 class Tokens:
@@ -44,25 +45,66 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        #: For words of lower-case letters that no normalisation changes: the same model, without the steps that do nothing to them.
+        self.words = None
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])], [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and r"[\p{L}]+" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", ""):
+            self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1], "added_tokens": []}))
         self.seen: dict[bytes, bytes] = {}
         #: Of the last texts, the share of chunks that were not remembered.
         self.missed = 0.0
 
+    def _ids(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {b"": b""}
+        plain, other = [], []
+        for x in chunks:
+            word = x.decode("utf-8", "surrogatepass")
+            (plain if self.words and max(x) <= 0xCB and word.isalpha() and word == word.lower() else other).append((x, word))
+        for lib, part in ((self.words, plain), (self.lib, other)):
+            for k in range(0, len(part), 20_000):
+                some = part[k : k + 20_000]
+                every = [e.ids for e in lib.encode_batch_fast([w for _, w in some], add_special_tokens=False)]
+                flat, at = np.fromiter(chain.from_iterable(every), "<u4").tobytes(), 0
+                for (x, _), ids in zip(some, every, strict=True):
+                    out[x] = flat[at : at + 4 * len(ids)]
+                    at += 4 * len(ids)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         seen = self.seen
         if len(seen) >= REMEMBERED and self.missed > 0.4:  # other words than the remembered ones have become common
             seen.clear()
         cut = [text.encode("utf-8", "surrogatepass").split() for text in texts]
-        missing = list(dict.fromkeys(x for x in chain.from_iterable(cut) if x not in seen))
-        new = {}
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            found = self.lib.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in part], add_special_tokens=False)
-            new.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, found, strict=True))
+        rows = [list(map(seen.get, chunks)) for chunks in cut]
+        missing = list(dict.fromkeys(x for chunks, row in zip(cut, rows, strict=True) if None in row for x, y in zip(chunks, row, strict=True) if y is None))
         self.missed = len(missing) / (sum(map(len, cut)) or 1)
-        seen.update(islice(((x, y) for x, y in new.items() if len(x) <= REMEMBERED_BYTES), max(0, REMEMBERED - len(seen))))
-        return [b"".join([seen[x] if x in seen else new[x] for x in chunks]) for chunks in cut]
+        if missing:
+            whole = [_parted(x) for x in missing]
+            new = self._ids(list(dict.fromkeys(y for pair in whole for y in pair if y and y not in seen)))
+            ids = lambda x: seen[x] if x in seen else new[x]
+            found = {x: ids(y) + ids(z) for x, (y, z) in zip(missing, whole, strict=True)}
+            new.update(found)
+            seen.update(islice(((x, y) for x, y in new.items() if 0 < len(x) <= REMEMBERED_BYTES), max(0, REMEMBERED - len(seen))))
+            rows = [[found[x] if y is None else y for x, y in zip(chunks, row, strict=True)] if None in row else row for chunks, row in zip(cut, rows, strict=True)]
+        return [b"".join(row) for row in rows]
+
+
+_ALNUM, _MARKS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789"), frozenset(b".,;:!?")
+
+
+def _parted(chunk: bytes) -> tuple[bytes, bytes]:
+    """Two chunks that have this one's ids together, the first likely to be known: in lower case, without a last mark.
+
+    The tokeniser lowers letters itself and starts anew between a letter or digit and a mark.  Chunks with
+    characters from U+0300 (marks that compose with letters) or special tokens stay whole.
+    """
+    if max(chunk) > 0xCB or b"<|" in chunk:
+        return chunk, b""
+    low = chunk.lower()
+    return (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in _MARKS and low[-2] in _ALNUM else (low, b"")
 
 
 _loaded: dict[str, Tokens] = {}
