@@ -16,3 +16,91 @@ def byte_dedup(rows, length=200):
         spans = sum(1 for i in range(len(t)) if gone[i] and (not i or not gone[i - 1]))
         out.append((d, len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()))
     return out
+
+
+def word_dedup(rows, window=13):
+    import re
+
+    words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
+    least = {}
+    for d, w in words:
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            least[key] = min(d, least.get(key, d))
+    out = []
+    for d, w in words:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if least[tuple(w[i : i + window])] < d:
+                gone |= set(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def fold(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text):
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", fold(text))
+    n = min(5, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
+def ngram_join(rows):
+    sets = {}
+    for d, t in rows:
+        sets.setdefault(d, shingles(t))
+    group = {d: d for d in sets}
+    ids = sorted(sets)
+    changed = True
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(group[a], group[b])
+            if group[a] != low or group[b] != low:
+                group[a] = group[b] = low
+                changed = True
+    return [(d, len(sets[d]), group[d]) for d, _ in rows]
+
+
+def decontaminate(rows, items, window=13):
+    import re
+
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))
+    wins = {}
+    for name, t in items:
+        w = find(t)
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            wins.setdefault(tuple(w[i : i + n]), set()).add(str(name))
+    out = []
+    for d, t in rows:
+        w = find(t)
+        hit, names = set(), set()
+        for key, who in wins.items():
+            for i in range(len(w) - len(key) + 1):
+                if tuple(w[i : i + len(key)]) == key:
+                    hit |= set(range(i, i + len(key)))
+                    names |= who
+        out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return out
+
+
+def secrets_base(text):
+    import re
+
+    text = text or ""
+    rules = (
+        (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 6),
+        (r"AKIA[A-Z0-9]+", 0, 0, 20),
+        (r"[0-9a-f]+", 0, 0, 24),
+    )
+    out = []
+    for k, (rule, flags, part, least) in enumerate(rules):
+        out += [(m.start(), k, m.end()) for m in re.finditer(rule, text, flags) if len(m.group(part)) >= least]
+    return sorted(out)
