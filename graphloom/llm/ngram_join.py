@@ -85,7 +85,7 @@ def _dealt(buckets: int):
                 size += len(group[-1][2]) + 8
             if size > GATHERED:
                 yield from _group_rows(task, group, buckets)
-                task, group, size = task + (1 << 16), [], 0
+                task, group, size = task + (1 << 20), [], 0
         if group:
             yield from _group_rows(task, group, buckets)
 
@@ -130,40 +130,81 @@ def combined(tokens: np.ndarray, docs: np.ndarray, n_docs: int, buckets: int) ->
     return bucket[order], np.ascontiguousarray(short), docs[order], seen
 
 
-def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document the tokens that another task or document has as well: one row for each task's document, beside the documents' own rows."""
-    keys, who = [], []
+#: A document's own row, and how many of its tokens were met elsewhere.
+OWN = np.dtype([("key", "<i8"), ("doc", "<i8"), ("has", "u1"), ("n", "<i8"), ("f1", "<i8"), ("f2", "<i8"), ("seen", "<i8"), ("least", "<i8")])
+MET = np.dtype([("key", "<i8"), ("count", "<i4")])
+
+
+def _target(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_target(records: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(target, kind="stable")
+    records, target = records[order], target[order]
+    first = np.flatnonzero(np.diff(target, prepend=-1))
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(target)], strict=False):
+        yield int(target[i]), records[i:j].tobytes()
+
+
+def _met(buckets: int):
+    """The documents' own rows, and how many of each one's tokens another task or document has as well, packed by document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, who, owns = [], [], []
+        for batch in batches:
+            own = batch.filter(pa.compute.is_null(batch.column("tokens")))
+            if own.num_rows:
+                rows = np.zeros(own.num_rows, OWN)
+                for name, column in zip(OWN.names, ("task", "doc_id", "", "n", "f1", "f2", "seen", "least"), strict=True):
+                    rows[name] = own.column(column).fill_null(0).to_numpy() if column else own.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                owns.append(rows)
+            for bucket, task, tokens, docs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "task", "tokens", "docs")), strict=True):
+                if tokens is not None:
+                    short = np.zeros((len(docs) // 4, 4), np.uint16)
+                    short[:, :3] = np.frombuffer(tokens, np.uint16).reshape(-1, 3)
+                    keys.append(np.column_stack((short.view(np.uint64).reshape(-1), np.full(len(short), bucket, np.uint64))))
+                    docs = np.frombuffer(docs, np.uint32)
+                    who.append(np.where(docs == MANY, -1, task + docs.astype(np.int64)))
+        met = np.zeros(0, MET)
+        if keys:
+            key, doc = np.concatenate(keys), np.concatenate(who)
+            keys.clear()
+            order = np.lexsort((key[:, 0], key[:, 1]))
+            key, doc = key[order], doc[order]
+            same = (key[1:] == key[:-1]).all(1)
+            twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            found, count = np.unique(doc[twice & (doc >= 0)], return_counts=True)
+            met = np.zeros(len(found), MET)
+            met["key"], met["count"] = found, count
+        own = np.concatenate([np.zeros(0, OWN), *owns])
+        for column, rows in (("own", own), ("met", met)):
+            packed = list(_by_target(rows, _target(rows["key"], buckets)))
+            other = pa.nulls(len(packed), pa.binary())
+            data = pa.array([x for _, x in packed], pa.binary())
+            yield pa.record_batch([pa.array([x for x, _ in packed], pa.int32()), data if column == "own" else other, other if column == "own" else data], ["bucket", "own", "met"])
+
+    return run
+
+
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = {"own": [np.zeros(0, OWN)], "met": [np.zeros(0, MET)]}
     for batch in batches:
-        own = batch.filter(pa.compute.is_null(batch.column("tokens")))
-        if own.num_rows:
-            yield pa.record_batch([own.column(c) for c in ("task", "doc_id", "n", "f1", "f2", "seen", "least")], ["task", "doc_id", "n", "f1", "f2", "seen", "least"])
-        for bucket, task, tokens, docs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "task", "tokens", "docs")), strict=True):
-            if tokens is not None:
-                short = np.zeros((len(docs) // 4, 4), np.uint16)
-                short[:, :3] = np.frombuffer(tokens, np.uint16).reshape(-1, 3)
-                keys.append(np.column_stack((short.view(np.uint64).reshape(-1), np.full(len(short), bucket, np.uint64))))
-                docs = np.frombuffer(docs, np.uint32)
-                who.append(np.where(docs == MANY, -1, task + docs.astype(np.int64)))
-    if not keys:
-        return
-    key, doc = np.concatenate(keys), np.concatenate(who)
-    keys.clear()
-    order = np.lexsort((key[:, 0], key[:, 1]))
-    key, doc = key[order], doc[order]
-    same = (key[1:] == key[:-1]).all(1)
-    twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    found, count = np.unique(doc[twice & (doc >= 0)], return_counts=True)
-    none = pa.nulls(len(found), pa.int64())
-    yield pa.record_batch([pa.array(found), none, none, none, none, pa.array(count, pa.int64()), none], ["task", "doc_id", "n", "f1", "f2", "seen", "least"])
+        for name, kind in (("own", OWN), ("met", MET)):
+            parts[name] += [np.frombuffer(x, kind) for x in batch.column(name).to_pylist() if x is not None]
+    own, met = np.concatenate(parts["own"]), np.concatenate(parts["met"])
+    own = own[np.argsort(own["key"], kind="stable")]
+    total = np.bincount(np.searchsorted(own["key"], met["key"]), met["count"], len(own)).astype(np.int64) + own["seen"]
+    alive = (own["n"] > 0) & (total >= own["least"]) & (own["has"] > 0)
+    yield pa.record_batch([pa.array(own["doc"], mask=own["has"] == 0), *(pa.array(own[c]) for c in ("n", "f1", "f2")), pa.array(alive)], ["doc_id", "n", "f1", "f2", "alive"])
 
 
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles), f1 and f2 (fingerprint of the set) and alive: whether enough of the least hashes occur elsewhere."""
     parts = workers(docs.sparkSession)
     rows = texts(docs).mapInArrow(_dealt(8 * parts), ROWS).repartition(parts, "bucket")
-    rows = rows.mapInArrow(_met, "task long, doc_id long, n long, f1 long, f2 long, seen long, least long")
-    rows = rows.groupBy("task").agg(*(F.max(c).alias(c) for c in ("doc_id", "n", "f1", "f2", "least")), F.sum("seen").alias("seen"), F.count("n").alias("rows"))
-    return rows.filter("rows > 0").select("doc_id", "n", "f1", "f2", ((F.col("n") > 0) & (F.col("seen") >= F.col("least")) & F.col("doc_id").isNotNull()).alias("alive"))
+    rows = rows.mapInArrow(_met(parts), "bucket int, own binary, met binary").repartition(parts, "bucket")
+    return rows.mapInArrow(_summed, "doc_id long, n long, f1 long, f2 long, alive boolean")
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,18 +213,21 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"rep": batch.column("doc_id"), "tokens": pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary())})
 
 
+#: A representative's token with its count among all, and the size of the representative's set.
+COUNTED = np.dtype([("rep", "<i8"), ("count", "<i4"), ("n", "<i4"), ("token", "<u8")])
+
+
 def _tokens_dealt(buckets: int):
-    """The representatives' tokens by bucket, whole, with their representatives."""
+    """The representatives' tokens by bucket, whole, with their representatives and these sets' sizes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            token, rep = np.concatenate(held), np.repeat(reps, [len(h) for h in held])
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            token, rep, bucket = token[order], rep[order], bucket[order]
-            first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            last = np.append(first[1:], len(bucket))[: len(first)]
-            return pa.record_batch({"bucket": pa.array(bucket[first], pa.int32()), "tokens": pa.array([token[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()), "reps": pa.array([rep[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary())})
+            rows = np.zeros(size, COUNTED)
+            rows["token"] = np.concatenate(held)
+            sizes = [len(h) for h in held]
+            rows["rep"], rows["n"] = np.repeat(reps, sizes), np.repeat(sizes, sizes)
+            rows = list(_by_target(rows, (rows["token"] % np.uint64(buckets)).astype(np.int64)))
+            return pa.record_batch({"bucket": pa.array([b for b, _ in rows], pa.int32()), "rows": pa.array([x for _, x in rows], pa.binary())})
 
         held, reps, size = [], [], 0
         for batch in batches:
@@ -191,7 +235,7 @@ def _tokens_dealt(buckets: int):
                 held.append(np.frombuffer(tokens, np.uint64))
                 reps.append(rep)
                 size += len(held[-1])
-                if size > GATHERED:
+                if size > GATHERED // 4:
                     yield out()
                     held, reps, size = [], [], 0
         if size:
@@ -200,39 +244,36 @@ def _tokens_dealt(buckets: int):
     return run
 
 
-def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each representative its tokens that others have too, with their counts."""
-    tokens, reps = [], []
-    for batch in batches:
-        tokens += [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
-        reps += [np.frombuffer(x, np.int64) for x in batch.column("reps").to_pylist()]
-    if not tokens:
-        return
-    token, rep = np.concatenate(tokens), np.concatenate(reps)
-    _, back, count = np.unique(token, return_inverse=True, return_counts=True)
-    count = count[back]
-    many = np.flatnonzero(count > 1)
-    many = many[np.argsort(rep[many], kind="stable")]
-    token, rep, count = token[many], rep[many], count[many]
-    first = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1]))) if len(rep) else np.zeros(0, int)
-    last = np.append(first[1:], len(rep))[: len(first)]
-    yield pa.record_batch({"rep": pa.array(rep[first], pa.int64()), "tokens": pa.array([token[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()), "counts": pa.array([count[i:j].astype("<u4").tobytes() for i, j in zip(first, last, strict=True)], pa.binary())})
+def _gathered(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, COUNTED), *(np.frombuffer(x, COUNTED) for batch in batches for x in batch.column("rows").to_pylist())])
+
+
+def _frequent(buckets: int):
+    """The tokens that several representatives have, with their counts, packed by representative."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _gathered(batches)
+        _, back, count = np.unique(rows["token"], return_inverse=True, return_counts=True)
+        rows["count"] = count[back]
+        rows = rows[rows["count"] > 1]
+        packed = list(_by_target(rows, _target(rows["rep"], buckets)))
+        yield pa.record_batch({"bucket": pa.array([b for b, _ in packed], pa.int32()), "rows": pa.array([x for _, x in packed], pa.binary())})
+
+    return run
 
 
 def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The prefix tokens (rarest first) that others have, of representatives that have enough of those for a partner."""
-    for batch in batches:
-        token, rep = [], []
-        for r, n, parts, counts in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "tokens", "counts")), strict=True):
-            t = np.frombuffer(b"".join(parts), np.uint64)
-            if len(t) < needed(n):
-                continue
-            t = t[np.lexsort((t, np.frombuffer(b"".join(counts), np.uint32)))]
-            t = t[: max(0, n - needed(n) + 1 - (n - len(t)))]  # the n - len(t) rarest ones are in no other set
-            token.append(t)
-            rep.append(np.full(len(t), r, np.int64))
-        if token:
-            yield pa.record_batch({"token": pa.array(np.concatenate(token).view(np.int64)), "rep": pa.array(np.concatenate(rep))})
+    rows = _gathered(batches)
+    rows = rows[np.lexsort((rows["token"], rows["count"], rows["rep"]))]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(rows)), bool), rows["rep"][1:] != rows["rep"][:-1])))
+    taken = []
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=False):
+        n, many = int(rows["n"][i]), j - i
+        if many >= needed(n):  # the n - many rarest ones are in no other set
+            taken.append(rows[i : i + max(0, many - needed(n) + 1)])
+    out = np.concatenate([np.zeros(0, COUNTED), *taken])
+    yield pa.record_batch({"token": pa.array(out["token"].astype(np.uint64).view(np.int64)), "rep": pa.array(out["rep"])})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -361,9 +402,9 @@ def _block_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links a-b that connect all similar sets of rep, n and tokens (sorted 64-bit hashes)."""
     parts = workers(sets.sparkSession)
-    shared = sets.mapInArrow(_tokens_dealt(8 * parts), "bucket int, tokens binary, reps binary").repartition(parts, "bucket").mapInArrow(_frequent, "rep long, tokens binary, counts binary")
-    shared = shared.groupBy("rep").agg(F.collect_list(F.struct("tokens", "counts")).alias("x")).select("rep", F.col("x.tokens").alias("tokens"), F.col("x.counts").alias("counts"))
-    prefix = stored(shared.join(sets.select("rep", "n"), "rep").select("rep", "n", "tokens", "counts").mapInArrow(_prefixes, "token long, rep long"))
+    shared = sets.mapInArrow(_tokens_dealt(8 * parts), "bucket int, rows binary").repartition(parts, "bucket")
+    shared = shared.mapInArrow(_frequent(parts), "bucket int, rows binary").repartition(parts, "bucket")
+    prefix = stored(shared.mapInArrow(_prefixes, "token long, rep long"))
     hub = prefix.groupBy("token").agg(F.min("rep").alias("b"), F.count("*").alias("c")).filter("c > 1")
     label = components(prefix.join(hub, "token").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
     size = label.groupBy("component").count()
@@ -389,7 +430,8 @@ def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     info = stored(described(docs))
     classes = info.filter("alive").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = stored(classes)
-    sets = texts(docs).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # The texts are dealt by a join of the same kind at every size.
+    sets = texts(docs).join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = sets.mapInArrow(_sets, "rep long, tokens binary").withColumn("n", (F.octet_length("tokens") / 8).cast("long"))
     label = components(links(stored(sets), block))
     found = classes.join(label, classes["rep"] == label["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("found"))
