@@ -271,14 +271,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     level = docs.select("k", "text").mapInArrow(_first_level(buckets), ROWS).repartition(parts, "bucket").mapInArrow(_counted, FOUND)
     found = [stored(level)]
     gathered = lambda what, same: what.filter(F.col("same") == same).groupBy("k").agg(F.collect_list("places").alias("places"))
-    open_ = stored(packed.select("k", "packed").join(gathered(found[0], False), "k").dropDuplicates(["k"]))
+    open_ = stored(packed.select("k", "packed").join(gathered(found[0], False).hint("merge"), "k").dropDuplicates(["k"]))
     for step in (_level1, _level2):
         level = open_.mapInArrow(_next_level(step, buckets), ROWS).repartition(parts, "bucket").mapInArrow(_counted, FOUND)
         found.append(stored(level))
         if step is _level1:
             open_ = open_.select("k", "packed").join(gathered(found[1], False), "k")
     same = gathered(found[0].union(found[1]).union(found[2]), True)
-    return packed.join(same, "k", "left").select("doc_id", F.arrow_udf(_cut, "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string,starts:array<int>,ends:array<int>>")("packed", "places").alias("x")).select("doc_id", "x.*")
+    return packed.join(same.hint("merge"), "k", "left").select("doc_id", F.arrow_udf(_cut, "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string,starts:array<int>,ends:array<int>>")("packed", "places").alias("x")).select("doc_id", "x.*")
 
 
 def op2_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

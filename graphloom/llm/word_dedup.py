@@ -251,7 +251,7 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
     lost = lost_windows(docs)
     packed = docs.select("doc_id", "text").mapInArrow(_zipped, "doc_id long, packed binary")
     kept = F.arrow_udf(_kept(digest), "struct<n_words:bigint,n_removed:bigint,kept:string,kept_sha256:string>")
-    return packed.join(lost, "doc_id", "left").select("doc_id", kept("packed", "at").alias("x")).select("doc_id", "x.*")
+    return packed.join(lost.hint("merge"), "doc_id", "left").select("doc_id", kept("packed", "at").alias("x")).select("doc_id", "x.*")
 
 
 def op5_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
