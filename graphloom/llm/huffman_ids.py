@@ -110,15 +110,20 @@ def _parted(chunk: bytes) -> tuple[bytes, bytes]:
 _loaded: dict[str, Tokens] = {}
 
 
+def tokens_of(path: str) -> Tokens:
+    """The worker's tokeniser with all that it remembers; a module's function, so that all tasks of a worker share it."""
+    if path not in _loaded:
+        _loaded[path] = Tokens(path)
+    return _loaded[path]
+
+
 def _tokenised(path: str):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _loaded:
-            _loaded[path] = Tokens(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
-            ids = [x + end for x in _loaded[path].encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in tokens_of(path).encode(batch.column("text").to_pylist())]
             yield pa.record_batch([batch.column("doc_id"), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids], pa.binary())], schema)
 
     return run
