@@ -153,12 +153,17 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
+def models_of(token: str, sent) -> list[Model]:
+    """The worker's models, built once; a module's function, so that all tasks of a worker share them."""
+    if _held.get("token") != token:
+        _held.clear()
+        _held.update(token=token, models=[Model(*x) for x in sent.value])
+    return _held["models"]
+
+
 def _features(token: str, sent):
     def found(texts: pa.Array, half: pa.Array) -> pa.Array:
-        if _held.get("token") != token:
-            _held.clear()
-            _held.update(token=token, models=[Model(*x) for x in sent.value])
-        models, rows = _held["models"], []
+        models, rows = models_of(token, sent), []
         for text, which in zip(texts, half, strict=True):
             rows.append(models[which.as_py()].features(text.as_py() or ""))
         return pa.array(rows, pa.list_(pa.float64()))
