@@ -25,6 +25,8 @@ from .common import slices, stored, table, texts, workers
 from .hashing import Prefixes
 
 WINDOW, GRAM = 13, 3
+#: Bytes of text that are looked at together.
+TOGETHER = 2_000_000
 #: A gram is very frequent if it is this part of a bucket's fair share of all windows; so there are at most a bounded number.
 SHARE = 0.25
 
@@ -74,7 +76,7 @@ def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The grams that a task sees as minimisers unusually often: at least one in 20,000 of its windows, and four times."""
     none = np.zeros(0, np.uint64)
     held, total = [], 0
-    for batch in slices(batches):
+    for batch in slices(batches, "text", TOGETHER):
         words = Words(batch.column("text").to_pylist())
         if len(words.windows):
             held.append(words.grams()[np.unique(words.least(none))])
@@ -104,7 +106,7 @@ def _sent(hot: np.ndarray, buckets: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches):
+        for batch in slices(batches, "text", TOGETHER):
             yield from _strings(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), hot, buckets, pack)
 
     return run
@@ -156,52 +158,71 @@ def _lost(doc: np.ndarray, place: np.ndarray, ids: list[int], buckets: int) -> I
         yield pa.record_batch([pa.array([hash(x) % buckets for x in who], pa.int32()), pa.array(who, pa.int64()), pa.array(places, pa.list_(pa.int32())), *(pa.nulls(k, pa.binary()),) * 4], _SCHEMA)
 
 
-def _windows(line: bytes, sizes: bytes, docs: bytes, places: bytes) -> tuple[np.ndarray, ...]:
-    """The windows of some packed strings: fingerprint, document, word in it, and where the words lie in the line."""
+def _bounds(line: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the windows of some packed strings start and end in the line, which is also given as an array."""
     view = np.frombuffer(line, np.uint8)
-    size = np.frombuffer(sizes, "<i4")
     end = np.flatnonzero((view == 32) | (view == 10))
     start = np.concatenate(([0], end[:-1] + 1))
     first = np.concatenate(([0], np.cumsum(size + WINDOW - 1)[:-1]))  # of each string its first word
-    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    window = np.repeat(first, size) + step
-    a, b = start[window], end[window + WINDOW - 1]
-    return Prefixes(view).of(a, b), np.repeat(np.frombuffer(docs, np.int64), size), np.repeat(np.frombuffer(places, "<i4"), size) + step, a, b
+    window = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return view, start[window], end[window + WINDOW - 1]
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the windows that they lose: those that came as such, and those that sorting a bucket's windows finds."""
+    """Documents with the windows that they lose: those that came as such, and those that sorting a bucket's windows finds.
+
+    Of each window only the fingerprint is kept; the rest is looked up where two are equal.
+    """
     unpack = zstandard.ZstdDecompressor()
-    lines, parts, size = [], [], 0
+    packs, names, sizes, docs, places = [], [], [], [], []
     for batch in batches:
         ready = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
         if ready.num_rows:
             yield ready.select(["doc_id", "at"])
-        for packed, *more in zip(*(batch.column(c).to_pylist() for c in ("packed", "sizes", "docs", "places")), strict=True):
-            if packed is not None:
-                lines.append(unpack.decompress(packed) + b"\n")
-                parts.append((*_windows(lines[-1], *more), size))
-                size += len(lines[-1])
-    if not lines:
+        for packed, size, doc, place in zip(*(batch.column(c) for c in ("packed", "sizes", "docs", "places")), strict=True):
+            if packed.is_valid:
+                packs.append(packed.as_py())
+                sizes.append(np.frombuffer(size.as_py(), "<i4"))
+                docs.append(np.frombuffer(doc.as_py(), np.int64))
+                places.append(np.frombuffer(place.as_py(), "<i4"))
+                view, a, b = _bounds(unpack.decompress(packs[-1]) + b"\n", sizes[-1])
+                names.append(Prefixes(view).of(a, b))
+    if not packs:
         return
-    name, doc, place, a, b = (np.concatenate([p[k] + (p[5] if k > 2 else 0) for p in parts]) for k in range(5))
-    data = b"".join(lines)
-    lines.clear()
-    parts.clear()
-    order = np.lexsort((doc, name))
+    last = np.cumsum([len(n) for n in names])  # windows up to each pack
+    name = np.concatenate(names)
+    names.clear()
+    order = np.argsort(name, kind="stable")
     same = name[order][1:] == name[order][:-1]
-    twice = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+    twice = np.sort(order[np.concatenate((same, [False])) | np.concatenate(([False], same))])
+    del name, order, same
+    size = np.concatenate(sizes)
+    string_end = np.cumsum(size)
+    string = np.searchsorted(string_end, twice, "right")
+    doc = np.concatenate(docs)[string]
+    place = np.concatenate(places)[string] + (twice - string_end[string] + size[string])
     # Equal fingerprints only: the words themselves decide.
+    pack_of = np.searchsorted(last, twice, "right")
     least: dict[bytes, int] = {}
-    text = [data[x:y] for x, y in zip(a[twice].tolist(), b[twice].tolist(), strict=True)]
-    for words, d in zip(text, doc[twice].tolist(), strict=True):
-        if least.setdefault(words, d) > d:
-            least[words] = d
-    lose = twice[np.array([least[w] < d for w, d in zip(text, doc[twice].tolist(), strict=True)], bool)] if len(twice) else twice
-    order = lose[np.lexsort((place[lose], doc[lose]))]
-    if len(order):
-        cut = np.flatnonzero(np.diff(doc[order], prepend=doc[order][0] - 1))
-        yield pa.record_batch({"doc_id": pa.array(doc[order][cut]), "at": pa.array([p.tolist() for p in np.split(place[order], cut[1:])], pa.list_(pa.int32()))})
+    lose = np.zeros(len(twice), bool)
+    for decide in (False, True):
+        for k in np.unique(pack_of).tolist():
+            mine = np.arange(*np.searchsorted(pack_of, (k, k + 1)))
+            line = unpack.decompress(packs[k]) + b"\n"
+            _, a, b = _bounds(line, sizes[k])
+            at = twice[mine] - (last[k] - len(a))
+            for i, x, y, d in zip(mine.tolist(), a[at].tolist(), b[at].tolist(), doc[mine].tolist(), strict=True):
+                if decide:
+                    lose[i] = least[line[x:y]] < d
+                else:
+                    words = line[x:y]
+                    if least.setdefault(words, d) > d:
+                        least[words] = d
+    lost = np.flatnonzero(lose)
+    lost = lost[np.lexsort((place[lost], doc[lost]))]
+    if len(lost):
+        cut = np.flatnonzero(np.diff(doc[lost], prepend=doc[lost][0] - 1))
+        yield pa.record_batch({"doc_id": pa.array(doc[lost][cut]), "at": pa.array([p.tolist() for p in np.split(place[lost], cut[1:])], pa.list_(pa.int32()))})
 
 
 def lost_windows(docs: DataFrame) -> DataFrame:
