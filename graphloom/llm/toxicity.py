@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +24,7 @@ from .common import slices, table
 
 #: The models are fitted on at most about this many labelled rows, chosen by a hash of their ids; texts are whole.
 TRAINING_ROWS = 30_000
-#: A word counts once for each document; words of fewer training documents are left to their stems.
+#: A word counts once for each document; words of fewer training documents have no ratio of their own, but count in their stems'.
 LEAST_DOCUMENTS = 3
 #: Taken off every count (singletons are left to the lower order, as in modified Kneser-Ney).
 DISCOUNT = 1.5
@@ -72,47 +72,41 @@ def _corpus_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class Model:
     """Log-likelihood ratios (toxic to ordinary) of words and stems; what is missing has the ratio of its shorter stem, or 0."""
 
-    def __init__(self, counts: dict[bytes, tuple[int, int]], shared: dict[bytes, int]):
-        """counts: a word's training documents, ordinary and toxic; shared: its documents in the corpus."""
-        levels: list[dict[bytes, list[float]]] = [{w: [float(a), float(b)] for w, (a, b) in counts.items()}]
-        for size in STEMS:  # lower orders count the words, not their occurrences
-            stem: dict[bytes, list[float]] = defaultdict(lambda: [0.0, 0.0])
-            for word, (a, b) in counts.items():
-                x = stem[word[:size]]
-                x[0] += a > 0
-                x[1] += b > 0
-            levels.append(dict(stem))
-        whole: dict[bytes, float] = defaultdict(float)
-        for word in counts:
-            whole[word[: STEMS[-1]]] += shared.get(word, 1)
-        total = sum(whole.values()) or 1.0
-        base = {s: (n / total, n / total) for s, n in whole.items()}
-        self.ratio: list[dict[bytes, float]] = []
-        lower, cut = base, STEMS[-1]
-        for level, size in zip(reversed(levels), (*reversed(STEMS), 1 << 30), strict=True):
-            sums = [sum(x[c] for x in level.values()) or 1.0 for c in (0, 1)]
-            spare = [sum(min(x[c], DISCOUNT) for x in level.values()) / sums[c] for c in (0, 1)]
-            share: dict[bytes, float] = defaultdict(float)
-            for word in counts:
-                share[word[:size][:cut]] += shared.get(word, 1)
-            own: dict[bytes, float] = defaultdict(float)
-            for word in counts:
-                own[word[:size]] += shared.get(word, 1)
-            now = {}
-            for key, x in level.items():
-                part = own[key] / share[key[:cut]]  # of the lower order's mass, by shared counts
-                now[key] = tuple(max(x[c] - DISCOUNT, 0) / sums[c] + max(spare[c], 1e-6) * lower[key[:cut]][c] * part for c in (0, 1))
-            self.ratio.append({k: math.log(t / o) for k, (o, t) in now.items()})
-            lower, cut = now, size
+    def __init__(self, words: list[bytes], counts: np.ndarray, shared: np.ndarray, own: np.ndarray):
+        """counts: training documents of each word, ordinary and toxic; shared: its documents in the corpus; own: whether it has a ratio of its own.
+
+        Every word counts in the stems, the base and the sums, also one without a ratio of its own.
+        """
+        seen = counts.sum(1) > 0
+        words = [w for w, x in zip(words, seen, strict=True) if x]
+        counts, shared, own = counts[seen].astype(float), shared[seen].astype(float), own[seen]
+        stems = [np.unique(np.array(words, f"S{size}"), return_inverse=True) for size in reversed(STEMS)]  # words hold no zero bytes
+        stems = [(keys, at, np.bincount(at, shared, len(keys))) for keys, at in stems]
+        self.stems: list[tuple[np.ndarray, np.ndarray]] = []
+        total = shared.sum() or 1.0
+        lower, above = np.column_stack((stems[0][2], stems[0][2])) / total, stems[0][2]  # of each key's lower order
+        for k, (keys, at, documents) in enumerate(stems):
+            # Lower orders count the words, not their occurrences.
+            level = np.column_stack([np.bincount(at, counts[:, c] > 0, len(keys)) for c in (0, 1)])
+            now = _probability(level, lower, documents / above)
+            self.stems.append((keys, np.log(now[:, 1] / now[:, 0])))
+            lower, above = now[at], documents[at]
+            if k + 1 < len(stems):  # a word of each key of the next level stands for it
+                _, first = np.unique(stems[k + 1][1], return_index=True)
+                lower, above = lower[first], above[first]
+        now = _probability(counts, lower, shared / above)
+        ratio = np.log(now[:, 1] / now[:, 0])
+        self.words: dict[bytes, float] = {words[k]: float(ratio[k]) for k in np.flatnonzero(own)}
         self.memory: dict[bytes, float] = {}
 
-    def of(self, word: bytes) -> float:
-        value = self.ratio[2].get(word)
-        if value is None:
-            value = self.ratio[1].get(word[: STEMS[0]])
-        if value is None:
-            value = self.ratio[0].get(word[: STEMS[1]], 0.0)
-        return value
+    def of(self, words: list[bytes]) -> list[float]:
+        values = np.zeros(len(words))
+        for (keys, ratio), size in zip(self.stems, reversed(STEMS), strict=True):  # longer stems overrule
+            if len(keys):
+                stems = np.array(words, f"S{size}")
+                at = np.minimum(np.searchsorted(keys, stems), len(keys) - 1)
+                values = np.where(keys[at] == stems, ratio[at], values)
+        return [self.words.get(w, v) for w, v in zip(words, values.tolist(), strict=True)]
 
     def features(self, text: str) -> list[float]:
         """The difference of log-likelihoods per word, of the whole text and of the most toxic passage of each length (shorter texts are padded)."""
@@ -122,17 +116,21 @@ class Model:
         memory = self.memory
         if len(memory) > 300_000:
             memory.clear()
-        values = np.empty(len(words))
-        for k, word in enumerate(words):
-            value = memory.get(word)
-            if value is None:
-                value = memory[word] = self.of(word)
-            values[k] = value
+        if new := [w for w in set(words) if w not in memory]:
+            memory.update(zip(new, self.of(new), strict=True))
+        values = np.array([memory[w] for w in words])
         total = np.concatenate(([0.0], np.cumsum(values), np.full(max(PASSAGES), values.sum())))
         best = [float((total[size:] - total[:-size]).max()) / size for size in PASSAGES]
         return [float(values.mean()), float(values.sum()) / math.sqrt(len(values)), *best]
 
 
+def _probability(level: np.ndarray, lower: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A level's discounted counts by class, and what the discount spares dealt by the lower order and each key's part of it."""
+    sums = np.maximum(level.sum(0), 1.0)
+    spare = np.maximum(np.minimum(level, DISCOUNT).sum(0) / sums, 1e-6)
+    return np.maximum(level - DISCOUNT, 0) / sums + spare * lower * part[:, None]
+
+
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of a logistic curve over the columns of x and a constant (Newton's method with halved steps and a ridge)."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -157,7 +155,7 @@ def models_of(token: str, sent) -> list[Model]:
     """The worker's models, built once; a module's function, so that all tasks of a worker share them."""
     if _held.get("token") != token:
         _held.clear()
-        _held.update(token=token, models=[Model(*x) for x in sent.value])
+        _held.update(token=token, models=sent.value)
     return _held["models"]
 
 
@@ -193,14 +191,15 @@ def scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None,
     train = corpus.join(F.broadcast(known), "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
     counts = train.select("toxic", "half", "text").mapInArrow(_document_words, "toxic int, half int, word binary, n long")
     counts = counts.groupBy("word").agg(*(F.sum(F.when((F.col("toxic") == c) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)))
-    counts = counts.filter(f"n00 + n01 + n10 + n11 >= {LEAST_DOCUMENTS}")
     shared = corpus.select("text").mapInArrow(_corpus_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.join(shared, "word").select("word", "n00", "n01", "n10", "n11", "n").collect()
-    every = {r["word"]: r["n"] for r in found}
-    bare = lambda which: {bytes(r["word"]): x for r in found if sum(x := which(r))}
-    every = {bytes(k): v for k, v in every.items()}
+    found = counts.join(shared, "word").select("word", "n00", "n01", "n10", "n11", "n").toArrow()
+    words = found.column("word").to_pylist()
+    n = {c: found.column(c).to_numpy() for c in found.column_names[1:]}
+    own = n["n00"] + n["n01"] + n["n10"] + n["n11"] >= LEAST_DOCUMENTS
     # The half that a model is fitted on is not the one that it scores for the curve.
-    models = [(bare(lambda r: (r["n01"], r["n11"])), every), (bare(lambda r: (r["n00"], r["n10"])), every), (bare(lambda r: (r["n00"] + r["n01"], r["n10"] + r["n11"])), every)]
+    classes = (n["n01"], n["n11"]), (n["n00"], n["n10"]), (n["n00"] + n["n01"], n["n10"] + n["n11"])
+    models = [Model(words, np.column_stack(x), n["n"], own) for x in classes]
+    del found, words
     sent = spark.sparkContext.broadcast(models)
     feature = F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")
     sample = train.select("toxic", feature("text", "half").alias("f")).collect()

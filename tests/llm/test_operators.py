@@ -210,6 +210,18 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 for r in scored) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in scored)
 
 
+def test_toxicity_of_rare_words(spark):
+    """Each toxic word stands in one document only: its stem alone can tell."""
+    rows, labels = [], []
+    for k in range(600):
+        words = [rng.choice("the of and that with from on at".split()) for _ in range(rng.randint(5, 30))]
+        end = "".join(chr(97 + k // 26**i % 26) for i in range(3))
+        rows.append((k, " ".join([*words, ("vilesome" if k % 6 == 0 else "mildsome") + end])))
+        labels.append((k, int(k % 6 == 0)))
+    scored = toxicity.scored(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("held_out").collect()
+    assert all(r["predicted"] == (r["doc_id"] % 6 == 0) for r in scored)
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     labels = spark.createDataFrame([], "doc_id long, toxic int")
