@@ -59,8 +59,10 @@ _TS_METHOD = re.compile(r"(?:^|[;{}\n])\s*(?:(?:public|private|protected|static|
 _TS_CALL = re.compile(r"(?<![\w$.])(?:this\.([A-Za-z_$][\w$]*)|([A-Za-z_$][\w$]*))\s*\(")
 _TS_IMPORT = re.compile(r"""(?m)^[ \t]*(?:import\s+(?:[^"';]*?\sfrom\s*)?|export\s+[^"';]*?\sfrom\s*)(["'])([^"'\n]+)\1""")
 _TS_NOT_CALLS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "await", "new", "constructor", "import", "do", "else", "void", "delete", "in", "of", "instanceof"}
-_TS_BLOCKS = re.compile(r"(?<![\w$.])(if|for|while|do|switch|try)\b")
-_PY_BLOCKS = {"If": "if_statement", "For": "for_statement", "AsyncFor": "for_statement", "While": "while_statement", "Try": "try_statement", "TryStar": "try_statement", "With": "with_statement", "AsyncWith": "with_statement", "Match": "match_statement"}
+_TS_BLOCKS = re.compile(r"(?<![\w$.#])(?:(if|else|for|while|do|switch|try|catch|finally)\b(?!\s*:)|(?:async\s+)?(function)\b(?!\s*\*)|(?<!abstract\s)(class)\b(?!\s*:))|(=>)")
+_TS_KINDS = {"if": "if_statement", "else": "else_clause", "while": "while_statement", "switch": "switch_statement", "try": "try_statement", "catch": "catch_clause", "finally": "finally_clause"}
+_TS_PARAMETERS = re.compile(r"(?:(?<![\w$.])async\s*)?(?:<[^<>()]*>\s*)?(?:\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)(?:\s*:[^=;{}()]+)?|(?<![\w$.])[A-Za-z_$][\w$]*)\s*$")
+_PY_BLOCKS = {"If": "if_statement", "For": "for_statement", "AsyncFor": "for_statement", "While": "while_statement", "Try": "try_statement", "TryStar": "try_statement", "With": "with_statement", "AsyncWith": "with_statement", "Match": "match_statement", "ExceptHandler": "except_clause", "match_case": "case_clause", "FunctionDef": "function_definition", "AsyncFunctionDef": "function_definition", "ClassDef": "class_definition"}
 
 
 def blanked(text: str) -> str:
@@ -85,6 +87,106 @@ def _too_long(body: str) -> bool:
     return body.count("\n") + 1 > BLOCK_LINES or -(-len(body.encode()) * 2 // 7) > BLOCK_TOKENS
 
 
+def _after(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
+
+
+def _expression_end(text: str, at: int, stops: str = ";") -> int:
+    """The last place of an expression: before a stop, a bracket that closes around it, or a line's end that nothing carries on."""
+    depth, last = 0, at
+    for k in range(at, len(text)):
+        c = text[k]
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return last
+        elif not depth and c in stops:
+            return k if c == ";" else last
+        elif not depth and c == "\n" and k > at and text[last] not in "=+-*/%&|?:,<>!^~(." and text[_after(text, k) : _after(text, k) + 1] not in set(".?:+-*/%&|=,<>^(["):
+            return last
+        if not c.isspace():
+            last = k
+    return last
+
+
+def _statement_end(text: str, at: int) -> int:
+    """The last place of the statement that starts here, in blanked text."""
+    at = _after(text, at)
+    if text[at : at + 1] == "{":
+        return closing(text, at, "{}")
+    m = re.compile(r"(if|for|while|do|switch|try)\b(?:\s+await\b)?").match(text, at)
+    if not m:
+        return _expression_end(text, at)
+    at = _after(text, m.end())
+    if m.group(1) == "do":
+        end = _statement_end(text, at)
+        m = re.compile(r"\s*while\s*(?=\()").match(text, end + 1)
+        return closing(text, m.end(), "()") if m else end
+    if m.group(1) != "try":
+        at = closing(text, at, "()") + 1
+    end = _statement_end(text, at)
+    more = {"if": r"\s*else\b", "try": r"\s*(?:catch\s*(?:\((?:[^()]|\([^()]*\))*\))?|finally)(?=\s*\{)"}.get(m.group(1))
+    while more and (x := re.compile(more).match(text, end + 1)):
+        end = _statement_end(text, x.end())
+    return end
+
+
+def _ts_blocks(text: str, at: int, end: int) -> list[tuple[int, int, str]]:
+    """(first place, last place, type) of the blocks between two places of blanked text, outer ones first."""
+    found, tails = [], set()
+    for m in _TS_BLOCKS.finditer(text, at, end):
+        start, word = m.start(), m.group(1)
+        before = text[at:start].rstrip()
+        if word == "do":
+            last = _statement_end(text, m.end())
+            if x := re.compile(r"\s*(?=while\b)").match(text, last + 1):
+                tails.add(x.end())
+        elif word == "for":
+            head = text.find("(", start)
+            heading = text[head : closing(text, head, "()") + 1]
+            flat = re.sub(r"\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\]|\{[^}]*\}", "", heading[1:-1])
+            found.append((start, _statement_end(text, start), "for_in_statement" if ";" not in flat and re.search(r"\s(?:of|in)\b|\b(?:of|in)\s", flat) else "for_statement"))
+        elif word in ("else", "finally"):
+            found.append((start, _statement_end(text, m.end()), _TS_KINDS[word]))
+        elif word == "catch":
+            k = _after(text, m.end())
+            k = closing(text, k, "()") + 1 if text[k : k + 1] == "(" else k
+            if before.endswith("}") and text[_after(text, k) : _after(text, k) + 1] == "{":
+                found.append((start, _statement_end(text, k), _TS_KINDS[word]))
+        elif word and start not in tails:
+            found.append((start, _statement_end(text, start), _TS_KINDS[word]))
+        elif m.group(2) or m.group(3):
+            own_line = "\n" in text[at + len(before) : start] and before[-1:] not in set("=(,:?[!&|+-~>")
+            declared = not before or before[-1] in "{};" or own_line
+            opened = closing(text, text.find("(", start), "()") if m.group(2) else start
+            if declared == bool(m.group(3)):
+                found.append((start, closing(text, text.find("{", opened), "{}"), "class_declaration" if m.group(3) else "function_expression"))
+        elif m.group(4):
+            p = _TS_PARAMETERS.search(text, at, start)
+            lead = text[at : p.start()].rstrip() if p else ""
+            typed = re.search(r"\b(?:type\s+[\w$]+(?:<[^=]*>)?\s*=|(?:const|let|var)\s+[\w$]+\s*:)$", lead) or lead.endswith(":") and _inside(text, at, p.start()) == "("
+            if p and not typed:
+                k = _after(text, m.end())
+                last = closing(text, k, "{}") if text[k : k + 1] == "{" else _expression_end(text, k, ";,")
+                found.append((p.start(), last, "arrow_function"))
+    return sorted(found, key=lambda x: (x[0], -x[1]))
+
+
+def _inside(text: str, at: int, place: int) -> str:
+    """The bracket that is open last before a place."""
+    opened: list[str] = []
+    for c in text[at:place]:
+        if c in "([{":
+            opened.append(c)
+        elif c in ")]}" and opened:
+            opened.pop()
+    return opened[-1] if opened else ""
+
+
 def scan_ts(text: str) -> Iterator[dict]:
     plain = blanked(text)
     line = lambda at: plain.count("\n", 0, at) + 1
@@ -103,10 +205,8 @@ def scan_ts(text: str) -> Iterator[dict]:
             if c.group(1) or c.group(2) not in _TS_NOT_CALLS:
                 yield {"what": "call", "kind": "self" if c.group(1) else "bare", "name": c.group(1) or c.group(2), "owner": owner, "target": me, "start": line(c.start()), "end": line(c.end())}
         if _too_long(body):
-            for b in _TS_BLOCKS.finditer(plain, close, end):
-                opened = plain.find("{", b.end())
-                last = closing(plain, opened, "{}") if 0 <= opened < end else b.end()
-                yield {"what": "block", "kind": b.group(1) + "_statement", "target": me, "owner": owner, "start": line(b.start()), "end": line(last)}
+            for first, last, what in _ts_blocks(plain, brace + 1 if brace >= 0 else close, end):
+                yield {"what": "block", "kind": what, "target": me, "owner": owner, "start": line(first), "end": line(last)}
 
     at = 0
     while m := _TS_DECL.search(plain, at):
@@ -129,6 +229,35 @@ def scan_ts(text: str) -> Iterator[dict]:
         at = end + 1
 
 
+def _py_blocks(nodes: list[ast.AST], lines: list[str]) -> Iterator[tuple[str, int, int]]:
+    """(type, first line, last line) of the blocks in these nodes, outer ones first."""
+    for x in nodes:
+        name, last = type(x).__name__, getattr(x, "end_lineno", None)
+        first = x.pattern.lineno if name == "match_case" else getattr(x, "lineno", None)
+        chained = name == "If" and lines[first - 1].encode()[x.col_offset :].startswith(b"elif")
+        if name == "match_case":
+            first = _keyword_line(lines, first, "case")
+            last = x.body[-1].end_lineno
+        if chained:  # a clause ends before the next one
+            yield "elif_clause", first, x.body[-1].end_lineno
+        elif name in _PY_BLOCKS:
+            yield _PY_BLOCKS[name], first, last
+        for field, value in ast.iter_fields(x):
+            inner = [y for y in (value if isinstance(value, list) else [value]) if isinstance(y, ast.AST)]
+            if inner and field in ("orelse", "finalbody") and isinstance(x, ast.stmt):
+                word = "else" if field == "orelse" else "finally"
+                at = inner[0]
+                if not (name == "If" and isinstance(at, ast.If) and lines[at.lineno - 1].encode()[at.col_offset :].startswith(b"elif")):
+                    yield f"{word}_clause", _keyword_line(lines, at.lineno, word), inner[-1].end_lineno
+            yield from _py_blocks(inner, lines)
+
+
+def _keyword_line(lines: list[str], at: int, word: str) -> int:
+    """The line, here or above, that starts with a clause's keyword."""
+    rule = re.compile(rf"\s*{word}\b")
+    return next((k for k in range(at, 0, -1) if rule.match(lines[k - 1])), at)
+
+
 def scan_py(text: str) -> Iterator[dict]:
     try:
         tree = ast.parse(text)
@@ -159,8 +288,9 @@ def scan_py(text: str) -> Iterator[dict]:
                             yield {"what": "call", "kind": "bare", "name": f.id, "owner": owner, "target": me, "start": x.lineno, "end": x.end_lineno}
                         elif isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id == "self":
                             yield {"what": "call", "kind": "self", "name": f.attr, "owner": owner, "target": me, "start": x.lineno, "end": x.end_lineno}
-                    elif type(x).__name__ in _PY_BLOCKS and _too_long(body):
-                        yield {"what": "block", "kind": _PY_BLOCKS[type(x).__name__], "target": me, "owner": owner, "start": x.lineno, "end": x.end_lineno}
+                if _too_long(body):
+                    for kind, first, last in _py_blocks(child.body, lines):
+                        yield {"what": "block", "kind": kind, "target": me, "owner": owner, "start": first, "end": last}
             else:
                 yield from walk(child, owner)
 
@@ -217,8 +347,8 @@ def blocks(rows: DataFrame, scope: str = "body") -> DataFrame:
     """Blocks of long functions, numbered in order; with scope ``file`` each long function has all of its file's blocks."""
     found = rows.filter("what = 'block'").withColumn("parent", F.concat("path", F.lit("::"), "target"))
     if scope == "file":
-        every = found.select("path", "kind", "start", "end").distinct()
+        every = found.select("path", "kind", "start", "end", "turn").distinct()
         found = found.select("path", "parent").distinct().join(every, "path")
-    turn = F.row_number().over(Window.partitionBy("parent").orderBy("start", F.desc("end"), "kind")) - 1
+    turn = F.row_number().over(Window.partitionBy("parent").orderBy("turn")) - 1
     found = found.withColumn("ordinal", turn)
     return found.select("path", "parent", "ordinal", "kind", "start", "end", F.concat("parent", F.lit("#block:"), F.col("ordinal").cast("string"), F.lit(":"), "kind").alias("qn"))

@@ -126,6 +126,24 @@ def test_typescript(spark):
     assert {(r["target"], r["file"]) for r in extract.imports(rows, "r").collect()} == {("./a.js", "src/a/a.ts"), ("../b", None)}
 
 
+def test_block_types(spark):
+    """Every type of the reference, in both languages, with its lines and ordinal."""
+    pad = "\n" * 60
+    ts = "function long(a) {\n  if (a) {\n    b();\n  } else if (c) {\n    d();\n  } else {\n    e();\n  }\n  for (let i = 0; i < 3; i++) f(i);\n  for (const x of a) {\n    g(x);\n  }\n  while (a) h();\n  do {\n    h();\n  } while (a);\n  switch (a) {\n    case 1: break;\n  }\n  try {\n    b();\n  } catch (e) {\n    b();\n  } finally {\n    b();\n  }\n  a.map((x) => {\n    return x;\n  }).catch(function (y) {\n    return y;\n  });\n  class K {\n  }\n" + pad + "}\n"
+    py = "def long(a):\n    if a:\n        b()\n    elif c:\n        d()\n    else:\n        e()\n    for x in a:\n        f()\n    else:\n        g()\n    while a:\n        h()\n    try:\n        b()\n    except E:\n        b()\n    finally:\n        b()\n    with a:\n        b()\n    match a:\n        case 1:\n            b()\n    def inner():\n        pass\n    class K:\n        pass\n" + pad + "    return a\n"
+    source = spark.createDataFrame([("a.ts", "typescript", ts), ("a.py", "python", py)], "path string, language string, text string")
+    rows = sorted(extract.blocks(extract.scanned(source)).collect(), key=lambda r: (r["path"], r["ordinal"]))
+    found = {p: [(r["kind"], r["start"], r["end"]) for r in rows if r["path"] == p] for p in ("a.ts", "a.py")}
+    assert found["a.ts"] == [
+        *(("if_statement", 2, 8), ("else_clause", 4, 8), ("if_statement", 4, 8), ("else_clause", 6, 8), ("for_statement", 9, 9), ("for_in_statement", 10, 12), ("while_statement", 13, 13), ("switch_statement", 17, 19)),
+        *(("try_statement", 20, 26), ("catch_clause", 22, 24), ("finally_clause", 24, 26), ("arrow_function", 27, 29), ("function_expression", 29, 31), ("class_declaration", 32, 33)),
+    ]
+    assert found["a.py"] == [
+        *(("if_statement", 2, 7), ("elif_clause", 4, 5), ("else_clause", 6, 7), ("for_statement", 8, 11), ("else_clause", 10, 11), ("while_statement", 12, 13), ("try_statement", 14, 19), ("except_clause", 16, 17)),
+        *(("finally_clause", 18, 19), ("with_statement", 20, 21), ("match_statement", 22, 24), ("case_clause", 23, 24), ("function_definition", 25, 26), ("class_definition", 27, 28)),
+    ]
+
+
 def test_walk_index_and_dry_run(spark, tmp_path):
     root, store = tmp_path / "repo", str(tmp_path / "store")
     (root / "src").mkdir(parents=True)
