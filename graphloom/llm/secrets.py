@@ -8,8 +8,8 @@ reported only where the parts that would complete a credential occur within the
 - ``opaque``   (an unlabelled random-looking string) beside any access identifier,
 - ``endpoint`` (a URL or host:port) beside an access identifier and a secret.
 
-A scope is a block of text without an empty line; within it a part reaches ``REACH`` code points to
-either side.  The join of the parts' intervals is a sweep over sorted positions, document by document.
+A scope is a block of text without an empty line; a part reaches all of it.  The join of the parts'
+intervals is a sweep over sorted positions, document by document.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from .common import table
 
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
 BASE = KINDS[:3]
-REACH = 240
 
 # Fixed by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -73,7 +72,7 @@ def weak_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def linked(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
+def linked(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The weak candidates that complementary parts complete, each found by two binary searches in the sorted parts.
 
     Weak candidates that overlap a strong finding are left out: that finding reports them already.
@@ -90,18 +89,26 @@ def linked(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, in
     if not free:
         return []
     cuts = [m.start() for m in BLANK.finditer(text)]
-    kept = lambda kinds: sorted((s, e) for s, k, e in [*base, *free] if k in kinds)
+
+    def kept(kinds: set[int]) -> tuple[list[tuple[int, int]], list[int]]:
+        """The parts of these kinds by start, and the least end from each on."""
+        parts = sorted((s, e) for s, k, e in [*base, *free] if k in kinds)
+        ends = [e for _, e in parts]
+        for k in range(len(ends) - 2, -1, -1):
+            ends[k] = min(ends[k], ends[k + 1])
+        return parts, ends
+
     identifiers, secrets = kept({1, 3}), kept({0, 2, 4})
 
-    def near(parts: list[tuple[int, int]], start: int, end: int) -> bool:
+    def near(found: tuple[list[tuple[int, int]], list[int]], start: int, end: int) -> bool:
+        parts, least = found
         k = bisect_right(cuts, start)
-        low = max(start - reach, cuts[k - 1] if k else 0)
-        high = min(end + reach, cuts[k] if k < len(cuts) else len(text))
+        low, high = cuts[k - 1] if k else 0, cuts[k] if k < len(cuts) else len(text)
         at = bisect_left(parts, (end, 0))
         if at < len(parts) and parts[at][0] < high:
             return True
-        before = bisect_left(parts, (start, 0)) - 1
-        return before >= 0 and parts[before][0] >= low and parts[before][1] <= start
+        before = bisect_left(parts, (low, 0))  # those that end before the candidate also start before it
+        return before < len(parts) and least[before] <= start
 
     asks = {3: (secrets,), 4: (identifiers,), 5: (identifiers, secrets)}
     return [(s, kind, e) for s, kind, e in free if all(near(parts, s, e) for parts in asks[kind])]
