@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +25,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path under the checkpoint folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
-    local folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset and all runs in one process
+    (``local[...]``, as in tests), a local folder takes its place; elsewhere that is an error, since other
+    machines could not see such a folder.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         set_here = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = set_here.get() if set_here.isDefined() else tempfile.mkdtemp(prefix="shared-")
+        if set_here.isDefined():
+            root = set_here.get()
+        elif spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
+            root = tempfile.mkdtemp(prefix="shared-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as Parquet in the shared folder: its lineage is cut."""
-    path = shared_dir(df.sparkSession)
+def stored(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder: its lineage is cut.
+
+    ``done`` are stored frames that nothing reads from now on: their folders go.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    for old in done:
+        if at := getattr(old, "_stored_at", None):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
+_worker: dict[str, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: the state of one operator at a time.
+
+    A worker lives on from query to query and from stage to stage of a pipeline.  When another key comes,
+    the state before it goes, and its memory goes back to the system.
+    """
+    if _worker.get("key") != key:
+        _worker.clear()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+        _worker.update(key=key, value=make())
+    return _worker["value"]
+
+
+class Remembered(dict):
+    """Values that ``make`` has for bytes, up to ``bound`` bytes of memory in each of two generations: what is asked for again moves on."""
+
+    #: What an entry takes besides its bytes, about.
+    ENTRY = 170
+
+    def __init__(self, make: Callable[[bytes], bytes], bound: int):
+        super().__init__()
+        self.make, self.bound, self.size, self.older = make, bound, 0, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self.size += len(key) + len(value) + self.ENTRY
+        if self.size > self.bound:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        self[key] = value
+        return value
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
