@@ -8,37 +8,62 @@ blocks; a block holds whole documents up to about ``BLOCK`` ids and can be decod
     bits             the codes, most significant bit first
     marks            bit offset of every ``STRIDE``-th id (little-endian unsigned 32-bit): where decoding may start
 
-Code lengths come from the counts of all ids (package-merge, at most ``LONGEST`` bits) and are kept beside
-the blocks; the codes follow from the lengths.  Blocks are rows of a Parquet folder, so that any store
-that Spark reaches can hold them and a lost task writes its file again.  Decoding looks up ``LONGEST``
-bits in one table, in step for all marks of a block.
+Code lengths come from the counts of all ids (package-merge, at most ``LONGEST`` bits unless the vocabulary
+needs more) and are kept beside the blocks; the codes follow from the lengths.  Blocks are rows of a Parquet folder, so that any store
+that Spark reaches can hold them and a lost task writes its file again.  Decoding looks up the longest
+code's bits in one table, in step for all marks of a block.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir, slices, table, texts, workers
+from .common import Remembered, checkpointed, held, shared_dir, slices, table, texts, workers
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK, STRIDE, LONGEST = 1 << 16, 128, 18
-#: Chunks of text that a worker remembers at most, and their length at most; others are tokenised each time.
-REMEMBERED, REMEMBERED_BYTES = 500_000, 40
+#: Memory that the chunks take which a worker remembers, in each of two generations.
+REMEMBERED_BYTES = 80 << 20
+#: Fixed by the tokenizer's file: the steps before its model, as far as chunks between white space can be taken one by one.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    },
+)
+
+_PARTS = regex.compile(SPLIT).findall
+_ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: ASCII that can be seen, and Latin letters up to U+02FF: what no normal form changes but for the case.
+_PLAIN = re.compile(rb"(?:[!-~]|[\xc3-\xcb][\x80-\xbf])+").fullmatch
+#: Byte-level models name bytes by characters: those that can be seen by themselves, the others from U+0100 on.
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_NAMES = {b: chr(b) if b in _SEEN else chr(256 + b - sum(x < b for x in _SEEN)) for b in range(256)}
 
 
 class Tokens:
-    """A tokeniser that drops white space: chunks between ASCII white space have the same ids wherever they stand."""
+    """The tokenizer of a file.
+
+    If its file says that it lowers letters, drops white space and splits by the rule above, chunks between
+    ASCII white space have the same ids wherever they stand: they are split by that rule, the file's model
+    encodes the parts, and a worker remembers them.  Chunks with other characters, and any other tokenizer's
+    texts, go through the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,95 +72,76 @@ class Tokens:
         self.lib = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        #: For words of lower-case letters that no normalisation changes: the same model, without the steps that do nothing to them.
-        self.words = None
-        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])], [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and r"[\p{L}]+" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", ""):
-            self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1], "added_tokens": []}))
-        self.seen: dict[bytes, bytes] = {}
-        #: Of the last texts, the share of chunks that were not remembered.
-        self.missed = 0.0
-
-    def _ids(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {b"": b""}
-        plain, other = [], []
-        for x in chunks:
-            word = x.decode("utf-8", "surrogatepass")
-            (plain if self.words and max(x) <= 0xCB and word.isalpha() and word == word.lower() else other).append((x, word))
-        for lib, part in ((self.words, plain), (self.lib, other)):
-            for k in range(0, len(part), 20_000):
-                some = part[k : k + 20_000]
-                every = [e.ids for e in lib.encode_batch_fast([w for _, w in some], add_special_tokens=False)]
-                flat, at = np.fromiter(chain.from_iterable(every), "<u4").tobytes(), 0
-                for (x, _), ids in zip(some, every, strict=True):
-                    out[x] = flat[at : at + 4 * len(ids)]
-                    at += 4 * len(ids)
-        return out
+        model, special = spec["model"], [x["content"] for x in spec.get("added_tokens") or []]
+        self.by_chunk = (
+            (spec.get("normalizer"), spec.get("pre_tokenizer")) == STEPS
+            and model.get("type") == "BPE"
+            and not model.get("dropout")
+            and not (spec.get("truncation") or spec.get("padding"))
+            and all(x.startswith("<|") and not any(map(str.isspace, x)) for x in special)
+        )
+        self.tokenize = self.lib.model.tokenize
+        self.chunks = Remembered(self._chunk, REMEMBERED_BYTES)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: bytes) -> bytes:
+        name = part.decode() if part.isascii() else "".join([_NAMES[b] for b in part])
+        ids = [t.id for t in self.tokenize(name)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters alone are one part
+            low = chunk.lower()
+            return self._part(chunk) if low == chunk else self.chunks[low]
+        if b"<|" in chunk or not _PLAIN(chunk):
+            return self._whole(chunk.decode("utf-8", "surrogatepass"))
+        parts = _ASCII_PARTS(chunk.lower()) if chunk.isascii() else [x.encode() for x in _PARTS(chunk.decode().lower())]
+        return self._part(parts[0]) if parts == [chunk] else b"".join([self.chunks[x] for x in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        seen = self.seen
-        if len(seen) >= REMEMBERED and self.missed > 0.4:  # other words than the remembered ones have become common
-            seen.clear()
-        cut = [text.encode("utf-8", "surrogatepass").split() for text in texts]
-        rows = [list(map(seen.get, chunks)) for chunks in cut]
-        missing = list(dict.fromkeys(x for chunks, row in zip(cut, rows, strict=True) if None in row for x, y in zip(chunks, row, strict=True) if y is None))
-        self.missed = len(missing) / (sum(map(len, cut)) or 1)
-        if missing:
-            whole = [_parted(x) for x in missing]
-            new = self._ids(list(dict.fromkeys(y for pair in whole for y in pair if y and y not in seen)))
-            ids = lambda x: seen[x] if x in seen else new[x]
-            found = {x: ids(y) + ids(z) for x, (y, z) in zip(missing, whole, strict=True)}
-            new.update(found)
-            seen.update(islice(((x, y) for x, y in new.items() if 0 < len(x) <= REMEMBERED_BYTES), max(0, REMEMBERED - len(seen))))
-            rows = [[found[x] if y is None else y for x, y in zip(chunks, row, strict=True)] if None in row else row for chunks, row in zip(cut, rows, strict=True)]
-        return [b"".join(row) for row in rows]
-
-
-_ALNUM, _MARKS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789"), frozenset(b".,;:!?")
-
-
-def _parted(chunk: bytes) -> tuple[bytes, bytes]:
-    """Two chunks that have this one's ids together, the first likely to be known: in lower case, without a last mark.
-
-    The tokeniser lowers letters itself and starts anew between a letter or digit and a mark.  Chunks with
-    characters from U+0300 (marks that compose with letters) or special tokens stay whole.
-    """
-    if max(chunk) > 0xCB or b"<|" in chunk:
-        return chunk, b""
-    low = chunk.lower()
-    return (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in _MARKS and low[-2] in _ALNUM else (low, b"")
+        if not self.by_chunk:
+            return list(map(self._whole, texts))
+        of = self.chunks.__getitem__
+        return [b"".join(map(of, text.encode("utf-8", "surrogatepass").split())) for text in texts]
 
 
-_loaded: dict[str, Tokens] = {}
+def tokens_of(path: str) -> Tokens:
+    """The worker's tokenizer with all that it remembers."""
+    return held(("tokens", path), lambda: Tokens(path))
 
 
-def tokens_of(path: str) -> Tokens:
-    """The worker's tokeniser with all that it remembers; a module's function, so that all tasks of a worker share it."""
-    if path not in _loaded:
-        _loaded[path] = Tokens(path)
-    return _loaded[path]
+def id_kind(path: str) -> tuple[str, int]:
+    """How an id is kept while it waits for its code, and how many ids there are."""
+    from tokenizers import Tokenizer
 
+    n = max(Tokenizer.from_file(path).get_vocab_size(), END_ID + 1)
+    return "<u2" if n <= 1 << 16 else "<u4", n
 
-def _tokenised(path: str):
+
+def _tokenised(path: str, kind: str):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
             ids = [x + end for x in tokens_of(path).encode(batch.column("text").to_pylist())]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids], pa.binary())], schema)
+            yield pa.record_batch([batch.column("doc_id"), pa.array([np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids], pa.binary())], schema)
 
     return run
 
 
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2")
-        total += np.bincount(flat, minlength=1 << 16)
-    found = np.flatnonzero(total)
-    yield pa.record_batch({"id": pa.array(found, pa.int32()), "n": pa.array(total[found], pa.int64())})
+def _counted(kind: str, n: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=n)
+        found = np.flatnonzero(total)
+        yield pa.record_batch({"id": pa.array(found, pa.int32()), "n": pa.array(total[found], pa.int64())})
+
+    return run
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -229,28 +235,28 @@ class Decoder:
 BLOCKS = "file int, block int, base long, doc_ids array<long>, sizes array<int>, bits binary, marks binary"
 
 
-def _written(lengths: np.ndarray):
+def _written(lengths: np.ndarray, kind: str):
     schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("marks", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         codes, file = canonical(lengths), TaskContext.get().partitionId()
-        block, base, docs, held, size = 0, 0, [], [], 0
+        block, base, docs, kept, size, wide = 0, 0, [], [], 0, np.dtype(kind).itemsize
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u2")
+            ids = np.frombuffer(b"".join(kept), kind)
             bits, marks = pack(ids, codes, lengths)
-            return pa.record_batch([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([base], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) // 2 for x in held]], pa.list_(pa.int32())), pa.array([bits]), pa.array([marks])], schema)
+            return pa.record_batch([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([base], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) // wide for x in kept]], pa.list_(pa.int32())), pa.array([bits]), pa.array([marks])], schema)
 
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 docs.append(doc)
-                held.append(ids)
-                size += len(ids) // 2
+                kept.append(ids)
+                size += len(ids) // wide
                 if size >= BLOCK:
                     yield flush()
-                    block, base, docs, held, size = block + 1, base + size, [], [], 0
+                    block, base, docs, kept, size = block + 1, base + size, [], [], 0
         if docs:
             yield flush()
 
@@ -265,21 +271,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> None:
     of the same doc_id stand in order of their texts; a null doc_id comes first; a null text has the end
     id alone; an empty table gives empty folders; other columns aren't kept.
     """
-    ranged = texts(docs).repartitionByRange(workers(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ids = checkpointed(ranged.mapInArrow(_tokenised(tokenizer or public_tokenizers.path(TOKENIZER)), "doc_id long, ids binary"))
-    counts = np.zeros(1 << 16, np.int64)
-    for row in ids.mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    path = tokenizer or public_tokenizers.path(TOKENIZER)
+    kind, n = id_kind(path)
+    # Rows that share a doc_id are told apart by how their texts begin, so that they can lie in several ranges.
+    ranged = texts(docs).repartitionByRange(workers(docs.sparkSession), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    ids = checkpointed(ranged.mapInArrow(_tokenised(path, kind), "doc_id long, ids binary"))
+    counts = np.zeros(n, np.int64)
+    for row in ids.mapInArrow(_counted(kind, n), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
-    lengths = code_lengths(counts)
+    lengths = code_lengths(counts, max(LONGEST, n.bit_length() + 1))
     docs.sparkSession.createDataFrame([(i, int(lengths[i])) for i in np.flatnonzero(lengths).tolist()], "id int, length int").coalesce(1).write.parquet(f"{folder}/lengths")
-    ids.mapInArrow(_written(lengths), BLOCKS).write.parquet(f"{folder}/blocks")
+    ids.mapInArrow(_written(lengths, kind), BLOCKS).write.parquet(f"{folder}/blocks")
 
 
 def _read(lengths: np.ndarray, digest: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("file", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()) if digest else ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(lengths)
+        decoder = Decoder(lengths, max(1, int(lengths.max())))
         for batch in slices(batches, "bits", 1 << 20):
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"], np.int64)
@@ -297,8 +306,9 @@ def _read(lengths: np.ndarray, digest: bool):
 
 def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and the ids (or, with ``digest``, their ids_crc32)."""
-    lengths = np.zeros(1 << 16, np.int64)
-    for row in spark.read.parquet(f"{folder}/lengths").collect():
+    found = spark.read.parquet(f"{folder}/lengths").collect()
+    lengths = np.zeros(max((r["id"] for r in found), default=0) + 1, np.int64)
+    for row in found:
         lengths[row["id"]] = row["length"]
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     total = {r[0]: r[1] for r in blocks.groupBy("file").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).collect()}
