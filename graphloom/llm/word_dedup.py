@@ -2,17 +2,20 @@
 
 A window is 13 consecutive words.  Its minimiser is the least of its 3-word grams in a fixed order;
 consecutive windows with the same minimiser travel as one packed string to the minimiser's bucket, where
-the windows are sorted and counted exactly: fingerprints first, then the strings of equal fingerprints.
+the windows are sorted and counted exactly: fingerprints first, then the words of equal fingerprints.
 What counts is the least doc_id that a window starts in; every document with a greater one loses it.
 
-Grams that are very frequent (a line or passage that a large part of all documents has) come last in the
-order, so that a window that has any other gram goes to that one's bucket; a task sends each distinct
-window of theirs once, for the least of its documents, since the others know already that they lose it.
+A task sends each distinct window of a slice of texts once, for the least of its documents; the others know
+already that they lose it (there, too, the words decide).  Grams that are very frequent (a line or passage
+that a large part of all documents has) come last in the order, so that a window that has any other gram
+goes to that one's bucket.  Which grams those are is estimated from a part of the texts; it decides the way
+that a window takes, never what becomes of it.  Lost windows travel packed by the rows' own buckets.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,14 +24,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, texts, workers
-from .hashing import Prefixes
+from .common import slices, table, texts, workers
+from .hashing import Prefixes, mixed
 
 WINDOW, GRAM = 13, 3
 #: Bytes of text that are looked at together.
 TOGETHER = 2_000_000
 #: A gram is very frequent if it is this part of a bucket's fair share of all windows; so there are at most a bounded number.
 SHARE = 0.25
+#: Of so many rows one is looked at for frequent grams.
+SAMPLED = 8
 
 
 class Words:
@@ -89,49 +94,93 @@ def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_grams(docs: DataFrame) -> np.ndarray:
-    """The very frequent grams: at most one for each ``SHARE`` of a bucket, from all documents' counts."""
+    """The very frequent grams: at most one for each ``SHARE`` of a bucket, estimated from one row in ``SAMPLED``.
+
+    Their order in the minimisers is all that depends on it.
+    """
+    docs = docs.filter(F.pmod(F.xxhash64("k", "doc_id"), F.lit(SAMPLED)) == 0)
     found = docs.mapInArrow(_frequent, "gram long, n long, windows long").groupBy("gram").agg(F.sum("n").alias("n"))
     total = found.filter("gram IS NULL").first()
     fair = SHARE * (total["n"] if total else 0) / workers(docs.sparkSession)
-    rows = found.filter(F.col("gram").isNotNull() & (F.col("n") > max(fair, 50))).collect()
+    rows = found.filter(F.col("gram").isNotNull() & (F.col("n") > max(fair, 50 / SAMPLED))).collect()
     return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
 
 
-ROWS = "bucket int, doc_id long, at array<int>, packed binary, sizes binary, docs binary, places binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("packed", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
+ROWS = "bucket int, packed binary, sizes binary, docs binary, keys binary, places binary, lost binary"
+_SCHEMA = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("packed", "sizes", "docs", "keys", "places", "lost"))])
+#: A row of docs (its id, and a hash of its text in case rows share an id) and a word where a window starts that it loses.
+LOST = np.dtype([("doc", "<i8"), ("k", "<i8"), ("at", "<i4")])
+#: In place of a word: the row has windows that occur in it again, of which one stands for all.
+AGAIN = -1
+
 
+def _bucket_of(doc: np.ndarray, k: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ k.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
-def _sent(hot: np.ndarray, buckets: int):
-    """Packed strings by bucket, and for each document the windows that it loses to another of the same task."""
+
+def _packed_lost(lost: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    bucket = _bucket_of(lost["doc"], lost["k"], buckets)
+    order = np.argsort(bucket, kind="stable")
+    lost, bucket = lost[order], bucket[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    return [(int(bucket[i]), lost[i:j].tobytes()) for i, j in zip(first, [*first[1:], len(lost)], strict=False)]
+
+
+def _sent(hot: np.ndarray, parts: int, buckets: int):
+    """Packed strings by bucket, and the windows that a row loses to another of the same slice, packed by the rows' own buckets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", TOGETHER):
-            yield from _strings(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), hot, buckets, pack)
+            yield from _strings(batch.column("doc_id").to_numpy(), batch.column("k").to_numpy(), batch.column("text").to_pylist(), hot, parts, buckets, pack)
 
     return run
 
 
-def _strings(ids: list[int], held: list[str], hot: np.ndarray, buckets: int, pack) -> Iterator[pa.RecordBatch]:
-    words = Words(held, 2)
+def _grouped(name: np.ndarray, doc_id: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Of each window the one that stands for all with its name: of the least document the first."""
+    order = np.lexsort((windows, doc_id, name))
+    new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+    stands = np.empty(len(name), np.int64)
+    stands[order] = order[new][np.cumsum(new) - 1]
+    return stands
+
+
+def _same_words(words: Words, windows: np.ndarray, stands: np.ndarray) -> bool:
+    """Whether windows have the words of those that stand for them; neighbours are compared as one string."""
+    i = np.flatnonzero(stands != np.arange(len(stands)))
+    if not len(i):
+        return True
+    a, b = windows[i], windows[stands[i]]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 1) | (np.diff(b) != 1))))
+    n = np.diff(np.append(first, len(a))) + WINDOW - 2
+    line, starts, ends = words.line, words.start, words.end
+    spans = zip(starts[a[first]].tolist(), ends[a[first] + n].tolist(), starts[b[first]].tolist(), ends[b[first] + n].tolist(), strict=True)
+    return all(line[w:x] == line[y:z] for w, x, y, z in spans)
+
+
+def _strings(ids: np.ndarray, keys: np.ndarray, held: list[str], hot: np.ndarray, parts: int, buckets: int, pack) -> Iterator[pa.RecordBatch]:
+    words = Words(held)
     windows = words.windows
     if not len(windows):
         return
-    doc_id = np.array(ids, np.int64)[words.doc[windows]]
-    last = words.end[windows + WINDOW - 1]
-    name = words.sums.of(words.start[windows], last), words.sums.of(words.start[windows], last, 1)
-    # Of equal windows only those in the least of the slice's documents go on, and of them one.
-    order = np.lexsort((windows, doc_id, name[1], name[0]))
-    new = np.concatenate(([True], (name[0][order][1:] != name[0][order][:-1]) | (name[1][order][1:] != name[1][order][:-1])))
-    group = np.cumsum(new) - 1
-    least = doc_id[order][new][group]
-    lost = np.zeros(len(windows), bool)
-    lost[order] = doc_id[order] > least
-    goes = np.zeros(len(windows), bool)
-    goes[order[new]] = True
-    again = ~lost & ~goes  # the same document's other windows with these words: they go as well, to be told
-    goes |= again
-    yield from _lost(words.doc[windows[lost]], windows[lost] - words.first[words.doc[windows[lost]]], ids, buckets)
+    doc = words.doc[windows]
+    start, end = words.start[windows], words.end[windows + WINDOW - 1]
+    stands = _grouped(words.sums.of(start, end), ids[doc], windows)
+    if not _same_words(words, windows, stands):  # two fingerprints met: names by the words themselves
+        names: dict[bytes, int] = {}
+        stands = _grouped(np.array([names.setdefault(words.line[a:b], len(names)) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), ids[doc], windows)
+    goes = stands == np.arange(len(windows))
+    gone = ids[doc] > ids[doc[stands]]
+    again = np.unique(doc[~goes & ~gone])
+    place = windows - words.first[doc]
+    lost = np.zeros(int(gone.sum()) + len(again), LOST)
+    whose = np.concatenate((doc[gone], again))
+    lost["doc"], lost["k"], lost["at"] = ids[whose], keys[whose], np.concatenate((place[gone], np.full(len(again), AGAIN)))
+    if len(lost):
+        rows = _packed_lost(lost, parts)
+        none = pa.nulls(len(rows), pa.binary())
+        yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), *(none,) * 5, pa.array([x for _, x in rows], pa.binary())], _SCHEMA)
     least_at = words.least(hot)
     cut = np.concatenate(([True], (least_at[1:] != least_at[:-1]) | (windows[1:] != windows[:-1] + 1) | ~goes[:-1] | ~goes[1:]))
     run = np.cumsum(cut) - 1
@@ -140,22 +189,14 @@ def _strings(ids: list[int], held: list[str], hot: np.ndarray, buckets: int, pac
     bucket = (words.grams()[least_at[cut][keep]] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     a, n, bucket = a[order], n[order], bucket[order]
-    start, end = words.start[a], words.end[a + n + WINDOW - 2]
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    start, end = words.start[a].tolist(), words.end[a + n + WINDOW - 2].tolist()
+    first = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    last = [*first[1:], len(bucket)][: len(first)]
     doc, line = words.doc[a], words.line
-    who, place = np.array(ids, np.int64)[doc], (a - words.first[doc]).astype("<i4")
-    for i, j in zip(first, np.append(first[1:], len(bucket))[: len(first)], strict=True):
-        packed = b"\n".join([line[x:y] for x, y in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)])
-        yield pa.record_batch([pa.array([bucket[i]], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([pack.compress(packed)]), pa.array([n[i:j].astype("<i4").tobytes()]), pa.array([who[i:j].tobytes()]), pa.array([place[i:j].tobytes()])], _SCHEMA)
-
-
-def _lost(doc: np.ndarray, place: np.ndarray, ids: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
-    if len(doc):
-        first = np.flatnonzero(np.diff(doc, prepend=-1))
-        places = [p.tolist() for p in np.split(place, first[1:])]
-        who = [ids[d] for d in doc[first]]
-        k = len(who)
-        yield pa.record_batch([pa.array([hash(x) % buckets for x in who], pa.int32()), pa.array(who, pa.int64()), pa.array(places, pa.list_(pa.int32())), *(pa.nulls(k, pa.binary()),) * 4], _SCHEMA)
+    packed = [pack.compress(b"\n".join([line[x:y] for x, y in zip(start[i:j], end[i:j], strict=True)])) for i, j in zip(first, last, strict=True)]
+    columns = n.astype("<i4"), ids[doc].astype("<i8"), keys[doc].astype("<i8"), (a - words.first[doc]).astype("<i4")
+    rows = [pa.array([x[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()) for x in columns]
+    yield pa.record_batch([pa.array(bucket[first], pa.int32()), pa.array(packed, pa.binary()), *rows, pa.nulls(len(first), pa.binary())], _SCHEMA)
 
 
 def _bounds(line: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,96 +209,135 @@ def _bounds(line: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return view, start[window], end[window + WINDOW - 1]
 
 
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the windows that they lose: those that came as such, and those that sorting a bucket's windows finds.
+FOUND = "bucket int, doc_id long, k long, times long, packed binary, lost binary"
+_FOUND = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("k", pa.int64()), ("times", pa.int64()), ("packed", pa.binary()), ("lost", pa.binary())])
+
+
+def _lost_rows(buckets: pa.Array, lost: pa.Array) -> pa.RecordBatch:
+    n = len(buckets)
+    return pa.record_batch([buckets, *(pa.nulls(n, pa.int64()),) * 3, pa.nulls(n, pa.binary()), lost], _FOUND)
+
+
+def _counted(parts: int):
+    """The windows that rows lose: those that came as such, and those that sorting a bucket's windows finds.
 
     Of each window only the fingerprint is kept; the rest is looked up where two are equal.
     """
-    unpack = zstandard.ZstdDecompressor()
-    packs, names, sizes, docs, places = [], [], [], [], []
-    for batch in batches:
-        ready = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
-        if ready.num_rows:
-            yield ready.select(["doc_id", "at"])
-        for packed, size, doc, place in zip(*(batch.column(c) for c in ("packed", "sizes", "docs", "places")), strict=True):
-            if packed.is_valid:
-                packs.append(packed.as_py())
-                sizes.append(np.frombuffer(size.as_py(), "<i4"))
-                docs.append(np.frombuffer(doc.as_py(), np.int64))
-                places.append(np.frombuffer(place.as_py(), "<i4"))
-                view, a, b = _bounds(unpack.decompress(packs[-1]) + b"\n", sizes[-1])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        packs, names, columns = [], [], {"sizes": [], "docs": [], "keys": [], "places": []}
+        for batch in batches:
+            ready = batch.filter(pa.compute.is_valid(batch.column("lost")))
+            if ready.num_rows:
+                yield _lost_rows(ready.column("bucket"), ready.column("lost"))
+            for row in batch.filter(pa.compute.is_valid(batch.column("packed"))).select(["packed", *columns]).to_pylist():
+                packs.append(row["packed"])
+                for name, kind in (("sizes", "<i4"), ("docs", "<i8"), ("keys", "<i8"), ("places", "<i4")):
+                    columns[name].append(np.frombuffer(row[name], kind))
+                view, a, b = _bounds(unpack.decompress(packs[-1]) + b"\n", columns["sizes"][-1])
                 names.append(Prefixes(view).of(a, b))
-    if not packs:
-        return
-    last = np.cumsum([len(n) for n in names])  # windows up to each pack
-    name = np.concatenate(names)
-    names.clear()
-    order = np.argsort(name, kind="stable")
-    same = name[order][1:] == name[order][:-1]
-    twice = np.sort(order[np.concatenate((same, [False])) | np.concatenate(([False], same))])
-    del name, order, same
-    size = np.concatenate(sizes)
-    string_end = np.cumsum(size)
-    string = np.searchsorted(string_end, twice, "right")
-    doc = np.concatenate(docs)[string]
-    place = np.concatenate(places)[string] + (twice - string_end[string] + size[string])
-    # Equal fingerprints only: the words themselves decide.
-    pack_of = np.searchsorted(last, twice, "right")
-    least: dict[bytes, int] = {}
-    lose = np.zeros(len(twice), bool)
-    for decide in (False, True):
-        for k in np.unique(pack_of).tolist():
-            mine = np.arange(*np.searchsorted(pack_of, (k, k + 1)))
-            line = unpack.decompress(packs[k]) + b"\n"
-            _, a, b = _bounds(line, sizes[k])
-            at = twice[mine] - (last[k] - len(a))
-            for i, x, y, d in zip(mine.tolist(), a[at].tolist(), b[at].tolist(), doc[mine].tolist(), strict=True):
+        if not packs:
+            return
+        last = np.cumsum([len(n) for n in names])  # windows up to each pack
+        name = np.concatenate(names)
+        names.clear()
+        order = np.argsort(name, kind="stable")
+        same = name[order][1:] == name[order][:-1]
+        twice = np.sort(order[np.concatenate((same, [False])) | np.concatenate(([False], same))])
+        del name, order, same
+        if not len(twice):
+            return
+        size = np.concatenate(columns["sizes"])
+        string_end = np.cumsum(size)
+        string = np.searchsorted(string_end, twice, "right")
+        doc, key = np.concatenate(columns["docs"])[string], np.concatenate(columns["keys"])[string]
+        place = np.concatenate(columns["places"])[string] + (twice - string_end[string] + size[string])
+        # Equal fingerprints only: the words themselves decide.
+        pack_of = np.searchsorted(last, twice, "right")
+        least: dict[bytes, int] = {}
+        lose = np.zeros(len(twice), bool)
+        for decide in (False, True):
+            for k in np.unique(pack_of).tolist():
+                mine = np.arange(*np.searchsorted(pack_of, (k, k + 1)))
+                line = unpack.decompress(packs[k]) + b"\n"
+                _, a, b = _bounds(line, columns["sizes"][k])
+                at = twice[mine] - (last[k] - len(a))
                 if decide:
-                    lose[i] = least[line[x:y]] < d
+                    lose[mine] = [least[line[x:y]] < d for x, y, d in zip(a[at].tolist(), b[at].tolist(), doc[mine].tolist(), strict=True)]
                 else:
-                    words = line[x:y]
-                    if least.setdefault(words, d) > d:
-                        least[words] = d
-    lost = np.flatnonzero(lose)
-    lost = lost[np.lexsort((place[lost], doc[lost]))]
-    if len(lost):
-        cut = np.flatnonzero(np.diff(doc[lost], prepend=doc[lost][0] - 1))
-        yield pa.record_batch({"doc_id": pa.array(doc[lost][cut]), "at": pa.array([p.tolist() for p in np.split(place[lost], cut[1:])], pa.list_(pa.int32()))})
+                    for x, y, d in zip(a[at].tolist(), b[at].tolist(), doc[mine].tolist(), strict=True):
+                        words = line[x:y]
+                        if least.setdefault(words, d) > d:
+                            least[words] = d
+        lost = np.zeros(int(lose.sum()), LOST)
+        lost["doc"], lost["k"], lost["at"] = doc[lose], key[lose], place[lose]
+        if len(lost):
+            rows = _packed_lost(lost, parts)
+            yield _lost_rows(pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()))
+
+    return run
 
 
-def lost_windows(docs: DataFrame) -> DataFrame:
-    """doc_id and ``at``: the words where windows start that a document with a smaller doc_id has too (in any order, some twice)."""
-    docs = texts(docs).filter("doc_id IS NOT NULL")
-    parts = workers(docs.sparkSession)
-    rows = docs.mapInArrow(_sent(frequent_grams(docs), 4 * parts), ROWS).repartition(parts, "bucket")
-    rows = rows.mapInArrow(_counted, "doc_id long, at array<int>")
-    return rows.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
+def _zipped(parts: int):
+    """The rows' texts by their own buckets; equal rows of a slice as one."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches, "text", TOGETHER):
+            times = Counter(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k", "text")), strict=True))
+            ids, keys, texts_ = zip(*times, strict=True)
+            bucket = _bucket_of(np.array([d or 0 for d in ids], np.int64), np.array(keys, np.int64), parts)
+            packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts_]
+            yield pa.record_batch([pa.array(bucket, pa.int32()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(times.values(), pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(ids), pa.binary())], _FOUND)
+
+    return run
 
-def _zipped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "packed": pa.array([pack.compress((x or "").encode("utf-8", "surrogatepass")) for x in batch.column("text").to_pylist()], pa.binary())})
 
+def _everywhere(line: list[bytes], places: np.ndarray) -> np.ndarray:
+    """All places of the text where one of the windows at these places starts."""
+    text = b" ".join(line)
+    words = Words([text.decode("utf-8", "surrogatepass")])
+    name = words.sums.of(words.start[words.windows], words.end[words.windows + WINDOW - 1])
+    lost = {tuple(line[p : p + WINDOW]) for p in places.tolist()}
+    near = words.windows[np.isin(name, name[places])]
+    return np.array([p for p in near.tolist() if tuple(line[p : p + WINDOW]) in lost], np.int64)
 
-KEPT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
+OUT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 
-def _kept(digest: bool):
-    def run(packed: pa.Array, at: pa.Array) -> pa.Array:
-        unpack, rows = zstandard.ZstdDecompressor(), []
-        for data, places in zip(packed, at, strict=True):
-            words = unpack.decompress(data.as_py()).split()
+
+def _finished(digest: bool):
+    """A bucket's rows without what they lose."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, lost, rows = zstandard.ZstdDecompressor(), [np.zeros(0, LOST)], []
+        for batch in batches:
+            lost += [np.frombuffer(x, LOST) for x in batch.column("lost").to_pylist() if x is not None]
+            rows += batch.filter(pa.compute.is_valid(batch.column("packed"))).select(["doc_id", "k", "times", "packed"]).to_pylist()
+        every = np.concatenate(lost)
+        every = every[np.lexsort((every["at"], every["k"], every["doc"]))]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), (np.diff(every["doc"]) != 0) | (np.diff(every["k"]) != 0))))
+        at = {(int(every["doc"][i]), int(every["k"][i])): (i, j) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(every)], strict=False)}
+        out = []
+        for row in rows:
+            words = unpack.decompress(row["packed"]).split()
             gone = np.zeros(len(words) + 1, np.int64)
-            if places.is_valid:
-                p = np.unique(places.values.to_numpy())
-                p = p[p + WINDOW <= len(words)]
+            if row["doc_id"] is not None and (found := at.get((row["doc_id"], row["k"]))):
+                p = np.unique(every["at"][slice(*found)]).astype(np.int64)
+                if p[0] == AGAIN:
+                    p = _everywhere(words, p[1:]) if len(p) > 1 else p[1:]
                 gone[p] += 1
-                np.subtract.at(gone, p + WINDOW, 1)
+                gone[p + WINDOW] -= 1
             gone = np.cumsum(gone)[:-1] > 0
             left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
-            rows.append({"n_words": len(words), "n_removed": int(gone.sum()), "kept": None if digest else left.decode("utf-8", "surrogatepass"), "kept_sha256": hashlib.sha256(left).hexdigest()})
-        return pa.array(rows, KEPT)
+            out += [(row["doc_id"], len(words), int(gone.sum()), None if digest else left.decode("utf-8", "surrogatepass"), hashlib.sha256(left).hexdigest())] * row["times"]
+            if len(out) > 4096 or not digest and sum(len(x[3]) for x in out[-1:]) > 1 << 20:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema)
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema)
 
     return run
 
@@ -266,13 +346,16 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words, joined by a space; null with ``digest``) and kept_sha256.
 
     A word goes if a window that covers it starts in a document with a smaller doc_id too; windows are judged
-    on the input.  Null texts have no words; rows without a doc_id lose nothing; rows that share a doc_id are
-    taken as one document's, so they don't take words from each other; other columns aren't looked at.
+    on the input.  Null texts have no words; rows without a doc_id lose nothing and take nothing; rows that
+    share a doc_id don't take words from each other, and each loses its own; repeated rows each give a row;
+    other columns aren't looked at.
     """
-    lost = lost_windows(docs)
-    packed = docs.select("doc_id", "text").mapInArrow(_zipped, "doc_id long, packed binary")
-    kept = F.arrow_udf(_kept(digest), "struct<n_words:bigint,n_removed:bigint,kept:string,kept_sha256:string>")
-    return packed.join(lost.hint("merge"), "doc_id", "left").select("doc_id", kept("packed", "at").alias("x")).select("doc_id", "x.*")
+    docs = texts(docs).withColumn("k", F.xxhash64("text"))
+    known = docs.filter("doc_id IS NOT NULL")
+    parts = workers(docs.sparkSession)
+    rows = known.mapInArrow(_sent(frequent_grams(known), parts, 4 * parts), ROWS).repartition(parts, "bucket")
+    lost = rows.mapInArrow(_counted(parts), FOUND)
+    return docs.mapInArrow(_zipped(parts), FOUND).union(lost).repartition(parts, "bucket").mapInArrow(_finished(digest), OUT)
 
 
 def op5_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

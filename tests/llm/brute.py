@@ -24,13 +24,13 @@ def word_dedup(rows, window=13):
     words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
     least = {}
     for d, w in words:
-        for i in range(len(w) - window + 1):
+        for i in range(len(w) - window + 1 if d is not None else 0):
             key = tuple(w[i : i + window])
             least[key] = min(d, least.get(key, d))
     out = []
     for d, w in words:
         gone = set()
-        for i in range(len(w) - window + 1):
+        for i in range(len(w) - window + 1 if d is not None else 0):
             if least[tuple(w[i : i + window])] < d:
                 gone |= set(range(i, i + window))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)

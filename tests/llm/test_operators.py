@@ -1,5 +1,6 @@
 """Each operator against a plain version, a library or an exact round trip, with nulls, empty and long texts, ties and clashing columns."""
 
+import hashlib
 import os
 import random
 import zlib
@@ -95,8 +96,25 @@ def test_byte_dedup(spark):
 
 
 def test_word_dedup(spark):
-    unique = list(dict(ROWS).items())
-    same(table(word_dedup.deduplicated(docs(spark, unique)), "doc_id", "n_words", "n_removed", "kept_sha256"), brute.word_dedup(unique))
+    """Rows that share an id (with equal and with other texts), rows without one, and windows that a text has twice."""
+    p, q = PASSAGES[-1] + " a b c d e f g h i j k l m", " ".join(f"w{k}" for k in range(40))
+    more = [(900, p), (901, f"{p} {q} {p}"), (901, q + " tail of another row"), (901, f"{p} {q} {p}"), (None, p), (None, q), (899, q), (902, "same " * 300), (903, "same " * 90 + p)]
+    rows = ROWS + more
+    same(table(word_dedup.deduplicated(docs(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256"), brute.word_dedup(rows))
+    full = word_dedup.deduplicated(docs(spark, rows)).collect()
+    assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in full) and len(full) == len(rows)
+
+
+def test_word_dedup_when_fingerprints_meet(spark, monkeypatch):
+    """Equal fingerprints of other words change nothing: the words decide."""
+    held = [t or "" for _, t in ROWS]
+    ids, keys = np.array([d for d, _ in ROWS]), np.arange(len(ROWS))
+    run = lambda: [b.to_pylist() for b in word_dedup._strings(ids, keys, held, np.zeros(0, np.uint64), 4, 4, __import__("zstandard").ZstdCompressor())]
+    want = run()
+    of = word_dedup.Prefixes.of
+    monkeypatch.setattr(word_dedup.Prefixes, "of", lambda self, a, b, base=0: of(self, a, b, base) if len(a) and (b - a).max() < 60 else of(self, a, b, base) % np.uint64(50))
+    lost = lambda rows: sorted(x for b in rows for r in b if r["lost"] for x in np.frombuffer(r["lost"], word_dedup.LOST).tolist())
+    assert lost(run()) == lost(want)
 
 
 def test_ngram_join(spark):
@@ -146,22 +164,35 @@ def test_pieces(spark):
         assert b"".join(data[a:b] for a, b in zip(p["starts"], p["ends"], strict=True)) == data
 
 
-def test_character_map_against_library():
+@pytest.mark.parametrize("spaces", [False, True])
+@pytest.mark.parametrize("prefix", [False, True])
+@pytest.mark.parametrize("fallback", [False, True])
+def test_pieces_of_a_model_with_a_character_map(tmp_path, spaces, prefix, fallback):
+    """The ids come from the operator's own normalisation; the library normalises for itself."""
     import sentencepiece
-
-    norm = sentencepiece.SentencePieceNormalizer(rule_name="nfkc")
     from sentencepiece import sentencepiece_model_pb2 as spm
 
-    proto = spm.NormalizerSpec.FromString(norm.serialized_normalizer_spec() if callable(norm.serialized_normalizer_spec) else norm.serialized_normalizer_spec)
-    cmap = pieces.CharacterMap(proto.precompiled_charsmap)
-    if not cmap.units:
-        pytest.skip("the library does not hand out its map")
-    for sample in ("ﬁne", "①②", "Ａｂｃ", "é", "가나", "㍿ x", "plain"):
-        got, place = pieces.aligned(sample.encode(), cmap)
-        import unicodedata
-
-        assert got.decode() == unicodedata.normalize("NFKC", sample)
-        assert len(place) == len(got) + 1 and (np.diff(place) >= 0).all() and place[-1] == len(sample.encode())
+    norm = spm.NormalizerSpec.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nfkc").serialized_normalizer_spec())
+    with open(public_tokenizers.path(pieces.MODEL), "rb") as file:
+        proto = spm.ModelProto.FromString(file.read())
+    spec = proto.normalizer_spec
+    spec.precompiled_charsmap, spec.remove_extra_whitespaces, spec.add_dummy_prefix = norm.precompiled_charsmap, spaces, prefix
+    if not fallback:
+        proto.trainer_spec.byte_fallback = False
+        for piece in proto.pieces:
+            piece.type = 1 if piece.type == 6 else piece.type
+    path = tmp_path / "own.model"
+    path.write_bytes(proto.SerializeToString())
+    model = pieces.Pieces(str(path))
+    assert model.map.units and not model.simple
+    for sample in ("", " ", "ﬁne ①②  Ａｂｃ ", "  é 가나 ㍿ x", "😀 \u0001 a\tb", "plain words", "한 " * 30):
+        line, place = model.normalised(sample)
+        ids = model.plain.encode(line)
+        assert ids == model.lib.encode(sample) == model.ids([sample])[0]
+        start, end = model.spans(line, ids, place)
+        data = sample.encode()
+        assert len(place) == len(line.encode()) + 1 and (start <= end).all() and (np.diff(start) >= 0).all() and (not len(end) or end[-1] <= len(data))
+        assert spaces or b"".join(data[a:b] for a, b in zip(start, np.append(start[1:], len(data)), strict=False)) == data
 
 
 def test_huffman_files(spark):
@@ -176,6 +207,25 @@ def test_huffman_files(spark):
     same(got, want)
 
 
+def test_tokens_of_any_tokenizer():
+    """Chunk by chunk and whole, with the tokenizer's own file and with one that keeps white space."""
+    every = [t or "" for _, t in ROWS] + ["Don't we'LL 's <|endoftext|>x <|startoftext|> \u00a0a\u0085b\x1cc", "ǅ İstanbul ſ ª² ×÷ Ÿ", "a\u0301 e\u0301\u0300", "x1²½ 😀😀!!?? ́a", "\u2028A B\u3000C"]
+    for name, by_chunk in ((huffman_ids.TOKENIZER, True), ("byte_bpe_50k.json", False)):
+        tokens = huffman_ids.Tokens(public_tokenizers.path(name))
+        assert tokens.by_chunk == by_chunk
+        for turn in range(2):
+            for t, ids in zip(every, tokens.encode(every), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == tokens.lib.encode(t, add_special_tokens=False).ids, t
+            tokens.chunks.bound = 1000  # from now on it forgets
+
+
+def test_a_worker_holds_one_operators_state():
+    from graphloom.llm import common
+
+    assert common.held("a", lambda: [1]) == common.held("a", lambda: [2]) == [1]
+    assert common.held("b", lambda: [3]) == [3] and common._worker == {"key": "b", "value": [3]}
+
+
 def test_huffman_code():
     r = np.random.default_rng(1)
     for n in (1, 2, 3, 300, 50_000):
