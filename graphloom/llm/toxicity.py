@@ -1,11 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary text, give each word a probability: its discounted count in the
-class, else what its longer and then its shorter stem have, counted by how many different words continue
-them (Kneser-Ney), and last the share of the stem's words in the whole corpus, which both models have in
-common - so a rare expression that neither class knows better says next to nothing.  A text's score comes
-from the difference of the two log-likelihoods, divided by length: that of the whole text and that of its
-most toxic passage.  A logistic curve, fitted on held-back halves of the training rows, makes it 0 to 1.
+Two models, of toxic and of ordinary text, give each word a probability after the word before it.  Each order
+takes a discount off its counts and deals what that spares by the order below (interpolated Kneser-Ney):
+
+1. the pair of words, by the class's documents that have it,
+2. the word, by the different words that it follows in the class (its continuations),
+3. its longer and its shorter stem, by the different words that continue them in the class,
+4. what the whole corpus has of the stem, and of the word among its stem's words: these counts are shared, so a
+   rare expression that neither class knows has the same last factor in both.
+
+A text's log-likelihood under either model is divided by its length; the differences - of the whole text, of
+its most toxic passages and words - go through a logistic curve, which halves of the training rows fit on
+models of the other halves.  Of a word outside the training rows the shared factors cancel exactly, so that
+scoring needs only the counts of what the training rows have; the sums behind these cover the whole corpus.
 """
 
 from __future__ import annotations
@@ -17,40 +24,60 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import held, slices, stored, table
 
-#: The models are fitted on at most about this many labelled rows, chosen by a hash of their ids; texts are whole.
+#: The class models and the curve are fitted on at most about this many labelled rows, chosen by a hash of their ids; texts are whole.
 TRAINING_ROWS = 30_000
-#: A word counts once for each document; words of fewer training documents have no ratio of their own, but count in their stems'.
-LEAST_DOCUMENTS = 3
-#: Taken off every count (singletons are left to the lower order, as in modified Kneser-Ney).
+#: Taken off every count: singletons are left to the order below, as in modified Kneser-Ney.
 DISCOUNT = 1.5
 #: Bytes of the longer and the shorter stem, and the words of the passages looked at.
 STEMS, PASSAGES = (7, 5), (1, 3, 12, 50)
+#: A word's evidence beyond either counts as strong (log-likelihood ratio).
+STRONG = (1.5, 3.0)
 THRESHOLD = 0.7
+#: Words or pairs that a task gathers before it writes them out, and words that a worker remembers.
+GATHERED, REMEMBERED = 500_000, 300_000
+FEATURES = 8 + len(PASSAGES)
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_held: dict = {}
+#: In place of the word before the first one.
+START = b""
 
 
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
-def _document_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many training documents of each class and half have a word."""
+def keys_of(words: Iterable[bytes]) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64)
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = before * np.uint64(0x9E3779B97F4A7C15) + word
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _training_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many training documents of each class and half have a pair of words."""
     counts: Counter = Counter()
-    rows: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        keys = list(counts)
+        columns = {"before": keys_of(k[2] for k in keys).view(np.int64), "word": keys_of(k[3] for k in keys).view(np.int64)}
+        return pa.record_batch({**{k: pa.array(v) for k, v in columns.items()}, "toxic": pa.array([k[0] for k in keys], pa.int32()), "half": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array(list(counts.values()), pa.int32())})
+
     for batch in slices(batches):
-        for toxic, half, text in zip(batch.column("toxic").to_pylist(), batch.column("half").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = set(words_of(text))
-            counts.update((toxic, half, w) for w in words)
-            rows[toxic, half] += 1
-    keys = list(counts)
-    yield pa.record_batch({"toxic": pa.array([k[0] for k in keys], pa.int32()), "half": pa.array([k[1] for k in keys], pa.int32()), "word": pa.array([k[2] for k in keys], pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+        for toxic, half, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "half", "text")), strict=True):
+            words = words_of(text)
+            counts.update((toxic, half, v, w) for v, w in set(zip([START, *words], words, strict=False)))
+            if len(counts) > GATHERED:
+                yield out()
+                counts.clear()
+    yield out()
 
 
 def _corpus_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,77 +85,132 @@ def _corpus_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     counts: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.record_batch({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+        stems = {f"stem{size}": keys_of(w[:size] for w in counts).view(np.int64) for size in STEMS}
+        return pa.record_batch({"word": pa.array(keys_of(counts).view(np.int64)), **{k: pa.array(v) for k, v in stems.items()}, "n": pa.array(list(counts.values()), pa.int64())})
 
     for batch in slices(batches):
         for text in batch.column("text").to_pylist():
             counts.update(set(words_of(text)))
-        if len(counts) > 500_000:
-            yield out()
-            counts.clear()
+            if len(counts) > GATHERED:
+                yield out()
+                counts.clear()
     yield out()
 
 
+def _dealt(level: np.ndarray, lower: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order without context: each key's probability by class, and the share that the discount spares.
+
+    ``lower`` is the probability of each key's lower order, ``part`` the key's share of that one in the corpus.
+    """
+    sums = np.maximum(level.sum(0), 1.0)
+    spare = np.maximum(np.minimum(level, DISCOUNT).sum(0) / sums, 1e-6)
+    return np.maximum(level - DISCOUNT, 0) / sums + spare * lower * part[:, None], spare
+
+
+def _looked_up(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the asked ones are among sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
 class Model:
-    """Log-likelihood ratios (toxic to ordinary) of words and stems; what is missing has the ratio of its shorter stem, or 0."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, shared: np.ndarray, own: np.ndarray):
-        """counts: training documents of each word, ordinary and toxic; shared: its documents in the corpus; own: whether it has a ratio of its own.
-
-        Every word counts in the stems, the base and the sums, also one without a ratio of its own.
-        """
-        seen = counts.sum(1) > 0
-        words = [w for w, x in zip(words, seen, strict=True) if x]
-        counts, shared, own = counts[seen].astype(float), shared[seen].astype(float), own[seen]
-        stems = [np.unique(np.array(words, f"S{size}"), return_inverse=True) for size in reversed(STEMS)]  # words hold no zero bytes
-        stems = [(keys, at, np.bincount(at, shared, len(keys))) for keys, at in stems]
-        self.stems: list[tuple[np.ndarray, np.ndarray]] = []
-        total = shared.sum() or 1.0
-        lower, above = np.column_stack((stems[0][2], stems[0][2])) / total, stems[0][2]  # of each key's lower order
-        for k, (keys, at, documents) in enumerate(stems):
-            # Lower orders count the words, not their occurrences.
+    """Log-likelihood ratios (toxic to ordinary).
+
+    words, stems, shared: of each training word its key, its stems' keys, and the documents that have it, its
+    longer and its shorter stem in the corpus; total: the sum of all words' documents there.  continuations: in how
+    many pairs of each class (ordinary, toxic) a word is second.  before, word, pairs: pairs and their
+    documents by class, those with a count of 2 or more.  contexts, spared: keys of first words, and by class what the
+    discount leaves of their pairs' sums.
+    """
+
+    def __init__(self, words, stems, shared, total, continuations, before, word, pairs, contexts, sums, spared):
+        order = np.argsort(words)
+        self.words, stems, shared, counts = words[order], stems[order], shared[order].astype(float), continuations[order].astype(float)
+        self.stems: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.rest: list[float] = []  # of each order what the classes spare, shorter stem first
+        lower, above = np.ones((len(words), 2)), np.full(len(words), max(float(total), 1.0))
+        for column, size in reversed(list(enumerate(STEMS))):
+            keys, first, at = np.unique(stems[:, column], return_index=True, return_inverse=True)
+            documents = shared[:, 1 + column][first]
             level = np.column_stack([np.bincount(at, counts[:, c] > 0, len(keys)) for c in (0, 1)])
-            now = _probability(level, lower, documents / above)
-            self.stems.append((keys, np.log(now[:, 1] / now[:, 0])))
+            now, spare = _dealt(level, lower[first], documents / np.maximum(above[first], 1.0))
+            self.stems.append((size, keys, np.log(now[:, 1] / now[:, 0])))
+            self.rest.append(math.log(spare[1] / spare[0]))
             lower, above = now[at], documents[at]
-            if k + 1 < len(stems):  # a word of each key of the next level stands for it
-                _, first = np.unique(stems[k + 1][1], return_index=True)
-                lower, above = lower[first], above[first]
-        now = _probability(counts, lower, shared / above)
-        ratio = np.log(now[:, 1] / now[:, 0])
-        self.words: dict[bytes, float] = {words[k]: float(ratio[k]) for k in np.flatnonzero(own)}
-        self.memory: dict[bytes, float] = {}
-
-    def of(self, words: list[bytes]) -> list[float]:
-        values = np.zeros(len(words))
-        for (keys, ratio), size in zip(self.stems, reversed(STEMS), strict=True):  # longer stems overrule
-            if len(keys):
-                stems = np.array(words, f"S{size}")
-                at = np.minimum(np.searchsorted(keys, stems), len(keys) - 1)
-                values = np.where(keys[at] == stems, ratio[at], values)
-        return [self.words.get(w, v) for w, v in zip(words, values.tolist(), strict=True)]
-
-    def features(self, text: str) -> list[float]:
-        """The difference of log-likelihoods per word, of the whole text and of the most toxic passage of each length (shorter texts are padded)."""
-        words = words_of(text)
-        if not words:
-            return [0.0] * (2 + len(PASSAGES))
-        memory = self.memory
-        if len(memory) > 300_000:
-            memory.clear()
-        if new := [w for w in set(words) if w not in memory]:
-            memory.update(zip(new, self.of(new), strict=True))
-        values = np.array([memory[w] for w in words])
-        total = np.concatenate(([0.0], np.cumsum(values), np.full(max(PASSAGES), values.sum())))
-        best = [float((total[size:] - total[:-size]).max()) / size for size in PASSAGES]
-        return [float(values.mean()), float(values.sum()) / math.sqrt(len(values)), *best]
-
-
-def _probability(level: np.ndarray, lower: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """A level's discounted counts by class, and what the discount spares dealt by the lower order and each key's part of it."""
-    sums = np.maximum(level.sum(0), 1.0)
-    spare = np.maximum(np.minimum(level, DISCOUNT).sum(0) / sums, 1e-6)
-    return np.maximum(level - DISCOUNT, 0) / sums + spare * lower * part[:, None]
+        self.probability, spare = _dealt(counts, lower, shared[:, 0] / np.maximum(above, 1.0)) if len(words) else (np.zeros((0, 2)), np.ones(2))
+        self.rest.append(math.log(spare[1] / spare[0]))
+        self.ratio = np.log(self.probability[:, 1] / self.probability[:, 0])
+        # Pairs: what a first word's pairs leave is dealt by the second word's own probability.
+        order = np.argsort(contexts)
+        self.contexts, sums, spared = contexts[order], sums[order].astype(float), spared[order].astype(float)
+        gamma = np.where(sums > 0, np.maximum(spared / np.maximum(sums, 1.0), 1e-6), 1.0)
+        self.backoff = np.log(gamma[:, 1] / gamma[:, 0])
+        c, w = np.searchsorted(self.contexts, before), np.searchsorted(self.words, word)
+        both = np.maximum(pairs - DISCOUNT, 0) / np.maximum(sums[c], 1.0) + gamma[c] * self.probability[w] if len(pairs) else np.zeros((0, 2))
+        keys = pair_keys(before, word)
+        order = np.argsort(keys)
+        self.pairs, self.pair_ratio = keys[order], np.log(both[:, 1] / both[:, 0])[order]
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words their keys, their ratios without context, and what their pairs' discounts leave as contexts."""
+        keys = keys_of(words)
+        out, known = np.full(len(words), sum(self.rest)), np.zeros(len(words), bool)
+        for k, (size, stems, ratio) in reversed(list(enumerate(self.stems))):
+            at, hit = _looked_up(stems, keys_of(w[:size] for w in words))
+            hit &= ~known
+            out[hit] = ratio[at[hit]] + sum(self.rest[k + 1 :])
+            known |= hit
+        at, hit = _looked_up(self.words, keys)
+        out[hit] = self.ratio[at[hit]]
+        at, hit = _looked_up(self.contexts, keys)
+        return keys, out, np.where(hit, self.backoff[at], 0.0) if len(self.contexts) else np.zeros(len(words))
+
+    def after(self, before: np.ndarray, backoff: np.ndarray, keys: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+        """The words' ratios after the words before them."""
+        at, hit = _looked_up(self.pairs, pair_keys(before, keys))
+        return np.where(hit, self.pair_ratio[at], ratio + backoff) if len(self.pairs) else ratio + backoff
+
+
+class Scorer:
+    """A model with the words that a worker has met."""
+
+    def __init__(self, model: Model):
+        self.model, self.index = model, {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.index.clear()
+        self.keys, self.ratio, self.backoff = self.model.of([START])
+        self.index[START] = 0
+
+    def features(self, texts: list[str]) -> list[list[float]]:
+        """Of each text the length-normalised differences of its log-likelihoods: with and without context, of the most
+        toxic passage of each length (shorter texts are padded), of its most toxic words, and the strong evidence per word."""
+        if len(self.index) > REMEMBERED:
+            self.clear()
+        tokens = [words_of(t) for t in texts]
+        new = list({w for words in tokens for w in words} - self.index.keys())
+        if new:
+            self.index.update(zip(new, range(len(self.keys), len(self.keys) + len(new)), strict=True))
+            more = self.model.of(new)
+            self.keys, self.ratio, self.backoff = (np.concatenate(x) for x in zip((self.keys, self.ratio, self.backoff), more, strict=True))
+        out = []
+        for words in tokens:
+            if not words:
+                out.append([0.0] * FEATURES)
+                continue
+            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            before = np.concatenate(([0], at[:-1]))
+            values = self.ratio[at]
+            context = self.model.after(self.keys[before], self.backoff[before], self.keys[at], values)
+            total = np.concatenate(([0.0], np.cumsum(values), np.full(max(PASSAGES), values.sum())))
+            best = [float((total[size:] - total[:-size]).max()) / size for size in PASSAGES]
+            top = np.append(np.sort(self.ratio[np.unique(at)])[: -6 : -1], np.zeros(5))
+            strong = [float(np.maximum(values - x, 0).sum()) / len(words) for x in STRONG]
+            out.append([float(context.mean()), float(values.mean()), float(values.sum()) / math.sqrt(len(words)), *best, float(top[1]), float(top[2]), float(top[:5].mean()), *strong])
+        return out
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -151,67 +233,92 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def models_of(token: str, sent) -> list[Model]:
-    """The worker's models, built once; a module's function, so that all tasks of a worker share them."""
-    if _held.get("token") != token:
-        _held.clear()
-        _held.update(token=token, models=sent.value)
-    return _held["models"]
-
-
 def _features(token: str, sent):
-    def found(texts: pa.Array, half: pa.Array) -> pa.Array:
-        models, rows = models_of(token, sent), []
-        for text, which in zip(texts, half, strict=True):
-            rows.append(models[which.as_py()].features(text.as_py() or ""))
+    def found(texts: pa.Array, which: pa.Array) -> pa.Array:
+        scorers = held(("toxicity", token), lambda: [Scorer(m) for m in sent.value])
+        rows: list = [None] * len(texts)
+        which = which.to_numpy(zero_copy_only=False)
+        for k, scorer in enumerate(scorers):
+            mine = np.flatnonzero(which == k)
+            for part in slices([pa.record_batch({"text": texts.take(pa.array(mine)), "at": pa.array(mine)})], "text"):
+                for at, f in zip(part.column("at").to_pylist(), scorer.features([x or "" for x in part.column("text").to_pylist()]), strict=True):
+                    rows[at] = f
         return pa.array(rows, pa.list_(pa.float64()))
 
     return found
 
 
-def held_out(doc_id):
+def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
+#: The models: fitted on the second half, on the first, and on both; of each the halves that count.
+HALVES = ((1,), (0,), (0, 1))
+
+
+def _models(train: DataFrame, corpus: DataFrame) -> list[Model]:
+    """The three models of train(toxic, half, text) and corpus(text).  What leaves the executors is bounded by the training rows."""
+    pairs = train.select("toxic", "half", "text").mapInArrow(_training_pairs, "before long, word long, toxic int, half int, n int")
+    pairs = stored(pairs.groupBy("before", "word").agg(*(F.sum(F.when((F.col("toxic") == c) & (F.col("half") == h), F.col("n")).otherwise(0)).cast("int").alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1))))
+    count = {(m, c): sum((F.col(f"n{c}{h}") for h in halves), F.lit(0)) for m, halves in enumerate(HALVES) for c in (0, 1)}
+    shared = stored(corpus.select("text").mapInArrow(_corpus_words, f"word long, {', '.join(f'stem{s} long' for s in STEMS)}, n long").groupBy("word", *(f"stem{s}" for s in STEMS)).agg(F.sum("n").alias("n")))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    words = pairs.groupBy("word").agg(*(F.sum((x > 0).cast("int")).cast("int").alias(f"c{m}{c}") for (m, c), x in count.items())).join(shared, "word")
+    for size in STEMS:
+        words = words.join(shared.groupBy(f"stem{size}").agg(F.sum("n").alias(f"n{size}")), f"stem{size}")
+    words = words.select("word", *(f"stem{s}" for s in STEMS), "n", *(f"n{s}" for s in STEMS), *(f"c{m}{c}" for m, c in count)).toArrow()
+    contexts = [F.sum(x).cast("float").alias(f"s{m}{c}") for (m, c), x in count.items()] + [F.sum(F.least(x, F.lit(DISCOUNT))).cast("float").alias(f"d{m}{c}") for (m, c), x in count.items()]
+    contexts = pairs.groupBy("before").agg(*contexts).toArrow()
+    pairs = pairs.filter("n00 + n01 > 1 OR n10 + n11 > 1").toArrow()
+    key = lambda rows, name: rows.column(name).to_numpy().view(np.uint64)
+    columns = lambda rows, *names: np.column_stack([rows.column(n).to_numpy() for n in names])
+    stems = np.column_stack([key(words, f"stem{s}") for s in STEMS])
+    found = []
+    for m, halves in enumerate(HALVES):
+        n = np.column_stack([sum(pairs.column(f"n{c}{h}").to_numpy() for h in halves) for c in (0, 1)])
+        some = n.max(1, initial=0) > 1
+        of = lambda x, m=m: (f"{x}{m}0", f"{x}{m}1")
+        found.append(Model(key(words, "word"), stems, columns(words, "n", *(f"n{s}" for s in STEMS)), total, columns(words, *of("c")), key(pairs, "before")[some], key(pairs, "word")[some], n[some], key(contexts, "before"), columns(contexts, *of("s")), columns(contexts, *of("d"))))
+    return found
+
+
 def scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, rows: int = TRAINING_ROWS) -> DataFrame:
     """docs with ``held_out``, ``score`` and ``predicted``; ``corpus`` (else docs) is what the shared counts are taken from.
 
     Training rows are the labelled documents that are not held out; beyond ``rows`` a hash of the id
     chooses.  That bounds the models, which are broadcast.  The shared counts cover every document of the
     corpus and are joined with the training words before they leave the executors.  Null and empty texts
-    get the curve's value for no evidence; contradicting labels of a document count as toxic; labels
-    without an id or a value are left out; without toxic and ordinary training rows every score is 0.
+    get the curve's value for no evidence; texts with equal words get equal scores; repeated rows each give a
+    row; a row without an id is not held out and has no label; contradicting labels of a document count as
+    toxic; labels without an id or a value are left out; without toxic and ordinary training rows every score
+    is 0.  Columns of docs that are named like the result's are replaced, others stay.
     """
     spark = docs.sparkSession
-    corpus = (docs if corpus is None else corpus).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    docs = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    corpus = docs.select(F.col("_id").alias("doc_id"), F.coalesce("_text", F.lit("")).alias("text")) if corpus is None else corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * rows / n))
-    train = corpus.join(F.broadcast(known), "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
-    counts = train.select("toxic", "half", "text").mapInArrow(_document_words, "toxic int, half int, word binary, n long")
-    counts = counts.groupBy("word").agg(*(F.sum(F.when((F.col("toxic") == c) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)))
-    shared = corpus.select("text").mapInArrow(_corpus_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.join(shared, "word").select("word", "n00", "n01", "n10", "n11", "n").toArrow()
-    words = found.column("word").to_pylist()
-    n = {c: found.column(c).to_numpy() for c in found.column_names[1:]}
-    own = n["n00"] + n["n01"] + n["n10"] + n["n11"] >= LEAST_DOCUMENTS
+    # The training rows are at most about ``rows``, so their texts are kept.
+    train = stored(corpus.join(F.broadcast(known), "doc_id").select("toxic", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"), "text"))
+    models = _models(train, corpus)
+    sent = spark.sparkContext.broadcast(models[:2])
     # The half that a model is fitted on is not the one that it scores for the curve.
-    classes = (n["n01"], n["n11"]), (n["n00"], n["n10"]), (n["n00"] + n["n01"], n["n10"] + n["n11"])
-    models = [Model(words, np.column_stack(x), n["n"], own) for x in classes]
-    del found, words
-    sent = spark.sparkContext.broadcast(models)
-    feature = F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")
-    sample = train.select("toxic", feature("text", "half").alias("f")).collect()
+    sample = train.select("toxic", F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")("text", "half").alias("f")).collect()
+    sent.unpersist()
     y = np.array([r["toxic"] for r in sample], float)
     curve = fitted(np.array([r["f"] for r in sample]), y) if 0 < y.sum() < len(y) else None
-    out = docs.withColumn("held_out", held_out(F.col("doc_id")))
+    out = docs.select("_row", "_text", held_out(F.col("_id")).alias("held_out"))
     if curve is None:
-        return out.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    out = out.withColumn("_f", feature("text", F.lit(2)))
+        return out.select("_row.*", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    sent = spark.sparkContext.broadcast(models[2:])
+    del models, sample
+    out = out.withColumn("_f", F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")("_text", F.lit(0)))
     z = sum((F.get("_f", k) * float(w) for k, w in enumerate(curve[:-1])), F.lit(float(curve[-1])))
-    out = out.withColumn("score", 1 / (1 + F.exp(-z))).drop("_f")
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    out = out.select("_row", "held_out", (1 / (1 + F.exp(-z))).alias("score"))
+    return out.select("_row.*", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
