@@ -1,9 +1,16 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all test items, each text scanned once."""
+"""Benchmark decontamination: one Aho-Corasick automaton over all test items, each text scanned once.
+
+The windows of an item overlap, so the automaton holds its blocks instead: every seventh word, seven words
+together.  A window of 13 words has such a block whole, wherever it starts; where a text has a block, the match
+grows to both sides, word by word, as far as the item goes along.  If 13 words or more are alike, all of them are
+inside windows that occur.  So the automaton has about a node for each byte of the items, not thirteen.
+"""
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
 
 import ahocorasick
 import numpy as np
@@ -11,18 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import held, table
 
 #: Fixed by the contract: what a word is (after A-Z are lower-cased) and how many words make a window.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Bytes of item texts that one automaton may hold; its nodes take some hundred times as much.
-AUTOMATON_BYTES = 1 << 20
+#: Bytes of item texts that are sent to the workers at most; the automaton takes some forty times as much in each.
+ITEM_BYTES = 16 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _WORD = re.compile(WORD)
-_built: dict = {}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -30,25 +36,25 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def windows_of(text: str, size: int = WINDOW) -> set[bytes]:
-    words = words_of(text)
-    size = min(size, len(words))
-    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
-
-
 class Scanner:
-    """The automaton over the windows of (item id, text) rows; texts are matched byte by byte, as Latin-1 strings."""
+    """The automaton over (item id, text) rows; texts are matched byte by byte, as Latin-1 strings."""
 
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
-        owners: dict[bytes, set[str]] = {}
-        for name, text in items:
-            for window in windows_of(text, size):
-                owners.setdefault(window, set()).add(name)
+        self.size, block = size, (size + 1) // 2
+        self.items = [(name, words) for name, text in dict.fromkeys(items) if (words := words_of(text))]
+        #: Of each pattern the items that it is the whole of, and the items and places where it is a block.
+        wholes: dict[bytes, set[str]] = defaultdict(set)
+        blocks: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for k, (name, words) in enumerate(self.items):
+            if len(words) < size:
+                wholes[b" ".join(words)].add(name)
+            for at in range(0, len(words) - block + 1 if len(words) >= size else 0, block):
+                blocks[b" ".join(words[at : at + block])].append((k, at))
         self.automaton = ahocorasick.Automaton()
-        for window, names in owners.items():
-            key = f" {window.decode('latin-1')} "
-            self.automaton.add_word(key, (len(key), window.count(b" ") + 1, frozenset(names)))
-        self.any = bool(owners)
+        for pattern in wholes.keys() | blocks.keys():
+            key = f" {pattern.decode('latin-1')} "
+            self.automaton.add_word(key, (len(key), pattern.count(b" ") + 1, wholes.get(pattern, ()), blocks.get(pattern, ())))
+        self.any = bool(self.items)
         if self.any:
             self.automaton.make_automaton()
 
@@ -62,12 +68,28 @@ class Scanner:
             return None, set()
         before = np.cumsum(np.frombuffer(line, np.uint8) == 32)
         step, names = np.zeros(len(words) + 1, np.int64), set()
-        for end, (length, count, owners) in found:
-            first = before[end - length + 1] - 1
-            step[first] += 1
-            step[first + count] -= 1
-            names |= owners
-        return np.cumsum(step[:-1]) > 0, names
+        done: dict[tuple[int, int], int] = {}  # of an item laid along the text: up to which word it is compared
+        for end, (length, count, wholes, blocks) in found:
+            first = int(before[end - length + 1]) - 1
+            if wholes:
+                step[first] += 1
+                step[first + count] -= 1
+                names.update(wholes)
+            for k, at in blocks:
+                if first < done.get((k, first - at), 0):
+                    continue
+                name, item = self.items[k]
+                low, high = 0, count
+                while at + low > 0 and first + low > 0 and item[at + low - 1] == words[first + low - 1]:
+                    low -= 1
+                while at + high < len(item) and first + high < len(words) and item[at + high] == words[first + high]:
+                    high += 1
+                done[k, first - at] = first + high
+                if high - low >= self.size:
+                    step[first + low] += 1
+                    step[first + high] -= 1
+                    names.add(name)
+        return (np.cumsum(step[:-1]) > 0, names) if names else (None, names)
 
 
 def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,71 +101,46 @@ def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 FOUND = "struct<n_words:bigint,words:array<struct<first:int,end:int>>,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
 
-def _scan(token: str, sent, size: int, texts: pa.Array, earlier: pa.Array | None) -> pa.Array:
-    if _built.get("token") != token:
-        _built.clear()
-        _built.update(token=token, scanner=Scanner(sent.value, size))
-    rows = []
-    for at, text in enumerate(texts):
-        text = text.as_py() or ""
-        words = words_of(text)
-        hit, items = _built["scanner"].scan(words)
-        old = earlier[at].as_py() if earlier is not None else None
-        if old and old["items"]:
-            hit = np.zeros(len(words), bool) if hit is None else hit
-            for run in old["words"]:
-                hit[run["first"] : run["end"]] = True
-            items |= set(old["items"])
-        row = {"n_words": len(words), "words": [], "spans": [], "items": sorted(items)}
-        if hit is not None:
-            first, end = runs(hit)
-            place = [m.span() for m in _WORD.finditer(text.translate(_UPPER))]
-            row["words"] = [{"first": int(a), "end": int(b)} for a, b in zip(first, end, strict=True)]
-            row["spans"] = [{"start": place[a][0], "end": place[b - 1][1]} for a, b in zip(first, end, strict=True)]
-        rows.append(row)
-    pair = lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
-    return pa.array(rows, pa.struct([("n_words", pa.int64()), ("words", pair("first", "end")), ("spans", pair("start", "end")), ("items", pa.list_(pa.string()))]))
-
-
-def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """docs with a column ``found``: n_words, the hit runs of words, their spans in the original text (code points) and the items.
+def _scan(token: str, sent, size: int):
+    def found(texts: pa.Array) -> pa.Array:
+        scanner, rows = held(("decontaminate", token), lambda: Scanner(sent.value, size)), []
+        for text in texts:
+            text = text.as_py() or ""
+            words = words_of(text)
+            hit, items = scanner.scan(words)
+            row = {"n_words": len(words), "words": [], "spans": [], "items": sorted(items)}
+            if hit is not None:
+                first, end = runs(hit)
+                place = [m.span() for m in _WORD.finditer(text.translate(_UPPER))]
+                row["words"] = [{"first": int(a), "end": int(b)} for a, b in zip(first, end, strict=True)]
+                row["spans"] = [{"start": place[a][0], "end": place[b - 1][1]} for a, b in zip(first, end, strict=True)]
+            rows.append(row)
+        pair = lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
+        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("words", pair("first", "end")), ("spans", pair("start", "end")), ("items", pa.list_(pa.string()))]))
 
-    The items' size is looked at first.  Up to ``automaton_bytes`` they make one automaton, which every
-    Python worker builds once; a larger table is split by item into as many automata as the bound asks
-    for, and the documents pass one after the other, each pass adding to what the last one found.
-    No shuffle in either case.  Null texts have no words; empty items have no windows; repeated rows of
-    an item count once; an item without an id counts under the name ``null``; repeated documents each
-    give a row; other columns of either table are not looked at.
-    """
-    spark = docs.sparkSession
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("item_text"))
-    parts = -(-(items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) // automaton_bytes) or 1
-    for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item", "item_text"), F.lit(parts)) == part) if parts > 1 else items
-        sent, token = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows.collect()]), uuid.uuid4().hex
-        if part == 0:
-            docs = docs.withColumn("found", F.arrow_udf(_first(token, sent, size), FOUND)("text"))
-        else:
-            docs = checkpointed(docs).withColumn("found", F.arrow_udf(_next(token, sent, size), FOUND)("text", "found"))
-    return docs
+    return found
 
 
-def _first(token: str, sent, size: int):
-    def first(texts: pa.Array) -> pa.Array:
-        return _scan(token, sent, size, texts, None)
-
-    return first
-
-
-def _next(token: str, sent, size: int):
-    def following(texts: pa.Array, found: pa.Array) -> pa.Array:
-        return _scan(token, sent, size, texts, found)
+def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """docs with a column ``found``: n_words, the hit runs of words, their spans in the original text (code points) and the items.
 
-    return following
+    The items make one automaton, which every Python worker builds once, and each text is scanned once; no
+    shuffle.  The items' size is looked at before they are sent: it doesn't grow with the corpus, and beyond
+    ``item_bytes`` it is an error, not another result.  Null texts have no words; empty items have no windows;
+    repeated rows of an item count once; an item without an id counts under the name ``null``; repeated
+    documents each give a row; other columns stay, but for one named ``found``, which the result replaces.
+    """
+    spark = docs.sparkSession
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("item_text")).distinct()
+    size_now = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    if size_now > item_bytes:
+        raise ValueError(f"{size_now} bytes of items; the automaton is built for up to {item_bytes}: raise item_bytes if workers have the memory")
+    sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
+    return docs.withColumn("found", F.arrow_udf(_scan(uuid.uuid4().hex, sent, size), FOUND)("text"))
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256 and contaminated beside the columns of find()."""
+    """n_words, n_hit, n_items, items_sha256 and contaminated beside the columns of find(); columns of these names are replaced."""
     n_hit = F.aggregate("found.words", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"])
     out = {"n_words": F.col("found.n_words"), "n_hit": n_hit, "n_items": F.size("found.items").cast("long"), "items_sha256": F.sha2(F.array_join("found.items", ","), 256)}
     return found.withColumns(out).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
