@@ -15,9 +15,15 @@ from .common import table
 #: Fixed by the contract: verdict, and host with path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
+#: Fixed by this filter: words in a host's name whose pages are listed where no list is given.
+HOST_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
+_LISTED = rf"(^|[.-])({'|'.join(HOST_WORDS)})([.-]|$)"
+
 WORDS = 8
 #: Bits of the filter for each listed URL, and the size of a filter that may be broadcast.
 BITS, BROADCAST_BYTES = 16, 8 << 20
+#: Parts in which the rows of one URL are joined.
+SALTS = 8
 
 
 def _rest(url: Column) -> Column:
@@ -93,20 +99,23 @@ def filtered(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, liste
     """pages with host, path, rule, verdict and listed.
 
     A rule's verdict stands.  Pages without a rule are blocked if their canonical URL is listed: by
-    ``listed`` (a table with a column ``url`` of canonical URLs), or else as the canonical URL of a page that
-    a rule blocks - rules compare spellings, so another spelling of a blocked page (a port, a final dot,
-    user data) slips by them and is caught here.  Null urls and urls without ``://`` have neither host nor
-    path and are allowed; repeated rows each give a row; other columns stay, but for names that the result uses.
+    ``listed`` (a table with a column ``url`` of canonical URLs), or else as the canonical URL of a page that a
+    rule blocks or whose host is named by a word of ``HOST_WORDS`` - rules compare spellings, so another
+    spelling of such a page (a port, a final dot, user data) slips by them and is caught here.  Null urls and
+    urls without ``://`` have neither host nor path and are allowed; repeated rows each give a row; other
+    columns stay, but for names that the result uses.  Only pages without a rule are joined with the hits, a
+    page that very many rows have in ``SALTS`` parts.
     """
     out = ("host", "path", "rule", "verdict", "listed")
     row = pages.select(F.struct(*(c for c in pages.columns if c not in out)).alias("_row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = judged(F.col("host"), F.col("path"), rules)
     row = row.withColumns({"rule": rule, "_verdict": verdict, "_url": F.when(F.col("host") != "", canonical(F.col("host"), F.col("path")))})
     if listed is None:
-        listed = row.filter("_verdict = 'block'").select(F.col("_url").alias("url"))
-    open_ = row.filter("_verdict IS NULL AND _url IS NOT NULL").select(F.col("_url").alias("url"))
-    hit = hits(open_, listed).select(F.col("url").alias("_url"), F.lit(True).alias("_hit"))
-    row = row.join(hit, "_url", "left").withColumn("listed", F.coalesce("_hit", F.lit(False)) & F.col("_verdict").isNull())
+        listed = row.filter((F.col("_verdict") == "block") | F.col("host").rlike(_LISTED)).select(F.col("_url").alias("url"))
+    waits = F.col("_verdict").isNull() & F.col("_url").isNotNull()
+    hit = hits(row.filter(waits).select(F.col("_url").alias("url")), listed).select(F.col("url").alias("_url"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_hit"))
+    found = row.filter(waits).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(hit, ["_url", "_salt"], "left").withColumn("listed", F.coalesce("_hit", F.lit(False)))
+    row = row.filter(~waits).withColumn("listed", F.lit(False)).unionByName(found.drop("_salt", "_hit"))
     row = row.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("listed"), "block").otherwise("allow")))
     return row.select("_row.*", "host", "path", "rule", "verdict", "listed")
 
@@ -133,7 +142,7 @@ v AS (
            regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', ''), '^(www|m)\.', '') ||
            regexp_replace(regexp_replace(regexp_replace(path, '//+', '/', 'g'), '(/index)?\.(html?|php|aspx?)$', ''), '/+$', '') END AS url
   FROM j),
-l AS (SELECT DISTINCT url FROM v WHERE ruled = 'block' AND url IS NOT NULL)
+l AS (SELECT DISTINCT url FROM v WHERE (ruled = 'block' OR regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)')) AND url IS NOT NULL)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN l.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, ruled IS NULL AND l.url IS NOT NULL AS listed
 FROM v LEFT JOIN l ON v.url = l.url
 """
