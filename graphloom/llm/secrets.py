@@ -4,12 +4,13 @@ Strong findings (assignments, access keys, long hexadecimal strings) stand alone
 short account names, unlabelled random-looking strings, endpoints - say nothing by themselves; they are
 reported only where the parts that would complete a credential occur within the same scope:
 
-- ``ident``    (an account or client name) beside any secret,
+- ``ident``    (an account or client name, or an e-mail address) beside any secret,
 - ``opaque``   (an unlabelled random-looking string) beside any access identifier,
-- ``endpoint`` (a URL or host:port) beside an access identifier and a secret.
+- ``endpoint`` (a URL, host:port or IPv4 address) beside an access identifier and a secret.
 
-A scope is a block of text without an empty line; a part reaches all of it.  The join of the parts'
-intervals is a sweep over sorted positions, document by document.
+A scope is a block of text without an empty line; a part reaches all of it.  Parts join by their intervals: the
+complement starts in the candidate's scope and overlaps it nowhere, found by binary search among sorted
+positions, document by document.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 IDENT = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""", re.ASCII | re.IGNORECASE)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}(?![0-9])""", re.ASCII)
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.ASCII)
+ADDRESS = re.compile(r"(?<![0-9A-Za-z.:/@-])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9A-Za-z]|\.[0-9])", re.ASCII)
 BLANK = re.compile(r"\n[ \t\r]*\n")
 _LABELS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NAMES = ("user", "login", "account", "client", "access")
@@ -62,14 +65,18 @@ def random_looking(value: str) -> bool:
 
 
 def weak_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind's place, end) of the weak candidates, each span of a kind once."""
     out = []
     low = text.lower()
     if any(x in low for x in _NAMES):
         out += [(m.start(1), 3, m.end(1)) for m in IDENT.finditer(text)]
     out += [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if random_looking(m.group())]
-    if "://" in text or ":" in text:
+    if "@" in text:
+        out += [(m.start(), 3, m.end()) for m in EMAIL.finditer(text)]
+    if ":" in text:
         out += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    return out
+    out += [(m.start(), 5, m.end()) for m in ADDRESS.finditer(text)]
+    return sorted(set(out))
 
 
 def linked(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -146,7 +153,8 @@ def find(docs: DataFrame) -> DataFrame:
     """docs with a column ``secrets``: counts, digest and the spans (code points, end exclusive).
 
     One pass without a shuffle; each text is scanned whole.  Null and empty texts have no spans, repeated
-    rows each give a row, and other columns stay as they are.
+    rows each give a row, rows without a doc_id are treated like others, and other columns stay as they are,
+    but for one named ``secrets``, which the result replaces.
     """
     return docs.withColumn("secrets", F.arrow_udf(_scanned, SECRETS_DDL)("text"))
 

@@ -104,3 +104,57 @@ def secrets_base(text):
     for k, (rule, flags, part, least) in enumerate(rules):
         out += [(m.start(), k, m.end()) for m in re.finditer(rule, text, flags) if len(m.group(part)) >= least]
     return sorted(out)
+
+
+def linked(text, base, weak):
+    """Base spans and those weak ones, overlapping no base span, that have each part they ask for in their block and beside them."""
+    import re
+
+    cuts = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    block = lambda at: sum(c <= at for c in cuts)
+    free = [x for x in weak if not any(x[0] < e and s < x[2] for s, _, e in base)]
+    asks = {3: [{0, 2, 4}], 4: [{1, 3}], 5: [{1, 3}, {0, 2, 4}]}
+
+    def beside(x, kinds):
+        return any(k in kinds and block(s) == block(x[0]) and (e <= x[0] or s >= x[2]) for s, k, e in [*base, *free])
+
+    return sorted([*base, *(x for x in free if all(beside(x, kinds) for kinds in asks[x[1]]))])
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney of one class, from dictionaries: pairs of words, words by continuations, stems, shared counts."""
+
+    def __init__(self, texts, corpus, words_of, discount=1.5, stems=(7, 5)):
+        self.d, self.stems = discount, stems
+        self.pairs = Counter(p for t in texts for p in {(v, w) for v, w in zip([b"", *words_of(t)], words_of(t), strict=False)})
+        self.follows = Counter(w for _, w in self.pairs)
+        self.shared = Counter(w for t in corpus for w in set(words_of(t)))
+        self.total = sum(self.shared.values())
+
+    def interpolated(self, counts, key, below):
+        total = max(sum(counts.values()), 1)
+        spare = max(sum(min(c, self.d) for c in counts.values()) / total, 1e-6)
+        return max(counts.get(key, 0) - self.d, 0) / total + spare * below
+
+    def stem(self, s, k):
+        corpus = Counter()
+        for w, n in self.shared.items():
+            corpus[w[:k]] += n
+        known = Counter(x for x in {w: w[:k] for w in self.follows}.values())
+        if k == min(self.stems):
+            return self.interpolated(known, s, corpus[s] / self.total)
+        shorter = min(self.stems)
+        above = sum(n for w, n in self.shared.items() if w[:shorter] == s[:shorter])
+        return self.interpolated(known, s, self.stem(s[:shorter], shorter) * corpus[s] / above)
+
+    def word(self, w):
+        longer = max(self.stems)
+        above = sum(n for x, n in self.shared.items() if x[:longer] == w[:longer])
+        return self.interpolated(self.follows, w, self.stem(w[:longer], longer) * self.shared[w] / above)
+
+    def after(self, v, w):
+        own = {b: n for (a, b), n in self.pairs.items() if a == v}
+        if not own:
+            return self.word(w)
+        total = sum(own.values())
+        return max(own.get(w, 0) - self.d, 0) / total + max(sum(min(c, self.d) for c in own.values()) / total, 1e-6) * self.word(w)
