@@ -97,16 +97,6 @@ def _corpus_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield out()
 
 
-def _dealt(level: np.ndarray, lower: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order without context: each key's probability by class, and the share that the discount spares.
-
-    ``lower`` is the probability of each key's lower order, ``part`` the key's share of that one in the corpus.
-    """
-    sums = np.maximum(level.sum(0), 1.0)
-    spare = np.maximum(np.minimum(level, DISCOUNT).sum(0) / sums, 1e-6)
-    return np.maximum(level - DISCOUNT, 0) / sums + spare * lower * part[:, None], spare
-
-
 def _looked_up(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the asked ones are among sorted keys, and whether they are there."""
     if not len(keys):
@@ -116,61 +106,42 @@ def _looked_up(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    """Log-likelihood ratios (toxic to ordinary).
+    """Log-likelihood ratios (toxic to ordinary): sorted keys with a column of values, or one for each of several models.
 
-    words, stems, shared: of each training word its key, its stems' keys, and the documents that have it, its
-    longer and its shorter stem in the corpus; total: the sum of all words' documents there.  continuations: in how
-    many pairs of each class (ordinary, toxic) a word is second.  before, word, pairs: pairs and their
-    documents by class, those with a count of 2 or more.  contexts, spared: keys of first words, and by class what the
-    discount leaves of their pairs' sums.
+    words: without context.  stems: of the longer and the shorter stem, for words that aren't there.  contexts: what
+    the discount leaves of a first word's pairs.  pairs: of pairs with a count of 2 or more.  rest: what the
+    shorter stems, the longer ones and the words spare for unknown ones.
     """
 
-    def __init__(self, words, stems, shared, total, continuations, before, word, pairs, contexts, sums, spared):
-        order = np.argsort(words)
-        self.words, stems, shared, counts = words[order], stems[order], shared[order].astype(float), continuations[order].astype(float)
-        self.stems: list[tuple[int, np.ndarray, np.ndarray]] = []
-        self.rest: list[float] = []  # of each order what the classes spare, shorter stem first
-        lower, above = np.ones((len(words), 2)), np.full(len(words), max(float(total), 1.0))
-        for column, size in reversed(list(enumerate(STEMS))):
-            keys, first, at = np.unique(stems[:, column], return_index=True, return_inverse=True)
-            documents = shared[:, 1 + column][first]
-            level = np.column_stack([np.bincount(at, counts[:, c] > 0, len(keys)) for c in (0, 1)])
-            now, spare = _dealt(level, lower[first], documents / np.maximum(above[first], 1.0))
-            self.stems.append((size, keys, np.log(now[:, 1] / now[:, 0])))
-            self.rest.append(math.log(spare[1] / spare[0]))
-            lower, above = now[at], documents[at]
-        self.probability, spare = _dealt(counts, lower, shared[:, 0] / np.maximum(above, 1.0)) if len(words) else (np.zeros((0, 2)), np.ones(2))
-        self.rest.append(math.log(spare[1] / spare[0]))
-        self.ratio = np.log(self.probability[:, 1] / self.probability[:, 0])
-        # Pairs: what a first word's pairs leave is dealt by the second word's own probability.
-        order = np.argsort(contexts)
-        self.contexts, sums, spared = contexts[order], sums[order].astype(float), spared[order].astype(float)
-        gamma = np.where(sums > 0, np.maximum(spared / np.maximum(sums, 1.0), 1e-6), 1.0)
-        self.backoff = np.log(gamma[:, 1] / gamma[:, 0])
-        c, w = np.searchsorted(self.contexts, before), np.searchsorted(self.words, word)
-        both = np.maximum(pairs - DISCOUNT, 0) / np.maximum(sums[c], 1.0) + gamma[c] * self.probability[w] if len(pairs) else np.zeros((0, 2))
-        keys = pair_keys(before, word)
-        order = np.argsort(keys)
-        self.pairs, self.pair_ratio = keys[order], np.log(both[:, 1] / both[:, 0])[order]
+    def __init__(self, words, stems, contexts, pairs, rest):
+        self.words, self.stems, self.contexts, self.pairs, self.rest = words, stems, contexts, pairs, rest
+
+    def only(self, k: int) -> Model:
+        pick = lambda table: (table[0], table[1][:, k])
+        return Model(pick(self.words), [pick(x) for x in self.stems], pick(self.contexts), pick(self.pairs), self.rest[k])
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of words their keys, their ratios without context, and what their pairs' discounts leave as contexts."""
         keys = keys_of(words)
         out, known = np.full(len(words), sum(self.rest)), np.zeros(len(words), bool)
-        for k, (size, stems, ratio) in reversed(list(enumerate(self.stems))):
-            at, hit = _looked_up(stems, keys_of(w[:size] for w in words))
+        for k, size in enumerate(STEMS):  # the longer stem first
+            at, hit = _looked_up(self.stems[k][0], keys_of(w[:size] for w in words))
             hit &= ~known
-            out[hit] = ratio[at[hit]] + sum(self.rest[k + 1 :])
+            out[hit] = self.stems[k][1][at[hit]] + sum(self.rest[len(STEMS) - k :])
             known |= hit
-        at, hit = _looked_up(self.words, keys)
-        out[hit] = self.ratio[at[hit]]
-        at, hit = _looked_up(self.contexts, keys)
-        return keys, out, np.where(hit, self.backoff[at], 0.0) if len(self.contexts) else np.zeros(len(words))
+        at, hit = _looked_up(self.words[0], keys)
+        out[hit] = self.words[1][at[hit]]
+        at, hit = _looked_up(self.contexts[0], keys)
+        backoff = np.zeros(len(words))
+        backoff[hit] = self.contexts[1][at[hit]]
+        return keys, out, backoff
 
     def after(self, before: np.ndarray, backoff: np.ndarray, keys: np.ndarray, ratio: np.ndarray) -> np.ndarray:
         """The words' ratios after the words before them."""
-        at, hit = _looked_up(self.pairs, pair_keys(before, keys))
-        return np.where(hit, self.pair_ratio[at], ratio + backoff) if len(self.pairs) else ratio + backoff
+        at, hit = _looked_up(self.pairs[0], pair_keys(before, keys))
+        out = ratio + backoff
+        out[hit] = self.pairs[1][at[hit]]
+        return out
 
 
 class Scorer:
@@ -235,13 +206,15 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def _features(token: str, sent):
     def found(texts: pa.Array, which: pa.Array) -> pa.Array:
-        scorers = held(("toxicity", token), lambda: [Scorer(m) for m in sent.value])
+        scorers = held(("toxicity", token), dict)
         rows: list = [None] * len(texts)
         which = which.to_numpy(zero_copy_only=False)
-        for k, scorer in enumerate(scorers):
+        for k in np.unique(which).tolist():
+            if k not in scorers:
+                scorers[k] = Scorer(sent.value.only(k))
             mine = np.flatnonzero(which == k)
             for part in slices([pa.record_batch({"text": texts.take(pa.array(mine)), "at": pa.array(mine)})], "text"):
-                for at, f in zip(part.column("at").to_pylist(), scorer.features([x or "" for x in part.column("text").to_pylist()]), strict=True):
+                for at, f in zip(part.column("at").to_pylist(), scorers[k].features([x or "" for x in part.column("text").to_pylist()]), strict=True):
                     rows[at] = f
         return pa.array(rows, pa.list_(pa.float64()))
 
@@ -254,32 +227,79 @@ def held_out(doc_id: Column) -> Column:
 
 #: The models: fitted on the second half, on the first, and on both; of each the halves that count.
 HALVES = ((1,), (0,), (0, 1))
+_EACH = [(m, c) for m in range(len(HALVES)) for c in (0, 1)]
+
+
+def _kept(x: Column) -> Column:
+    return F.greatest(x - F.lit(DISCOUNT), F.lit(0.0))
+
+
+class _Order:
+    """An order without context, of rows with counts l{m}{c}: by model and class their sum, and the share that the discount spares."""
 
+    def __init__(self, rows: DataFrame):
+        some = rows.agg(*(F.sum(f"l{m}{c}").alias(f"s{m}{c}") for m, c in _EACH), *(F.sum(F.least(F.col(f"l{m}{c}"), F.lit(DISCOUNT))).alias(f"d{m}{c}") for m, c in _EACH)).first()
+        self.sums = {k: max(float(some[f"s{k[0]}{k[1]}"] or 0), 1.0) for k in _EACH}
+        self.spare = {k: max(float(some[f"d{k[0]}{k[1]}"] or 0) / self.sums[k], 1e-6) for k in _EACH}
+        self.rest = [math.log(self.spare[m, 1] / self.spare[m, 0]) for m in range(len(HALVES))]
 
-def _models(train: DataFrame, corpus: DataFrame) -> list[Model]:
-    """The three models of train(toxic, half, text) and corpus(text).  What leaves the executors is bounded by the training rows."""
+    def dealt(self, lower, part: Column) -> list[Column]:
+        """Each row's probabilities p{m}{c}: its own, and its part of the order below (of ``lower(m, c)``)."""
+        return [(_kept(F.col(f"l{m}{c}")) / self.sums[m, c] + self.spare[m, c] * lower(m, c) * part).alias(f"p{m}{c}") for m, c in _EACH]
+
+
+def _ratios(name: str = "p") -> list[Column]:
+    return [F.ln(F.col(f"{name}{m}1") / F.col(f"{name}{m}0")).cast("float").alias(f"r{m}") for m in range(len(HALVES))]
+
+
+def _sorted(rows: DataFrame, *keys: str) -> tuple[np.ndarray, np.ndarray]:
+    """A bounded table on the driver: its keys in order and a column for each model."""
+    found = rows.select(*keys, *(f"r{m}" for m in range(len(HALVES)))).toArrow()
+    each = [found.column(k).to_numpy().view(np.uint64) for k in keys]
+    key = each[0] if len(keys) == 1 else pair_keys(*each)
+    order = np.argsort(key)
+    return key[order], np.column_stack([found.column(f"r{m}").to_numpy()[order] for m in range(len(HALVES))])
+
+
+def _models(train: DataFrame, corpus: DataFrame) -> Model:
+    """The three models of train(toxic, half, text) and corpus(text).
+
+    Counts, probabilities and ratios are tables; what leaves the executors is a key and three numbers for
+    each word, stem and repeated pair of the training rows, which bound it.
+    """
     pairs = train.select("toxic", "half", "text").mapInArrow(_training_pairs, "before long, word long, toxic int, half int, n int")
     pairs = stored(pairs.groupBy("before", "word").agg(*(F.sum(F.when((F.col("toxic") == c) & (F.col("half") == h), F.col("n")).otherwise(0)).cast("int").alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1))))
-    count = {(m, c): sum((F.col(f"n{c}{h}") for h in halves), F.lit(0)) for m, halves in enumerate(HALVES) for c in (0, 1)}
+    count = {(m, c): sum((F.col(f"n{c}{h}") for h in HALVES[m]), F.lit(0)) for m, c in _EACH}
     shared = stored(corpus.select("text").mapInArrow(_corpus_words, f"word long, {', '.join(f'stem{s} long' for s in STEMS)}, n long").groupBy("word", *(f"stem{s}" for s in STEMS)).agg(F.sum("n").alias("n")))
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    words = pairs.groupBy("word").agg(*(F.sum((x > 0).cast("int")).cast("int").alias(f"c{m}{c}") for (m, c), x in count.items())).join(shared, "word")
-    for size in STEMS:
-        words = words.join(shared.groupBy(f"stem{size}").agg(F.sum("n").alias(f"n{size}")), f"stem{size}")
-    words = words.select("word", *(f"stem{s}" for s in STEMS), "n", *(f"n{s}" for s in STEMS), *(f"c{m}{c}" for m, c in count)).toArrow()
-    contexts = [F.sum(x).cast("float").alias(f"s{m}{c}") for (m, c), x in count.items()] + [F.sum(F.least(x, F.lit(DISCOUNT))).cast("float").alias(f"d{m}{c}") for (m, c), x in count.items()]
-    contexts = pairs.groupBy("before").agg(*contexts).toArrow()
-    pairs = pairs.filter("n00 + n01 > 1 OR n10 + n11 > 1").toArrow()
-    key = lambda rows, name: rows.column(name).to_numpy().view(np.uint64)
-    columns = lambda rows, *names: np.column_stack([rows.column(n).to_numpy() for n in names])
-    stems = np.column_stack([key(words, f"stem{s}") for s in STEMS])
-    found = []
-    for m, halves in enumerate(HALVES):
-        n = np.column_stack([sum(pairs.column(f"n{c}{h}").to_numpy() for h in halves) for c in (0, 1)])
-        some = n.max(1, initial=0) > 1
-        of = lambda x, m=m: (f"{x}{m}0", f"{x}{m}1")
-        found.append(Model(key(words, "word"), stems, columns(words, "n", *(f"n{s}" for s in STEMS)), total, columns(words, *of("c")), key(pairs, "before")[some], key(pairs, "word")[some], n[some], key(contexts, "before"), columns(contexts, *of("s")), columns(contexts, *of("d"))))
-    return found
+    total = float(shared.agg(F.sum("n")).first()[0] or 1)
+    words = pairs.groupBy("word").agg(*(F.sum((count[k] > 0).cast("int")).cast("int").alias(f"l{k[0]}{k[1]}") for k in _EACH)).join(shared, "word")
+    words = stored(words)
+    stems, orders, below, above = {}, [], None, F.lit(total)
+    for size, longer in ((STEMS[1], False), (STEMS[0], True)):  # the shorter stem first
+        stem, n = f"stem{size}", f"n{size}"
+        here = words.groupBy(stem, *([f"stem{STEMS[1]}"] if longer else [])).agg(*(F.sum((F.col(f"l{m}{c}") > 0).cast("int")).alias(f"l{m}{c}") for m, c in _EACH))
+        here = stored(here.join(shared.groupBy(stem).agg(F.sum("n").alias(n)), stem))
+        orders.append(order := _Order(here))
+        if below is not None:
+            here = here.join(below, f"stem{STEMS[1]}")
+        lower = (lambda m, c: F.col(f"q{m}{c}")) if below is not None else (lambda m, c: F.lit(1.0))
+        stems[size] = stored(here.select(stem, n, *order.dealt(lower, F.col(n) / above)))
+        below = stems[size].select(stem, n, *(F.col(f"p{m}{c}").alias(f"q{m}{c}") for m, c in _EACH))
+        above = F.col(n)
+    orders.append(order := _Order(words))
+    words = stored(words.join(below, f"stem{STEMS[0]}").select("word", *order.dealt(lambda m, c: F.col(f"q{m}{c}"), F.col("n") / above)))
+    contexts = pairs.groupBy("before").agg(*(F.sum(count[k]).alias(f"s{k[0]}{k[1]}") for k in _EACH), *(F.sum(F.least(count[k], F.lit(DISCOUNT))).alias(f"d{k[0]}{k[1]}") for k in _EACH))
+    gamma = lambda m, c: F.when(F.col(f"s{m}{c}") > 0, F.greatest(F.col(f"d{m}{c}") / F.col(f"s{m}{c}"), F.lit(1e-6))).otherwise(F.lit(1.0)).alias(f"g{m}{c}")
+    contexts = stored(contexts.select("before", *(F.greatest(F.col(f"s{m}{c}"), F.lit(1)).alias(f"s{m}{c}") for m, c in _EACH), *(gamma(m, c) for m, c in _EACH)))
+    many = pairs.filter("n00 + n01 > 1 OR n10 + n11 > 1").join(contexts, "before").join(words, "word")
+    many = many.select("before", "word", *((_kept(count[m, c]) / F.col(f"s{m}{c}") + F.col(f"g{m}{c}") * F.col(f"p{m}{c}")).alias(f"b{m}{c}") for m, c in _EACH))
+    return Model(
+        _sorted(words.select("word", *_ratios()), "word"),
+        [_sorted(stems[s].select(f"stem{s}", *_ratios()), f"stem{s}") for s in STEMS],
+        _sorted(contexts.select("before", *_ratios("g")), "before"),
+        _sorted(many.select("before", "word", *_ratios("b")), "before", "word"),
+        [[o.rest[m] for o in orders] for m in range(len(HALVES))],
+    )
 
 
 def scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -303,19 +323,16 @@ def scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None,
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * rows / n))
     # The training rows are at most about ``rows``, so their texts are kept.
     train = stored(corpus.join(F.broadcast(known), "doc_id").select("toxic", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"), "text"))
-    models = _models(train, corpus)
-    sent = spark.sparkContext.broadcast(models[:2])
+    sent = spark.sparkContext.broadcast(_models(train, corpus))
+    feature = F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")
     # The half that a model is fitted on is not the one that it scores for the curve.
-    sample = train.select("toxic", F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")("text", "half").alias("f")).collect()
-    sent.unpersist()
+    sample = train.select("toxic", feature("text", "half").alias("f")).collect()
     y = np.array([r["toxic"] for r in sample], float)
     curve = fitted(np.array([r["f"] for r in sample]), y) if 0 < y.sum() < len(y) else None
     out = docs.select("_row", "_text", held_out(F.col("_id")).alias("held_out"))
     if curve is None:
         return out.select("_row.*", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    sent = spark.sparkContext.broadcast(models[2:])
-    del models, sample
-    out = out.withColumn("_f", F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")("_text", F.lit(0)))
+    out = out.withColumn("_f", feature("_text", F.lit(len(HALVES) - 1)))
     z = sum((F.get("_f", k) * float(w) for k, w in enumerate(curve[:-1])), F.lit(float(curve[-1])))
     out = out.select("_row", "held_out", (1 / (1 + F.exp(-z))).alias("score"))
     return out.select("_row.*", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
