@@ -98,7 +98,7 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
 
     Their order in the minimisers is all that depends on it.
     """
-    docs = docs.filter(F.pmod(F.xxhash64("k", "doc_id"), F.lit(SAMPLED)) == 0)
+    docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
     found = docs.mapInArrow(_frequent, "gram long, n long, windows long").groupBy("gram").agg(F.sum("n").alias("n"))
     total = found.filter("gram IS NULL").first()
     fair = SHARE * (total["n"] if total else 0) / workers(docs.sparkSession)
@@ -106,8 +106,10 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
 
 
-ROWS = "bucket int, packed binary, sizes binary, docs binary, keys binary, places binary, lost binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("packed", "sizes", "docs", "keys", "places", "lost"))])
+ROWS = "bucket int, packed binary, strings binary, lost binary"
+_SCHEMA = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("packed", "strings", "lost"))])
+#: Of each packed string its windows, its row, and the word where it starts; a column after the other, packed as well.
+STRINGS = (("sizes", "<i4"), ("docs", "<i8"), ("keys", "<i8"), ("places", "<i4"))
 #: A row of docs (its id, and a hash of its text in case rows share an id) and a word where a window starts that it loses.
 LOST = np.dtype([("doc", "<i8"), ("k", "<i8"), ("at", "<i4")])
 #: In place of a word: the row has windows that occur in it again, of which one stands for all.
@@ -118,12 +120,22 @@ def _bucket_of(doc: np.ndarray, k: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ k.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _packed_lost(lost: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+def _columns(data: bytes) -> dict[str, np.ndarray]:
+    """The columns of some strings."""
+    n, at, out = len(data) // sum(np.dtype(kind).itemsize for _, kind in STRINGS), 0, {}
+    for name, kind in STRINGS:
+        out[name] = np.frombuffer(data, kind, n, at)
+        at += out[name].nbytes
+    return out
+
+
+def _packed_lost(lost: np.ndarray, buckets: int, pack) -> list[tuple[int, bytes]]:
+    lost = lost[np.lexsort((lost["at"], lost["k"], lost["doc"]))]
     bucket = _bucket_of(lost["doc"], lost["k"], buckets)
     order = np.argsort(bucket, kind="stable")
     lost, bucket = lost[order], bucket[order]
     first = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-    return [(int(bucket[i]), lost[i:j].tobytes()) for i, j in zip(first, [*first[1:], len(lost)], strict=False)]
+    return [(int(bucket[i]), pack.compress(lost[i:j].tobytes())) for i, j in zip(first, [*first[1:], len(lost)], strict=False)]
 
 
 def _sent(hot: np.ndarray, parts: int, buckets: int):
@@ -178,9 +190,9 @@ def _strings(ids: np.ndarray, keys: np.ndarray, held: list[str], hot: np.ndarray
     whose = np.concatenate((doc[gone], again))
     lost["doc"], lost["k"], lost["at"] = ids[whose], keys[whose], np.concatenate((place[gone], np.full(len(again), AGAIN)))
     if len(lost):
-        rows = _packed_lost(lost, parts)
+        rows = _packed_lost(lost, parts, pack)
         none = pa.nulls(len(rows), pa.binary())
-        yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), *(none,) * 5, pa.array([x for _, x in rows], pa.binary())], _SCHEMA)
+        yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), none, none, pa.array([x for _, x in rows], pa.binary())], _SCHEMA)
     least_at = words.least(hot)
     cut = np.concatenate(([True], (least_at[1:] != least_at[:-1]) | (windows[1:] != windows[:-1] + 1) | ~goes[:-1] | ~goes[1:]))
     run = np.cumsum(cut) - 1
@@ -195,8 +207,8 @@ def _strings(ids: np.ndarray, keys: np.ndarray, held: list[str], hot: np.ndarray
     doc, line = words.doc[a], words.line
     packed = [pack.compress(b"\n".join([line[x:y] for x, y in zip(start[i:j], end[i:j], strict=True)])) for i, j in zip(first, last, strict=True)]
     columns = n.astype("<i4"), ids[doc].astype("<i8"), keys[doc].astype("<i8"), (a - words.first[doc]).astype("<i4")
-    rows = [pa.array([x[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()) for x in columns]
-    yield pa.record_batch([pa.array(bucket[first], pa.int32()), pa.array(packed, pa.binary()), *rows, pa.nulls(len(first), pa.binary())], _SCHEMA)
+    strings = [pack.compress(b"".join([x[i:j].tobytes() for x in columns])) for i, j in zip(first, last, strict=True)]
+    yield pa.record_batch([pa.array(bucket[first], pa.int32()), pa.array(packed, pa.binary()), pa.array(strings, pa.binary()), pa.nulls(len(first), pa.binary())], _SCHEMA)
 
 
 def _bounds(line: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,16 +237,16 @@ def _counted(parts: int):
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        packs, names, columns = [], [], {"sizes": [], "docs": [], "keys": [], "places": []}
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        packs, names, columns = [], [], {name: [] for name, _ in STRINGS}
         for batch in batches:
             ready = batch.filter(pa.compute.is_valid(batch.column("lost")))
             if ready.num_rows:
                 yield _lost_rows(ready.column("bucket"), ready.column("lost"))
-            for row in batch.filter(pa.compute.is_valid(batch.column("packed"))).select(["packed", *columns]).to_pylist():
+            for row in batch.filter(pa.compute.is_valid(batch.column("packed"))).select(["packed", "strings"]).to_pylist():
                 packs.append(row["packed"])
-                for name, kind in (("sizes", "<i4"), ("docs", "<i8"), ("keys", "<i8"), ("places", "<i4")):
-                    columns[name].append(np.frombuffer(row[name], kind))
+                for name, values in _columns(unpack.decompress(row["strings"])).items():
+                    columns[name].append(values)
                 view, a, b = _bounds(unpack.decompress(packs[-1]) + b"\n", columns["sizes"][-1])
                 names.append(Prefixes(view).of(a, b))
         if not packs:
@@ -273,7 +285,7 @@ def _counted(parts: int):
         lost = np.zeros(int(lose.sum()), LOST)
         lost["doc"], lost["k"], lost["at"] = doc[lose], key[lose], place[lose]
         if len(lost):
-            rows = _packed_lost(lost, parts)
+            rows = _packed_lost(lost, parts, pack)
             yield _lost_rows(pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()))
 
     return run
@@ -314,7 +326,7 @@ def _finished(digest: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, lost, rows = zstandard.ZstdDecompressor(), [np.zeros(0, LOST)], []
         for batch in batches:
-            lost += [np.frombuffer(x, LOST) for x in batch.column("lost").to_pylist() if x is not None]
+            lost += [np.frombuffer(unpack.decompress(x), LOST) for x in batch.column("lost").to_pylist() if x is not None]
             rows += batch.filter(pa.compute.is_valid(batch.column("packed"))).select(["doc_id", "k", "times", "packed"]).to_pylist()
         every = np.concatenate(lost)
         every = every[np.lexsort((every["at"], every["k"], every["doc"]))]
@@ -350,7 +362,10 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
     share a doc_id don't take words from each other, and each loses its own; repeated rows each give a row;
     other columns aren't looked at.
     """
-    docs = texts(docs).withColumn("k", F.xxhash64("text"))
+    docs = texts(docs)
+    # Rows that share an id are told apart by their texts' hashes; mostly there are none, and the hashes needn't travel.
+    shared = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    docs = docs.withColumn("k", F.xxhash64("text") if shared else F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
     known = docs.filter("doc_id IS NOT NULL")
     parts = workers(docs.sparkSession)
     rows = known.mapInArrow(_sent(frequent_grams(known), parts, 4 * parts), ROWS).repartition(parts, "bucket")
