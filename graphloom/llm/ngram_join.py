@@ -6,10 +6,12 @@
 2. The others are reduced to one representative for each set.  Their shingles' counts give the global
    order, rarest first; of the prefix that a partner must meet (``n - ceil(3n/4) + 1`` shingles), those
    that occur twice join the documents to blocks (connected components of shared prefix shingles).
-3. In a block the sets, ordered most frequent first, are stored in a prefix tree.  Each is joined with the
-   tree of the earlier ones: paths share their overlap, and a subtree is left as soon as the remaining
-   lengths can't reach the similarity, or when all its sets are linked with this one already.
-   A block beyond ``BLOCK`` sets is dealt to pairs of parts, each pair a task.
+3. In a block the sets are stored in a prefix tree, their shingles in the global order, the most frequent first;
+   shingles that no other set has count for a set's size but are on no path.  Each set is joined with the tree of
+   the earlier ones: paths share their overlap, and a subtree is left as soon as the remaining lengths can't
+   reach the similarity, or when all its sets are linked with this one already.
+   The sets of a block beyond ``BLOCK`` go to a tree for each of their shared prefix shingles instead, and
+   those of a shingle that still has more than ``BLOCK`` to pairs of parts, each pair a task.
 4. Links make components; all documents with the same set share their representative's.
 
 Counting in steps 1 and 2 combines within each task first: a hash that two documents of a task have
@@ -26,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, texts, workers
+from .common import slices, stored, table, texts, tidy, workers
 from .hashing import Prefixes, mixed
 
 SHINGLE, SIMILAR = 5, 75
 #: Sets that one prefix tree holds at most, and hashes that a task gathers before it writes them out.
 BLOCK, GATHERED = 6_000, 1_500_000
+#: Parts in which the rows of one key are joined, where a key may be a hub.
+SALTS = 8
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -74,6 +78,7 @@ _SCHEMA = pa.schema([("bucket", pa.int32()), ("task", pa.int64()), ("tokens", pa
 def _dealt(buckets: int):
     """Rows of two kinds: a bucket's tokens with the documents (numbered in the task) that have them, and a document's own row."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -150,6 +155,7 @@ def _by_target(records: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, b
 def _met(buckets: int):
     """The documents' own rows, and how many of each one's tokens another task or document has as well, packed by document."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, who, owns = [], [], []
         for batch in batches:
@@ -187,6 +193,7 @@ def _met(buckets: int):
     return run
 
 
+@tidy
 def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = {"own": [np.zeros(0, OWN)], "met": [np.zeros(0, MET)]}
     for batch in batches:
@@ -207,6 +214,7 @@ def described(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_summed, "doc_id long, n long, f1 long, f2 long, alive boolean")
 
 
+@tidy
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         hashes = shingle_hashes(batch.column("text").to_pylist())
@@ -220,6 +228,7 @@ COUNTED = np.dtype([("rep", "<i8"), ("count", "<i4"), ("n", "<i4"), ("token", "<
 def _tokens_dealt(buckets: int):
     """The representatives' tokens by bucket, whole, with their representatives and these sets' sizes."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             rows = np.zeros(size, COUNTED)
@@ -251,6 +260,7 @@ def _gathered(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
 def _frequent(buckets: int):
     """The tokens that several representatives have, with their counts, packed by representative."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _gathered(batches)
         _, back, count = np.unique(rows["token"], return_inverse=True, return_counts=True)
@@ -262,49 +272,65 @@ def _frequent(buckets: int):
     return run
 
 
+#: A shared token of a representative, with its count among all.
+TOKEN = np.dtype([("token", "<u8"), ("count", "<i4")])
+
+
+@tidy
 def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The prefix tokens (rarest first) that others have, of representatives that have enough of those for a partner."""
+    """Representatives that have enough tokens which others have: n, these tokens, the most frequent first, and the rarest ones, of which a partner has one."""
     rows = _gathered(batches)
-    rows = rows[np.lexsort((rows["token"], rows["count"], rows["rep"]))]
+    rows = rows[np.lexsort((rows["token"], -rows["count"], rows["rep"]))]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(rows)), bool), rows["rep"][1:] != rows["rep"][:-1])))
-    taken = []
+    out = []
     for i, j in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=False):
         n, many = int(rows["n"][i]), j - i
         if many >= needed(n):  # the n - many rarest ones are in no other set
-            taken.append(rows[i : i + max(0, many - needed(n) + 1)])
-    out = np.concatenate([np.zeros(0, COUNTED), *taken])
-    yield pa.record_batch({"token": pa.array(out["token"].astype(np.uint64).view(np.int64)), "rep": pa.array(out["rep"])})
+            tokens = np.zeros(many, TOKEN)
+            tokens["token"], tokens["count"] = rows["token"][i:j], rows["count"][i:j]
+            out.append((int(rows["rep"][i]), n, tokens["token"][needed(n) - 1 :].astype(np.uint64).view(np.int64).tolist(), tokens.tobytes()))
+    columns = list(zip(*out, strict=True)) or [[], [], [], []]
+    yield pa.record_batch({"rep": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()), "prefix": pa.array(columns[2], pa.list_(pa.int64())), "tokens": pa.array(columns[3], pa.binary())})
+
+
+def salted(rows: DataFrame, key: str, by: str, few: DataFrame) -> DataFrame:
+    """rows joined with ``few`` (a row for each key) on the key; rows of one key lie in up to SALTS parts, dealt by another column."""
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(few, [key, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of the links ``a``-``b``: least labels of neighbours, then of labels, until none changes."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    label = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    label = kept_label = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = salted(both, "b", "a", label.select(F.col("node").alias("b"), "component")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         new = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        # Every label is a node, and so has a label itself.
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = stored(new.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        new = stored(salted(new, "component", "node", jump).select("node", "old", F.least("component", "further").alias("component")), kept_label)
         changed = new.filter("old <> component").limit(1).count()
-        label = new.select("node", "component")
+        label, kept_label = new.select("node", "component"), new
         if not changed:
             return label
 
 
 class _Node:
-    __slots__ = ("children", "least", "most", "mixed", "segment", "sets", "some")
+    __slots__ = ("children", "deep", "least", "mixed", "most", "segment", "sets", "some")
 
-    def __init__(self, segment: np.ndarray, size: int, member: int):
-        self.segment, self.children, self.sets = segment, {}, []
+    def __init__(self, segment: np.ndarray, size: int, deep: int, member: int):
+        self.segment, self.children, self.sets = segment, {}, {}
         self.least = self.most = size
+        #: The longest path through this node, from the root.
+        self.deep = deep
         self.some, self.mixed = member, False
 
 
 class PrefixTree:
-    """Sets as ascending arrays of ranks; add() links a set with earlier similar ones and stores it."""
+    """Sets as ascending arrays of ranks, and their sizes with what no other set has; add() links a set with earlier similar ones and stores it."""
 
     def __init__(self, ranks: int):
-        self.root = _Node(np.zeros(0, np.int32), 0, -1)
+        self.root = _Node(np.zeros(0, np.int32), 0, 0, -1)
         self.has = np.zeros(ranks, bool)
         self.group: list[int] = []
 
@@ -318,15 +344,15 @@ class PrefixTree:
         x, y = self.find(x), self.find(y)
         self.group[max(x, y)] = min(x, y)
 
-    def add(self, ranks: np.ndarray, store: bool = True, join: bool = True) -> int:
-        me, n = len(self.group), len(ranks)
+    def add(self, ranks: np.ndarray, size: int, store: bool = True, join: bool = True) -> int:
+        me = len(self.group)
         self.group.append(me)
         if join:
             self.has[ranks] = True
-            self._join(me, ranks, n)
+            self._join(me, ranks, size)
             self.has[ranks] = False
         if store:
-            self._store(me, ranks, n)
+            self._store(me, ranks, size)
         return me
 
     def _join(self, me: int, ranks: np.ndarray, n: int) -> None:
@@ -340,82 +366,91 @@ class PrefixTree:
             segment = node.segment
             overlap += int(np.count_nonzero(self.has[segment]))
             depth += len(segment)
-            left = n - int(np.searchsorted(ranks, segment[-1], "right"))
-            reach = overlap + min(left, node.most - depth)
+            left = len(ranks) - int(np.searchsorted(ranks, segment[-1], "right"))
+            reach = overlap + min(left, node.deep - depth)
             if 100 * reach < SIMILAR * (n + max(depth, node.least) - reach):
                 continue
-            for other, size in node.sets:
+            for size, members in node.sets.items():
                 if 100 * overlap >= SIMILAR * (n + size - overlap):
-                    self.link(me, other)
-                    break  # the sets of one node are equal, so they are linked with each other
+                    for other in members:
+                        self.link(me, other)
             stack += [(c, overlap, depth) for c in node.children.values()]
 
     def _store(self, me: int, ranks: np.ndarray, n: int) -> None:
-        node, at = self.root, 0
-        while at < n:
+        node, at, end = self.root, 0, len(ranks)
+        while at < end:
             child = node.children.get(ranks[at])
             if child is None:
-                child = _Node(ranks[at:], n, me)
-                child.sets.append((me, n))
+                child = _Node(ranks[at:], n, end, me)
+                child.sets[n] = [me]
                 node.children[ranks[at]] = child
                 return
             segment = child.segment
-            k = min(len(segment), n - at)
+            k = min(len(segment), end - at)
             differ = np.flatnonzero(segment[:k] != ranks[at : at + k])
             k = int(differ[0]) if len(differ) else k
             if k < len(segment):  # the edge is cut where the two sets part
-                upper = _Node(segment[:k], child.least, child.some)
+                upper = _Node(segment[:k], child.least, child.deep, child.some)
                 upper.most, upper.mixed = child.most, child.mixed
                 child.segment = segment[k:]
                 upper.children[segment[k]] = child
                 node.children[ranks[at]] = upper
                 child = upper
-            child.least, child.most = min(child.least, n), max(child.most, n)
+            child.least, child.most, child.deep = min(child.least, n), max(child.most, n), max(child.deep, end)
             child.mixed = child.mixed or self.find(child.some) != self.find(me)
             node, at = child, at + k
-        node.sets.append((me, n))
+        members = node.sets.setdefault(n, [])
+        # Of sets of one node and size that are similar to each other, one stands for all: they are linked already.
+        if not members or 100 * end < SIMILAR * (2 * n - end):
+            members.append(me)
 
 
-def joined(reps: list[int], sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (set, another) that connect all similar sets; with sides, only links from side 1 to side 0 are looked for."""
+def joined(reps: list[int], sizes: list[int], sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (set, another) that connect all similar sets, given as arrays of TOKEN; with sides, only links from side 1 to side 0 are looked for."""
     if len(reps) < 2:
         return []
     flat = np.concatenate(sets)
-    values, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+    # The counts are global, so that this is the global order as far as the block has it.
+    values, first, back = np.unique(flat["token"], return_index=True, return_inverse=True)
     rank = np.empty(len(values), np.int32)
-    rank[np.lexsort((values, -count))] = np.arange(len(values), dtype=np.int32)
+    rank[np.lexsort((values, -flat["count"][first].astype(np.int64)))] = np.arange(len(values), dtype=np.int32)
     rows = np.split(rank[back], np.cumsum([len(s) for s in sets])[:-1])
-    order = sorted(range(len(reps)), key=lambda k: (sides[k] if sides else 0, len(rows[k]), reps[k]))
+    order = sorted(range(len(reps)), key=lambda k: (sides[k] if sides else 0, sizes[k], reps[k]))
     tree = PrefixTree(len(values))
     for k in order:
         side = sides[k] if sides else None
-        tree.add(np.sort(rows[k]), store=side != 1, join=side != 0)
+        tree.add(np.sort(rows[k]), sizes[k], store=side != 1, join=side != 0)
     return [(reps[order[k]], reps[order[tree.find(k)]]) for k in range(len(order)) if tree.find(k) != k]
 
 
 def _block_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     sides = rows["side"].tolist() if rows["side"].nunique() > 1 else None
-    found = joined(rows["rep"].tolist(), [np.frombuffer(x, np.uint64) for x in rows["tokens"]], sides)
+    found = joined(rows["rep"].tolist(), rows["n"].tolist(), [np.frombuffer(x, TOKEN) for x in rows["tokens"]], sides)
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
 def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links a-b that connect all similar sets of rep, n and tokens (sorted 64-bit hashes)."""
+    """Links a-b that connect all similar sets of rep and tokens (sorted 64-bit hashes)."""
     parts = workers(sets.sparkSession)
     shared = sets.mapInArrow(_tokens_dealt(8 * parts), "bucket int, rows binary").repartition(parts, "bucket")
     shared = shared.mapInArrow(_frequent(parts), "bucket int, rows binary").repartition(parts, "bucket")
-    prefix = stored(shared.mapInArrow(_prefixes, "token long, rep long"))
+    sets = stored(shared.mapInArrow(_prefixes, "rep long, n long, prefix array<long>, tokens binary"))
+    prefix = sets.select("rep", F.explode("prefix").alias("token"))
     hub = prefix.groupBy("token").agg(F.min("rep").alias("b"), F.count("*").alias("c")).filter("c > 1")
-    label = components(prefix.join(hub, "token").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    label = components(salted(prefix, "token", "rep", hub).filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
     size = label.groupBy("component").count()
-    rows = sets.join(label.join(size, "component"), sets["rep"] == label["node"]).select("rep", "tokens", "component", "count")
-    whole = rows.filter(F.col("count") <= block).select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "rep", "tokens")
-    # Every pair of parts of a large block is a task; the part with itself included.
-    n = F.ceil(F.col("count") / (block // 2)).cast("int")
-    part = F.pmod(F.xxhash64("rep"), n).cast("int")
-    pairs = rows.filter(F.col("count") > block).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    pairs = pairs.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "rep", "tokens")
-    return whole.union(pairs).groupBy("component", "i", "j").applyInPandas(_block_links, "a long, b long")
+    label = stored(salted(label, "component", "node", size))
+    rows = sets.join(label, sets["rep"] == label["node"])
+    row = ["rep", "n", "tokens"]
+    whole = rows.filter(F.col("count") <= block).select(F.lit(0).alias("kind"), F.col("component").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), *row)
+    # A set of a larger block meets its partners at a prefix token that both have.
+    most = salted(rows.filter(F.col("count") > block).select(*row, F.explode("prefix").alias("token")), "token", "rep", hub.select("token", "c"))
+    token = most.filter(F.col("c") <= block).select(F.lit(1).alias("kind"), F.col("token").alias("key"), F.lit(0), F.lit(0), F.lit(0), *row)
+    # Every pair of parts of a token that has still more is a task; the part with itself included.
+    parts_ = F.ceil(F.col("c") / max(block // 2, 1)).cast("int")
+    pairs = most.filter(F.col("c") > block).withColumn("part", F.pmod(F.xxhash64("rep"), parts_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts_ - 1)))
+    pairs = pairs.select(F.lit(2).alias("kind"), F.col("token").alias("key"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), *row)
+    return whole.union(token).union(pairs).groupBy("kind", "key", "i", "j").applyInPandas(_block_links, "a long, b long")
 
 
 def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -432,8 +467,7 @@ def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     classes = stored(classes)
     # The texts are dealt by a join of the same kind at every size.
     sets = texts(docs).join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = sets.mapInArrow(_sets, "rep long, tokens binary").withColumn("n", (F.octet_length("tokens") / 8).cast("long"))
-    label = components(links(stored(sets), block))
+    label = components(links(sets.mapInArrow(_sets, "rep long, tokens binary"), block))
     found = classes.join(label, classes["rep"] == label["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("found"))
     out = info.join(found, ["f1", "f2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("alive"), F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
