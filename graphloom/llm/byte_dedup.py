@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, texts, workers
+from .common import slices, stored, table, texts, tidy, workers
 from .hashing import Prefixes, mixed
 
 LENGTH, GRAM = 200, 32
@@ -167,6 +167,7 @@ def _group(records: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
 
 
 def _first_level(buckets: int):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in slices(batches, "text", TOGETHER):
@@ -183,6 +184,7 @@ def _first_level(buckets: int):
 
 
 def _next_level(level, buckets: int):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         held, size = [], 0
@@ -199,6 +201,7 @@ def _next_level(level, buckets: int):
     return run
 
 
+@tidy
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs that have an equal one elsewhere (same), and those that only share their bucket (open)."""
     held = []
@@ -227,6 +230,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([k for k, _ in found], pa.int64()), pa.array([what] * len(found), pa.bool_()), pa.array([p for _, p in found], pa.binary())], _FOUND)
 
 
+@tidy
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for batch in slices(batches):

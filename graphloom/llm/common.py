@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 from typing import Any
 
 import numpy as np
@@ -59,6 +60,28 @@ def stored(df: DataFrame, *done: DataFrame) -> DataFrame:
     return out
 
 
+def trim() -> None:
+    """What this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A table function after which the worker, which waits for its next task, keeps no memory that it doesn't need."""
+
+    @wraps(run)
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 _worker: dict[str, Any] = {}
 
 
@@ -70,10 +93,7 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     """
     if _worker.get("key") != key:
         _worker.clear()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc
-            pass
+        trim()
         _worker.update(key=key, value=make())
     return _worker["value"]
 

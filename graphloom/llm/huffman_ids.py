@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, checkpointed, held, shared_dir, slices, table, texts, workers
+from .common import checkpointed, held, shared_dir, slices, table, texts, tidy, workers, Remembered
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -124,6 +124,7 @@ def id_kind(path: str) -> tuple[str, int]:
 def _tokenised(path: str, kind: str):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
@@ -134,6 +135,7 @@ def _tokenised(path: str, kind: str):
 
 
 def _counted(kind: str, n: int):
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, np.int64)
         for batch in batches:
@@ -238,6 +240,7 @@ BLOCKS = "file int, block int, base long, doc_ids array<long>, sizes array<int>,
 def _written(lengths: np.ndarray, kind: str):
     schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("marks", pa.binary())])
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -287,6 +290,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> None:
 def _read(lengths: np.ndarray, digest: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("file", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()) if digest else ("ids", pa.list_(pa.int32()))])
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(lengths, max(1, int(lengths.max())))
         for batch in slices(batches, "bits", 1 << 20):

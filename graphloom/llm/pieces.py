@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, slices, table
+from .common import held, slices, table, tidy
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -179,6 +179,7 @@ def loaded(model_file: str) -> Pieces:
 def _full(model_file: str):
     kind = [pa.field(n, pa.list_(pa.int32())) for n in ("ids", "starts", "ends")] + [pa.field("decoded", pa.string())]
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", TOGETHER):
             model, texts = loaded(model_file), [x or "" for x in part.column("text").to_pylist()]

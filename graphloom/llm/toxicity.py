@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, slices, stored, table
+from .common import held, slices, stored, table, tidy
 
 #: The class models and the curve are fitted on at most about this many labelled rows, chosen by a hash of their ids; texts are whole.
 TRAINING_ROWS = 30_000
@@ -40,8 +40,10 @@ STEMS, PASSAGES = (7, 5), (1, 3, 12, 50)
 STRONG = (1.5, 3.0)
 THRESHOLD = 0.7
 #: Words or pairs that a task gathers before it writes them out, and words that a worker remembers.
-GATHERED, REMEMBERED = 500_000, 300_000
+GATHERED, REMEMBERED = 200_000, 200_000
 FEATURES = 8 + len(PASSAGES)
+#: Bytes of text that are scored together.
+TOGETHER = 1 << 20
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: In place of the word before the first one.
@@ -61,6 +63,7 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
+@tidy
 def _training_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many training documents of each class and half have a pair of words."""
     counts: Counter = Counter()
@@ -80,6 +83,7 @@ def _training_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield out()
 
 
+@tidy
 def _corpus_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents have a word; written out whenever a worker holds many, and summed after the shuffle."""
     counts: Counter = Counter()
@@ -213,7 +217,7 @@ def _features(token: str, sent):
             if k not in scorers:
                 scorers[k] = Scorer(sent.value.only(k))
             mine = np.flatnonzero(which == k)
-            for part in slices([pa.record_batch({"text": texts.take(pa.array(mine)), "at": pa.array(mine)})], "text"):
+            for part in slices([pa.record_batch({"text": texts.take(pa.array(mine)), "at": pa.array(mine)})], "text", TOGETHER):
                 for at, f in zip(part.column("at").to_pylist(), scorers[k].features([x or "" for x in part.column("text").to_pylist()]), strict=True):
                     rows[at] = f
         return pa.array(rows, pa.list_(pa.float64()))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts, workers
+from .common import slices, table, texts, tidy, workers
 from .hashing import Prefixes, mixed
 
 WINDOW, GRAM = 13, 3
@@ -77,6 +77,7 @@ class Words:
         return at
 
 
+@tidy
 def _frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The grams that a task sees as minimisers unusually often: at least one in 20,000 of its windows, and four times."""
     none = np.zeros(0, np.uint64)
@@ -141,6 +142,7 @@ def _packed_lost(lost: np.ndarray, buckets: int, pack) -> list[tuple[int, bytes]
 def _sent(hot: np.ndarray, parts: int, buckets: int):
     """Packed strings by bucket, and the windows that a row loses to another of the same slice, packed by the rows' own buckets."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", TOGETHER):
@@ -236,6 +238,7 @@ def _counted(parts: int):
     Of each window only the fingerprint is kept; the rest is looked up where two are equal.
     """
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         packs, names, columns = [], [], {name: [] for name, _ in STRINGS}
@@ -294,6 +297,7 @@ def _counted(parts: int):
 def _zipped(parts: int):
     """The rows' texts by their own buckets; equal rows of a slice as one."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, "text", TOGETHER):
@@ -323,6 +327,7 @@ def _finished(digest: bool):
     """A bucket's rows without what they lose."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, lost, rows = zstandard.ZstdDecompressor(), [np.zeros(0, LOST)], []
         for batch in batches:

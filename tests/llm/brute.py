@@ -158,3 +158,17 @@ class KneserNey:
             return self.word(w)
         total = sum(own.values())
         return max(own.get(w, 0) - self.d, 0) / total + max(sum(min(c, self.d) for c in own.values()) / total, 1e-6) * self.word(w)
+
+
+def redacted(text, kinds, weak_spans):
+    """The text with each span replaced by its kind in brackets; of overlapping spans the first names them all."""
+    spans = linked(text, secrets_base(text), weak_spans(text))
+    groups = []
+    for s, k, e in spans:
+        if groups and s < groups[-1][2]:
+            groups[-1][2] = max(groups[-1][2], e)
+        else:
+            groups.append([s, k, e])
+    for s, k, e in reversed(groups):
+        text = text[:s] + f"[{kinds[k]}]" + text[e:]
+    return text

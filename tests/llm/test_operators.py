@@ -145,16 +145,25 @@ def test_ngram_join(spark):
 
 
 def test_prefix_tree_against_pairs():
-    for turn in range(60):
+    """Sets of shared tokens with global counts, and sizes that count tokens which no other set has."""
+    for turn in range(120):
         r = np.random.default_rng(turn)
-        sets = [np.unique(r.integers(0, 25, r.integers(1, 20)).astype(np.uint64)) for _ in range(30)]
-        group = list(range(30))
-        links = ngram_join.joined(list(range(30)), sets)
-        want = [(a, b) for a in range(30) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
-
-        def classes(pairs, group=group):
-            at = list(group)
-            for _ in group:
+        counts = r.integers(2, 9, 25)
+        sets = []
+        for _ in range(40):
+            token = np.unique(r.integers(0, 25, r.integers(1, 20)).astype(np.uint64))
+            one = np.zeros(len(token), ngram_join.TOKEN)
+            one["token"], one["count"] = token, counts[token.astype(int)]
+            sets.append(one)
+        sets += sets[:8]
+        sizes = [len(s) + int(r.integers(0, 4)) for s in sets]
+        common = lambda a, b: len(np.intersect1d(sets[a]["token"], sets[b]["token"]))
+        want = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * common(a, b) >= 75 * (sizes[a] + sizes[b] - common(a, b))]
+        links = ngram_join.joined(list(range(len(sets))), sizes, sets)
+
+        def classes(pairs):
+            at = list(range(len(sets)))
+            for _ in at:
                 for a, b in pairs:
                     at[a] = at[b] = min(at[a], at[b])
             return at
