@@ -55,6 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again by the next.
+
+    Null and empty texts go through every stage (they are neither toxic nor contaminated, near no other text,
+    and have no pieces).  Of rows with one doc_id all stay if it is its group's, so repeated rows do; rows
+    without a doc_id are no one's copies.  An empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
