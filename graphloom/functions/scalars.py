@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -168,10 +170,17 @@ def identifiers(query) -> Column:
     return F.filter(F.split(_col(query), r"\s+"), lambda w: w.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"))
 
 
-def tree_hash(path, text) -> Column:
-    """Aggregate: one hash over all files' paths and text hashes, in path order."""
-    files = F.array_sort(F.collect_list(F.struct(_col(path).alias("p"), F.sha1(_col(text).cast("binary")).alias("h"))))
-    return F.concat(F.lit("cnt_"), F.sha1(F.array_join(F.transform(files, lambda f: F.concat(f["p"], F.lit("\0"), f["h"], F.lit("\0"))), "").cast("binary")))
+def folded_tree_hash(files) -> str:
+    """One hash over all files' paths and text hashes, in path order.
+
+    Files are hashed where they are and sorted by range; the driver takes one partition of paths and hashes
+    at a time and folds them, so nothing is gathered.
+    """
+    rows = files.select("path", F.sha1(F.col("text").cast("binary")).alias("hash")).orderBy("path")
+    fold = hashlib.sha1()
+    for row in rows.toLocalIterator():
+        fold.update(f"{row['path']}\0{row['hash']}\0".encode())
+    return f"cnt_{fold.hexdigest()}"
 
 
 def checksum(nodes, edges, vectors) -> Column:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,10 @@ from ..functions import scalars as S
 #: A body beyond either is cut into blocks.
 BLOCK_LINES, BLOCK_TOKENS = 60, 512
 
+# What starts a declaration.  (?d): only a newline ends a line.
 DECLARATIONS = {
-    "ts": (("Function", r"(?m)^(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*(\([^)]*\))"), ("Class", r"(?m)^(?:export\s+)?class\s+([A-Za-z_$][\w$]*)()")),
-    "py": (("Function", r"(?m)^def\s+([A-Za-z_]\w*)\s*(\([^)]*\))"), ("Class", r"(?m)^class\s+([A-Za-z_]\w*)()")),
+    "ts": (("Function", r"(?dm)^(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*(\([^)]*\))"), ("Class", r"(?dm)^(?:export\s+)?class\s+([A-Za-z_$][\w$]*)()")),
+    "py": (("Function", r"(?dm)^def\s+([A-Za-z_]\w*)\s*(\([^)]*\))"), ("Class", r"(?dm)^class\s+([A-Za-z_]\w*)()")),
 }
 
 
@@ -33,32 +36,38 @@ def file_nodes(files: DataFrame, repo: str) -> DataFrame:
 
 
 def regex_declarations(files: DataFrame, repo: str) -> DataFrame:
-    """Functions and classes that start a line, with the line: a mark is put before each match, and the pieces between marks counted."""
+    """Functions and classes that start a line, with the line: the newlines between matches and in them are counted up, file by file."""
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n")))
     found = None
     for family, rules in DECLARATIONS.items():
         rows = files.filter(F.col("language") == "python" if family == "py" else F.col("language").isin("typescript", "javascript"))
         for place, (kind, pattern) in enumerate(rules):
-            pieces = F.split(F.regexp_replace("text", pattern, "\u0001$0"), "\u0001", -1)
-            part = rows.withColumn("_pieces", pieces).filter(F.size("_pieces") > 1)
-            line = F.lit(1) + F.aggregate(F.slice("_pieces", 1, F.col("_i")), F.lit(0), lambda s, x: s + F.length(x) - F.length(F.replace(x, F.lit("\n"))))
-            part = part.select("path", "language", "_pieces", F.posexplode("_pieces").alias("_i", "_piece")).filter("_i > 0")
-            name, params = F.regexp_extract("_piece", pattern, 1), F.regexp_extract("_piece", pattern, 2)
-            part = part.select("path", "language", F.lit(kind).alias("kind"), name.alias("name"), F.concat(name, params).alias("signature"), line.alias("start"), line.alias("end"), (F.lit(place) * 1_000_000 + F.col("_i")).alias("turn"))
+            whole, name, params = (F.regexp_extract_all("text", F.lit(pattern), F.lit(k)) for k in range(3))
+            between = F.split("text", pattern, -1)
+            part = rows.select("path", "language", F.arrays_zip(name.alias("name"), params.alias("params"), F.transform(between, newlines).alias("before"), F.transform(whole, newlines).alias("inside")).alias("_x"), F.size(name).alias("_n"))
+            part = part.filter("_n > 0").select("path", "language", F.posexplode(F.slice("_x", 1, F.col("_n"))).alias("_i", "_x")).select("path", "language", F.lit(kind).alias("kind"), F.lit(place).alias("_place"), "_i", "_x.*")
             found = part if found is None else found.union(part)
+    before = Window.partitionBy("path", "kind").orderBy("_i")
+    line = F.lit(1) + F.sum("before").over(before) + F.sum("inside").over(before) - F.col("inside")
+    found = found.withColumn("start", line.cast("int"))
     qn = F.concat("path", F.lit("::"), "name")
-    return found.select(S.stable_id(F.lit(repo), "path", "kind", qn).alias("id"), "path", "kind", "language", qn.alias("qn"), "signature", "start", "end", S.content_id(S.normalize_signature("signature"), S.normalize_body("signature")).alias("content_hash"), "turn")
+    signature = F.concat("name", "params")
+    return found.select(S.stable_id(F.lit(repo), "path", "kind", qn).alias("id"), "path", "kind", "language", qn.alias("qn"), signature.alias("signature"), "start", F.col("start").alias("end"), S.content_id(S.normalize_signature(signature), S.normalize_body(signature)).alias("content_hash"), (F.col("_place") * 1_000_000 + F.col("_i") + 1).alias("turn"))
 
 
 # --- scanners: rows (what, kind, name, owner, signature, start, end, body, target) in order -----------------
 
 ROW = "path string, language string, what string, kind string, name string, owner string, signature string, start int, end int, body string, target string, turn int"
 
+_ROW = pa.schema([(c.split(" ")[0], pa.string() if c.endswith("string") else pa.int32()) for c in ROW.split(", ")])
+
 _TS_SKIP = re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?<=[=(,:!&|?{};\n])\s*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n])+/[a-z]*""")
 _TS_DECL = re.compile(r"(?<![\w$.])(?:(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\s*\(|(?<!abstract\s)class\s+([A-Za-z_$][\w$]*)[^{]*\{)")
 _TS_METHOD = re.compile(r"(?:^|[;{}\n])\s*(?:(?:public|private|protected|static|override|readonly|async|get|set)\s+)*(#?[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\s*\(")
 _TS_CALL = re.compile(r"(?<![\w$.])(?:this\.([A-Za-z_$][\w$]*)|([A-Za-z_$][\w$]*))\s*\(")
 _TS_IMPORT = re.compile(r"""(?m)^[ \t]*(?:import\s+(?:[^"';]*?\sfrom\s*)?|export\s+[^"';]*?\sfrom\s*)(["'])([^"'\n]+)\1""")
 _TS_NOT_CALLS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "await", "new", "constructor", "import", "do", "else", "void", "delete", "in", "of", "instanceof"}
+# The kinds of blocks in both languages.
 _TS_BLOCKS = re.compile(r"(?<![\w$.#])(?:(if|else|for|while|do|switch|try|catch|finally)\b(?!\s*:)|(?:async\s+)?(function)\b(?!\s*\*)|(?<!abstract\s)(class)\b(?!\s*:))|(=>)")
 _TS_KINDS = {"if": "if_statement", "else": "else_clause", "while": "while_statement", "switch": "switch_statement", "try": "try_statement", "catch": "catch_clause", "finally": "finally_clause"}
 _TS_PARAMETERS = re.compile(r"(?:(?<![\w$.])async\s*)?(?:<[^<>()]*>\s*)?(?:\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)(?:\s*:[^=;{}()]+)?|(?<![\w$.])[A-Za-z_$][\w$]*)\s*$")
@@ -70,17 +79,29 @@ def blanked(text: str) -> str:
     return _TS_SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
 
 
+@lru_cache(maxsize=4)
+def _brackets(text: str) -> dict[int, int]:
+    """Where each bracket that opens closes; the kinds are matched apart from each other, in one pass."""
+    opened: dict[str, list[int]] = {"(": [], "{": [], "[": []}
+    kinds, found = {")": "(", "}": "{", "]": "["}, {}
+    for m in re.finditer(r"[(){}\[\]]", text):
+        if m.group() in opened:
+            opened[m.group()].append(m.start())
+        elif stack := opened[kinds[m.group()]]:
+            found[stack.pop()] = m.start()
+    return found
+
+
+@lru_cache(maxsize=4)
+def _places(text: str, char: str) -> list[int]:
+    return [m.start() for m in re.finditer(re.escape(char), text)]
+
+
 def closing(text: str, at: int, pair: str) -> int:
-    """Where the bracket that opens at this place closes (the end, if it doesn't)."""
-    depth = 0
-    for k in range(at, len(text)):
-        if text[k] == pair[0]:
-            depth += 1
-        elif text[k] == pair[1]:
-            depth -= 1
-            if not depth:
-                return k
-    return len(text) - 1
+    """Where the bracket that opens at this place, or next, closes (the end, if it doesn't)."""
+    if not 0 <= at < len(text) or text[at] != pair[0]:
+        at = text.find(pair[0], max(at, 0))
+    return _brackets(text).get(at, len(text) - 1)
 
 
 def _too_long(body: str) -> bool:
@@ -93,6 +114,14 @@ def _after(text: str, at: int) -> int:
     return at
 
 
+def _before(text: str, at: int, place: int) -> int:
+    """The last place before this one, but not before ``at``, that isn't white space."""
+    place -= 1
+    while place >= at and text[place].isspace():
+        place -= 1
+    return place
+
+
 def _expression_end(text: str, at: int, stops: str = ";") -> int:
     """The last place of an expression: before a stop, a bracket that closes around it, or a line's end that nothing carries on."""
     depth, last = 0, at
@@ -140,7 +169,8 @@ def _ts_blocks(text: str, at: int, end: int) -> list[tuple[int, int, str]]:
     found, tails = [], set()
     for m in _TS_BLOCKS.finditer(text, at, end):
         start, word = m.start(), m.group(1)
-        before = text[at:start].rstrip()
+        last_char = _before(text, at, start)
+        before = text[last_char : last_char + 1] if last_char >= at else ""
         if word == "do":
             last = _statement_end(text, m.end())
             if x := re.compile(r"\s*(?=while\b)").match(text, last + 1):
@@ -155,13 +185,13 @@ def _ts_blocks(text: str, at: int, end: int) -> list[tuple[int, int, str]]:
         elif word == "catch":
             k = _after(text, m.end())
             k = closing(text, k, "()") + 1 if text[k : k + 1] == "(" else k
-            if before.endswith("}") and text[_after(text, k) : _after(text, k) + 1] == "{":
+            if before == "}" and text[_after(text, k) : _after(text, k) + 1] == "{":
                 found.append((start, _statement_end(text, k), _TS_KINDS[word]))
         elif word and start not in tails:
             found.append((start, _statement_end(text, start), _TS_KINDS[word]))
         elif m.group(2) or m.group(3):
-            own_line = "\n" in text[at + len(before) : start] and before[-1:] not in set("=(,:?[!&|+-~>")
-            declared = not before or before[-1] in "{};" or own_line
+            own_line = "\n" in text[last_char + 1 : start] and before not in set("=(,:?[!&|+-~>")
+            declared = not before or before in "{};" or own_line
             opened = closing(text, text.find("(", start), "()") if m.group(2) else start
             if declared == bool(m.group(3)):
                 found.append((start, closing(text, text.find("{", opened), "{}"), "class_declaration" if m.group(3) else "function_expression"))
@@ -189,9 +219,10 @@ def _inside(text: str, at: int, place: int) -> str:
 
 def scan_ts(text: str) -> Iterator[dict]:
     plain = blanked(text)
-    line = lambda at: plain.count("\n", 0, at) + 1
+    newlines, opened, closed = (_places(plain, c) for c in "\n{}")
+    line = lambda at: bisect_left(newlines, at) + 1
     for m in _TS_IMPORT.finditer(text):
-        if not plain[: m.start(2) - 1].count("{") - plain[: m.start(2) - 1].count("}") > 0 or "}" in m.group():
+        if bisect_left(opened, m.start(2) - 1) <= bisect_left(closed, m.start(2) - 1) or "}" in m.group():
             yield {"what": "import", "target": m.group(2), "start": line(m.start()), "end": line(m.end())}
 
     def function(kind: str, name: str, owner: str | None, start: int, paren: int) -> Iterator[dict]:
@@ -261,7 +292,7 @@ def _keyword_line(lines: list[str], at: int, word: str) -> int:
 def scan_py(text: str) -> Iterator[dict]:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # not Python, or beyond what the parser can hold
         return
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
@@ -297,20 +328,19 @@ def scan_py(text: str) -> Iterator[dict]:
     yield from walk(tree, None)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split(" ")[0] for c in ROW.split(", ")]
+def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of every file; what a row doesn't say is null."""
     for files in batches:
-        rows = []
-        for path, language, text in zip(files["path"], files["language"], files["text"], strict=True):
+        for path, language, text in zip(*(files.column(c).to_pylist() for c in ("path", "language", "text")), strict=True):
             scan = scan_py if language == "python" else scan_ts
-            rows += [{"path": path, "language": language, "turn": k, **r} for k, r in enumerate(scan(text or ""))]
-        out = pd.DataFrame(rows, columns=columns)
-        yield out.astype({c: "Int32" for c in ("start", "end", "turn")})
+            rows = [{"path": path, "language": language, "turn": k, **r} for k, r in enumerate(scan(text or ""))]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _ROW)
 
 
 def scanned(files: DataFrame) -> DataFrame:
     """Declarations, calls, imports and blocks of the files(path, language, text) in languages that are parsed."""
-    return files.filter(F.col("language").isin("typescript", "javascript", "python")).select("path", "language", "text").mapInPandas(_scan, ROW)
+    return files.filter(F.col("language").isin("typescript", "javascript", "python")).select("path", "language", "text").mapInArrow(_scan, ROW)
 
 
 def _own(path, owner, name):

@@ -10,6 +10,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,17 +72,51 @@ class HttpEmbedder:
         return vectors
 
 
+def identified(embedder, texts: list[str]) -> tuple[list[list[float]], str, str]:
+    """The vectors, with the model and revision that made them: a fallback's are its own."""
+    if hasattr(embedder, "identified"):
+        return embedder.identified(texts)
+    return embedder.embed(texts), embedder.model, embedder.revision
+
+
 @dataclass(frozen=True)
 class FallbackEmbedder:
     first: object
     second: object
 
     def embed(self, texts: list[str]) -> list[list[float]]:
+        return self.identified(texts)[0]
+
+    def identified(self, texts: list[str]) -> tuple[list[list[float]], str, str]:
         """Only an unavailable service is stood in for; other errors go on."""
         try:
-            return self.first.embed(texts)
+            return identified(self.first, texts)
         except AdapterUnavailableError:
-            return self.second.embed(texts)
+            return identified(self.second, texts)
+
+
+class EncoderEmbedder:
+    """An encoder of the sentence-transformers library, where that is installed, loaded once in each worker; vectors have length 1."""
+
+    def __init__(self, model: str, revision: str, dim: int = 1024):
+        if revision in ("", "0"):
+            raise EmbeddingCompatibilityError("an encoder needs a fixed revision")
+        self.model, self.revision, self.dim = model, revision, dim
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        encoder = _loaded("SentenceTransformer", self.model, self.revision)
+        if encoder.get_sentence_embedding_dimension() != self.dim:
+            raise EmbeddingCompatibilityError(f"{self.model} has {encoder.get_sentence_embedding_dimension()} dimensions")
+        return [[float(x) for x in v] for v in encoder.encode(texts, normalize_embeddings=True)] if texts else []
+
+
+@cache
+def _loaded(kind: str, model: str, revision: str):
+    try:
+        import sentence_transformers
+    except ImportError as e:
+        raise AdapterUnavailableError("sentence-transformers is not installed") from e
+    return getattr(sentence_transformers, kind)(model, revision=revision)
 
 
 @dataclass(frozen=True)
@@ -92,8 +127,11 @@ class LatencyLogged:
     def embed(self, texts: list[str]) -> list[list[float]]:
         return self._timed(self.inner.embed, texts)
 
-    def rerank(self, query: str, texts: list[str]) -> list[float]:
-        return self._timed(lambda t: self.inner.rerank(query, t), texts)
+    def identified(self, texts: list[str]) -> tuple[list[list[float]], str, str]:
+        return self._timed(lambda t: identified(self.inner, t), texts)
+
+    def rerank(self, query: str, texts: list[str], **options) -> list[float]:
+        return self._timed(lambda t: self.inner.rerank(query, t, **options), texts)
 
     def _timed(self, call, texts: list):
         began = time.monotonic()
@@ -107,21 +145,21 @@ class LatencyLogged:
 
 
 def embedded(rows: DataFrame, embedder, batch: int = 64) -> DataFrame:
-    """rows(node_id, payload_kind, text) with vectors, a request for each batch, on the executors."""
+    """rows(node_id, payload_kind, text) with vectors and the model and revision that made them, a request for each batch, on the executors."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            vectors = []
             for k in range(0, len(part), batch):
-                vectors += embedder.embed(part["text"].iloc[k : k + batch].tolist())
-            yield part[["node_id", "payload_kind"]].assign(vector=vectors)
+                some = part.iloc[k : k + batch]
+                vectors, model, revision = identified(embedder, some["text"].tolist())
+                yield some[["node_id", "payload_kind"]].assign(vector=vectors, model=model, revision=revision)
 
-    return rows.select("node_id", "payload_kind", "text").mapInPandas(run, "node_id string, payload_kind string, vector array<double>")
+    return rows.select("node_id", "payload_kind", "text").mapInPandas(run, "node_id string, payload_kind string, vector array<double>, model string, revision string")
 
 
 @dataclass(frozen=True)
 class JaccardReranker:
-    def rerank(self, query: str, texts: list[str]) -> list[float]:
+    def rerank(self, query: str, texts: list[str], seconds: float | None = None) -> list[float]:
         a = set(query.lower().split())
         return [len(a & b) / len(a | b) if a | b else 0.0 for b in (set(t.lower().split()) for t in texts)]
 
@@ -133,36 +171,47 @@ class HttpReranker:
     revision: str
     seconds: float = 30.0
 
-    def rerank(self, query: str, texts: list[str]) -> list[float]:
+    def rerank(self, query: str, texts: list[str], seconds: float | None = None) -> list[float]:
+        """Scores in order; ``seconds`` is this call's own limit."""
         if not texts:
             return []
-        found = _post(f"{self.url}/rerank", {"query": query, "candidates": texts, "model": self.model, "revision": self.revision}, self.seconds)
+        found = _post(f"{self.url}/rerank", {"query": query, "candidates": texts, "model": self.model, "revision": self.revision}, seconds or self.seconds)
         scores = found.get("scores")
         if (found.get("model"), found.get("revision")) != (self.model, self.revision) or not isinstance(scores, list) or len(scores) != len(texts):
             raise AdapterUnavailableError(f"{self.url} broke its contract")
         return [float(s) for s in scores]
 
 
+class CrossEncoderReranker:
+    """A cross-encoder of the sentence-transformers library, where that is installed."""
+
+    def __init__(self, model: str, revision: str):
+        self.model, self.revision = model, revision
+
+    def rerank(self, query: str, texts: list[str], seconds: float | None = None) -> list[float]:
+        return [float(x) for x in _loaded("CrossEncoder", self.model, self.revision).predict([(query, t) for t in texts])] if texts else []
+
+
 @dataclass(frozen=True)
 class FallbackReranker:
     first: object
     second: object
 
-    def rerank(self, query: str, texts: list[str]) -> list[float]:
+    def rerank(self, query: str, texts: list[str], seconds: float | None = None) -> list[float]:
         try:
-            return self.first.rerank(query, texts)
+            return self.first.rerank(query, texts, seconds=seconds)
         except AdapterUnavailableError:
-            return self.second.rerank(query, texts)
+            return self.second.rerank(query, texts, seconds=seconds)
 
 
-def rerank_scores(rows: DataFrame, reranker, query: str) -> DataFrame:
-    """rows(id, text, ...) of one query with rerank_score; a few dozen rows, so one task asks once."""
+def rerank_scores(rows: DataFrame, reranker, query: str, seconds: float | None = None) -> DataFrame:
+    """rows(id, text, ...) of one query with rerank_score; a few dozen rows, so one task asks once.  No row goes, and none moves."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*rows.schema.fields, T.StructField("rerank_score", T.DoubleType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(rerank_score=reranker.rerank(query, part["text"].tolist()))
+            yield part.assign(rerank_score=reranker.rerank(query, part["text"].tolist(), seconds=seconds))
 
     return rows.coalesce(1).mapInPandas(run, schema)

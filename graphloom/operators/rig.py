@@ -40,6 +40,41 @@ def workspace_dependencies(packages: DataFrame) -> DataFrame:
     return packages.select("name").join(found, "name", "left").select("name", F.coalesce("inside", F.array().cast("array<string>")).alias("deps"))
 
 
+def matched_folders(listing: DataFrame, patterns: list[str]) -> DataFrame:
+    """Of a listing of folders (path) those that the patterns mean: a literal one, or the folders right below ``parent/*`` that don't start with a dot; other stars mean none."""
+    hit = F.lit(False)
+    for pattern in (p.rstrip("/") for p in patterns):
+        parent = pattern[:-2]
+        if pattern.endswith("/*") and "*" not in parent:
+            below = F.substring("path", F.lit(len(parent) + 2), F.length("path"))
+            hit = hit | (F.col("path").startswith(parent + "/") & ~below.contains("/") & (below != "") & ~below.startswith("."))
+        elif "*" not in pattern:
+            hit = hit | (F.col("path") == pattern)
+    return listing.filter(hit).select("path").distinct()
+
+
+#: What is read of a package file.
+PACKAGE = "name string, scripts map<string,string>, dependencies map<string,string>, devDependencies map<string,string>, peerDependencies map<string,string>"
+
+
+def package_components(packages: DataFrame) -> DataFrame:
+    """packages(path, text) of a workspace's members to components: those with a name, and their dependencies on one another."""
+    rows = packages.withColumn("_p", F.from_json("text", PACKAGE)).filter("_p.name IS NOT NULL AND _p.name <> ''")
+    keys = [F.coalesce(F.map_keys(F.col(f"_p.{c}")), F.array().cast("array<string>")) for c in ("dependencies", "devDependencies", "peerDependencies")]
+    rows = rows.select("path", F.col("_p.name").alias("name"), F.array_distinct(F.concat(*keys)).alias("deps"))
+    inside = workspace_dependencies(rows.select("name", "deps")).distinct()
+    safe = F.transform("deps", lambda d: S.safe_id("pkg:", d))
+    return rows.select("path", "name").join(inside, "name").select(S.safe_id("pkg:", "name").alias("id"), F.lit("package").alias("kind"), "name", "path", safe.alias("deps"))
+
+
+def package_targets(packages: DataFrame, scripts: dict[str, str]) -> DataFrame:
+    """A target for each script of a named package that stands for a kind."""
+    kind = F.create_map(*(F.lit(x) for pair in scripts.items() for x in pair))
+    rows = packages.withColumn("_p", F.from_json("text", PACKAGE)).filter("_p.name IS NOT NULL AND _p.name <> ''")
+    rows = rows.select(S.safe_id("pkg:", F.col("_p.name")).alias("component_id"), F.explode(F.map_keys("_p.scripts")).alias("_s")).filter(F.col("_s").isin(*scripts))
+    return rows.select(F.concat("component_id", F.lit(":"), "_s").alias("id"), F.element_at(kind, F.col("_s")).alias("kind"), "component_id")
+
+
 def materialized(components: DataFrame, targets: DataFrame, tests: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a merged build graph."""
     where = lambda path: F.when(path == "", ".").otherwise(path)

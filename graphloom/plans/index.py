@@ -1,7 +1,8 @@
 """Indexing a repository: files to nodes, edges and vectors, with a manifest row for each batch.
 
-Tables are Parquet folders below one root.  A batch is staged beside them and swapped in; the manifest
-follows last, so a failed batch leaves the tables as they were and a manifest row that says so.
+A batch is recorded as pending before anything is written.  Its rows are computed once, into a staging folder;
+they are checked there, merged with the parts of the tables that they touch, and one new file of the store's log
+makes all of it valid at once.  Then the batch's last event follows: committed, dry_run, or failed.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import extract, graph, models, rig, vectors
+from ..operators import extract, graph, manifest, models, rig, vectors
 from ..sources import build_files, files
+from .store import Store
 
 
 @dataclass(frozen=True)
@@ -74,58 +76,94 @@ def built(spark: SparkSession, sources: DataFrame, graphs: list[build_files.Grap
     return reduce(DataFrame.unionByName, [*nodes, more.select(*NODE)]), reduce(DataFrame.union, [*edges, links])
 
 
-def extractors(names: tuple[str, ...]) -> list:
-    """The named extractors of build metadata; without any, the default graph."""
+def extractors(names: tuple[str, ...], external: str | None = None) -> list:
+    """The named extractors of build metadata; without any, the default graph.  ``external`` is the command of the external one."""
     known = {
         "package-json": (lambda r: (r / "package.json").is_file(), build_files.package_json),
         "pyproject": (lambda r: (r / "pyproject.toml").is_file(), build_files.pyproject),
         "manual-yaml": (lambda r: (r / "rig.yaml").is_file(), lambda r: build_files.manual_yaml(r / "rig.yaml")),
+        "external": (lambda r: external is not None and (r / "CMakeLists.txt").is_file(), lambda r: build_files.external(external, r)),
     }
     return [known[n] for n in names] or [(lambda r: True, lambda r: build_files.default_graph())]
 
 
-def _swapped(spark: SparkSession, root: str, name: str, new: DataFrame, merge) -> None:
-    """The table with the batch: written beside the old one, then named in its place."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    here = fs_path(f"{root}/{name}")
-    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    staged = fs_path(f"{root}/.{name}-{uuid.uuid4().hex}")
-    old = spark.read.parquet(f"{root}/{name}") if fs.exists(here) else new.limit(0)
-    merge(old, new).write.parquet(str(staged))
-    fs.delete(here, True)
-    if not fs.rename(staged, here):
-        raise OSError(f"{staged} could not be renamed")
+BATCHES = "batch_id string, run string, repo string, source_path string, source_hash string, created_at string, node_count long, edge_count long, vector_count long, checksum string"
+EVENTS = "batch_id string, to_status string, event_id long, at string"
+#: ``ord`` of a batch's rows starts at this many times its number.
+BATCH_ROWS = 1 << 46
 
 
-def index(spark: SparkSession, source_root: str, store: str, config: Config, embedder=None, clock=None, batch_id: str | None = None) -> dict:
-    """Indexes a repository and returns the manifest row.  A dry run does all but writing tables."""
+def batches(spark: SparkSession, store: str) -> DataFrame:
+    """The manifest: every batch with its status and, if it was committed, when."""
+    tables = Store(spark, store)
+    state = manifest.state(tables.appended("batch_events", EVENTS))
+    return tables.appended("batch_manifest", BATCHES).join(state, "batch_id", "left")
+
+
+def index(spark: SparkSession, source_root: str, store: str, config: Config, embedder=None, clock=None, batch_id: str | None = None, command: str | None = None) -> dict:
+    """Indexes a repository and returns the manifest row.  A dry run does all but writing tables.
+
+    An id that a batch had before is refused, as are vectors of another model, revision or length than the
+    store's first ones; both leave the tables as they are.
+    """
     clock = clock or (lambda: dt.datetime.now(dt.UTC).isoformat())
-    batch_id, created = batch_id or uuid.uuid4().hex, clock()
+    tables, batch_id = Store(spark, store), batch_id or uuid.uuid4().hex
+    before = tables.current()
     sources = files.walked(spark, source_root)
-    nodes, edges = built(spark, sources, build_files.dispatched(source_root, extractors(config.rig)), config)
-    turn = F.monotonically_increasing_id()
-    nodes = nodes.withColumns({"repo": F.lit(config.repo), "run": F.lit(batch_id)}).withColumn("ord", turn)
-    edges = edges.withColumns({"repo": F.lit(config.repo), "run": F.lit(batch_id)}).withColumn("ord", turn)
-    rows = vectors.payloads(nodes)
-    made = models.embedded(rows, embedder) if embedder else rows.select("node_id", "payload_kind", S.hash_embedding("text", config.dim).alias("vector"))
-    made = made.withColumns({"repo": F.lit(config.repo), "run": F.lit(batch_id), "model": F.lit(config.model), "revision": F.lit(config.revision)}).withColumn("ord", turn)
-    counts = {"nodes": nodes.count(), "edges": edges.count(), "vectors": made.count()}
-    row = {"batch_id": batch_id, "repo": config.repo, "status": "pending", "created_at": created, "committed_at": None, **{f"{k[:-1]}_count": v for k, v in counts.items()}}
-    row["source_hash"] = sources.agg(S.tree_hash("path", "text")).first()[0]
-    row["checksum"] = spark.range(1).select(S.checksum(*(F.lit(v) for v in counts.values()))).first()[0]
+    graphs = build_files.dispatched(source_root, extractors(config.rig, command))
+    first = before["batches"] * BATCH_ROWS
+    staged = f"{tables.root}/staging/{uuid.uuid4().hex}"
+    events = 0
+
+    def event(status: str) -> str:
+        nonlocal events
+        at, events = clock(), events + 1
+        tables.append("batch_events", spark.createDataFrame([(batch_id, status, events, at)], EVENTS))
+        return at
+
+    def kept(rows: DataFrame, name: str, *order: str) -> DataFrame:
+        """The rows, written once in a fixed order, with the batch's columns and their places."""
+        rows = rows.withColumns({"repo": F.lit(config.repo), "run": F.lit(batch_id)}).orderBy(*order).withColumn("ord", F.lit(first) + F.monotonically_increasing_id())
+        rows.write.parquet(f"{staged}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{staged}/{name}")
+
+    row = {"batch_id": batch_id, "run": batch_id, "repo": config.repo, "source_path": source_root, "created_at": clock(), "node_count": 0, "edge_count": 0, "vector_count": 0, "checksum": None}
+    row["source_hash"] = S.folded_tree_hash(sources)
+    manifest.recorded(tables.appended("batch_manifest", BATCHES).select("batch_id"), spark.createDataFrame([(batch_id,)], "batch_id string"))
+    try:
+        nodes, edges = built(spark, sources, graphs, config)
+        new = {"nodes": kept(nodes, "nodes", "path", "start", "kind", "qn"), "edges": kept(edges, "edges", "src", "type", "dst")}
+        texts = vectors.payloads(new["nodes"])
+        made = models.embedded(texts, embedder) if embedder else texts.select("node_id", "payload_kind", S.hash_embedding("text", config.dim).alias("vector"), F.lit(config.model).alias("model"), F.lit(config.revision).alias("revision"))
+        new["vectors"] = kept(made, "vectors", "node_id", "payload_kind")
+        counts = {name: rows.count() for name, rows in new.items()}
+        row |= {f"{name[:-1]}_count": n for name, n in counts.items()}
+        row["checksum"] = spark.range(1).select(S.checksum(*(F.lit(v) for v in counts.values()))).first()[0]
+        tables.append("batch_manifest", graph.validated(spark.createDataFrame([row], BATCHES), "batches"))
+        event("pending")
+    except Exception:
+        tables.append("batch_manifest", spark.createDataFrame([row], BATCHES))
+        event("pending")
+        event("failed")
+        tables.drop(staged)
+        raise
     try:
+        for name, rows in new.items():
+            graph.validated(rows, name)
+        identity = vectors.checked(new["vectors"], before["identity"])
+        row |= {"status": "dry_run", "committed_at": None}
         if not config.dry_run:
-            graph.validated(nodes)
-            vectors.pinned(made, config.model, config.revision, config.dim)
-            _swapped(spark, store, "nodes", nodes, lambda a, b: graph.upsert_nodes(a, b).drop("turn"))
-            _swapped(spark, store, "edges", edges, lambda a, b: graph.upsert_edges(a, b).drop("turn"))
-            _swapped(spark, store, "vectors", made, vectors.upsert)
-        row["status"] = "dry_run" if config.dry_run else "committed"
-        row["committed_at"] = None if config.dry_run else clock()
+            after = before | {"identity": identity, "batches": before["batches"] + 1}
+            after = tables.merged(after, "nodes", new["nodes"], lambda a, b: graph.upsert_nodes(a, b).drop("turn"))
+            after = tables.merged(after, "edges", new["edges"], lambda a, b: graph.upsert_edges(a, b).drop("turn"))
+            after = tables.merged(after, "vectors", new["vectors"], vectors.upsert)
+            tables.commit(before, after)
+            row["status"] = "committed"
+        at = event(row["status"])
+        row["committed_at"] = at if row["status"] == "committed" else None
     except Exception:
-        row["status"] = "failed"
+        event("failed")
         raise
     finally:
-        schema = "batch_id string, repo string, status string, created_at string, committed_at string, node_count long, edge_count long, vector_count long, source_hash string, checksum string"
-        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{store}/batch_manifest")
+        tables.drop(staged)
     return row | {"config": asdict(config)}

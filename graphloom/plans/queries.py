@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import extract, graph, manifest, rig, vectors
+from ..sources import build_files, files
 from . import retrieval
 from .testviews import REPO, Views
 
@@ -27,9 +28,9 @@ NODES = f"""nodes AS (SELECT {_ID} AS id, 'typescript' AS language, * FROM (
   UNION ALL SELECT 'src/n' || (p_partkey % 25) || '.ts', 'Method', 'src/n' || (p_partkey % 25) || '.ts::P.p' || p_partkey, p_name, 3 + p_partkey % 10, 5 + p_partkey % 10, 'repo_' || (p_partkey % 25 % 2), 'run_' || (p_partkey % 25 % 3), 20000000000 + p_partkey, p_partkey FROM part))"""
 EDGES = """edges AS (
   SELECT f.id AS src, 'CONTAINS' AS type, n.id AS dst, n.ord FROM nodes n JOIN nodes f ON f.path = n.path AND f.kind = 'File' AND n.kind <> 'File'
-  UNION ALL SELECT a.id, 'CALLS', b.id, o + 30000000000 FROM (SELECT o_custkey AS x, l_partkey AS y, min(l_orderkey) AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 GROUP BY 1, 2)
+  UNION ALL SELECT a.id, 'CALLS', b.id, o + 30000000000 FROM (SELECT o_custkey AS x, l_partkey AS y, min(l_orderkey) AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
     JOIN nodes a ON a.kind = 'Function' AND a.key = x JOIN nodes b ON b.kind = 'Method' AND b.key = y
-  UNION ALL SELECT a.id, 'DEPENDS_ON', b.id, o + 40000000000 FROM (SELECT l_suppkey AS x, l_partkey AS y, min(l_orderkey) AS o FROM lineitem WHERE l_linenumber = 2 GROUP BY 1, 2)
+  UNION ALL SELECT a.id, 'DEPENDS_ON', b.id, o + 40000000000 FROM (SELECT l_suppkey AS x, l_partkey AS y, min(l_orderkey) AS o FROM lineitem GROUP BY 1, 2)
     JOIN nodes a ON a.kind = 'Class' AND a.key = x JOIN nodes b ON b.kind = 'Method' AND b.key = y
   UNION ALL SELECT a.id, 'IMPORTS', b.id, n_nationkey + 50000000000 FROM nation JOIN nodes a ON a.kind = 'File' AND a.key = n_nationkey JOIN nodes b ON b.kind = 'File' AND b.key = (n_nationkey + 1) % 25)"""
 VECTORS = """vectors AS (SELECT coalesce(n.id, 'none_' || (vec_id + 1)) AS node_id, CASE WHEN vec_id % 3 = 0 THEN 'Block' ELSE 'FunctionSummary' END AS payload_kind,
@@ -88,7 +89,8 @@ def _(v):
 
 @query("s5_mock_range", "SELECT p_partkey, '<mock source: ' || p_name || ':' || p_size || '-' || (p_size + 2) || '>' AS text FROM part")
 def _(v):
-    return v.table("part").select("p_partkey", F.format_string("<mock source: %s:%d-%d>", "p_name", "p_size", F.col("p_size") + 2).alias("text"))
+    ranges = v.table("part").select("p_partkey", F.col("p_name").alias("path"), F.col("p_size").alias("start"), (F.col("p_size") + 2).alias("end"))
+    return files.mock_ranges(ranges).select("p_partkey", "text")
 
 
 @query("u1_ids", """SELECT c_custkey, 'sym_' || sha1('r' || chr(0) || c_mktsegment || chr(0) || 'Function' || chr(0) || c_name || chr(0)) AS stable, 'cnt_' || sha1(c_name || chr(0) || c_mktsegment || chr(0)) AS content,
@@ -126,9 +128,8 @@ def _(v):
 
 @query("u7_summary", """SELECT n_regionkey AS region, '<community of ' || count(*) || ' nodes>' AS title, '<community of ' || count(*) || ' nodes> ' || array_to_string(list_slice(list(n_name ORDER BY n_nationkey), 1, 3), ', ') AS description FROM nation GROUP BY 1""")
 def _(v):
-    n = v.table("nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("c"), F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
-    title = F.format_string("<community of %d nodes>", "c")
-    return n.select("region", title.alias("title"), F.concat_ws(" ", title, F.array_join(F.slice("x.n_name", 1, 3), ", ")).alias("description"))
+    members = v.table("nation").select(F.col("n_regionkey").alias("community"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"))
+    return graph.communities(members).withColumnRenamed("community", "region")
 
 
 @query("x9_resolve", """SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'a/n' || n_nationkey || '.ts' WHEN 1 THEN 'a/b/m.mts' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 'a/b/c/d/x.tsx' END AS file FROM nation""")
@@ -354,9 +355,19 @@ query("g1_bfs_in2", _bfs_sql(2, "in"))(lambda v: _bfs(v, depth=2, direction="in"
 query("g1_bfs_both2", _bfs_sql(2, "both"))(lambda v: _bfs(v, depth=2))
 query("g1_bfs_types", _bfs_sql(3, "out", "'IMPORTS'"))(lambda v: _bfs(v, depth=3, direction="out", types=["IMPORTS"]))
 query("g1_bfs_limit", _bfs_sql(2, "both", "'IMPORTS'"))(lambda v: _bfs(v, depth=5, types=["IMPORTS"], limit=3))
-query("g6_contains", _WITH + "SELECT f.path, n.qn FROM edges e JOIN nodes f ON f.id = src JOIN nodes n ON n.id = dst WHERE type = 'CONTAINS'")(
-    lambda v: v.edges().filter("type = 'CONTAINS'").join(v.nodes().select(F.col("id").alias("src"), "path"), "src").join(v.nodes().select(F.col("id").alias("dst"), "qn"), "dst").select("path", "qn")
+_NO_CLASS = "NOT IN (SELECT id FROM nodes WHERE kind = 'Class')"
+query("g1_bfs_strict", _bfs_sql(2, "both").replace("FROM edges ", f"FROM (SELECT * FROM edges WHERE src {_NO_CLASS} AND dst {_NO_CLASS}) "))(
+    lambda v: graph.neighbors(v.nodes().filter("kind <> 'Class'"), v.edges(), _seed(v), depth=2, strict=True)[0].select("id", "depth")
 )
+query("g6_contains", _WITH + "SELECT f.path, f.qn AS container, n.qn, n.kind FROM edges e JOIN nodes f ON f.id = src JOIN nodes n ON n.id = dst WHERE type = 'CONTAINS'")(lambda v: graph.contained(v.edges(), v.nodes()))
+
+
+@query("g2_loops", _WITH + "SELECT id, depth FROM (SELECT id, 0 AS depth FROM nodes WHERE kind = 'File' UNION ALL SELECT n.id, 1 FROM nodes n WHERE kind <> 'File')")
+def _(v):
+    """Every node has a loop: the loops add edges and no nodes."""
+    loops = v.nodes().select(F.col("id").alias("src"), F.lit("CONTAINS").alias("type"), F.col("id").alias("dst"), "ord")
+    seeds = v.nodes().filter("kind = 'File'").select("id")
+    return graph.neighbors(v.nodes(), v.edges().union(loops), seeds, types=["CONTAINS"])[0].select("id", "depth")
 
 
 @query("g1_bfs_edges", _WITH + "SELECT DISTINCT src, type, dst FROM edges JOIN nodes n ON (n.id = src OR n.id = dst) WHERE n.kind = 'File' AND n.key = 3")
@@ -364,23 +375,21 @@ def _(v):
     return graph.neighbors(v.nodes(), v.edges(), _seed(v))[1].select("src", "type", "dst")
 
 
-@query("g4_expand", _WITH + """, b AS (SELECT id, 1.0 / (1 + key) AS score, key AS pos FROM nodes WHERE kind = 'Class' AND key <= 5), ways AS (SELECT src AS near, dst AS far, ord FROM edges UNION ALL SELECT dst, src, ord FROM edges WHERE src <> dst)
-SELECT far AS id, round(0.8 * score, 6) AS score FROM (SELECT far, score, row_number() OVER (PARTITION BY far ORDER BY pos, ways.ord) AS r FROM ways JOIN b ON near = b.id WHERE far NOT IN (SELECT id FROM b)) WHERE r = 1""")
+@query("g4_expand", _WITH_ALL + "SELECT id, round(score, 6) AS score FROM gr")
 def _(v):
-    key = F.regexp_extract("qn", r"([0-9]+)$", 1).cast("long")
-    base = v.nodes().filter("kind = 'Class'").select(F.col("id").alias("node_id"), (1.0 / (1 + key)).alias("score"), key.alias("pos")).filter("pos <= 5")
-    return graph.expand(base, v.edges(), v.nodes()).select("id", F.round("score", 6).alias("score"))
+    n, e, x, q, qv = _parts(v)
+    place = F.row_number().over(Window.orderBy("source", "a", "b"))
+    base = retrieval.base(n, x, q, qv).withColumn("pos", place.cast("long")).groupBy(F.col("id").alias("node_id")).agg(F.min_by("score", "pos").alias("score"), F.min("pos").alias("pos"))
+    return graph.expand(base, e, n).select("id", F.round("score", 6).alias("score"))
 
 
-query("g5_callers", _WITH + "SELECT s.qn AS caller, d.qn AS callee FROM edges e JOIN nodes d ON d.id = dst JOIN nodes s ON s.id = src WHERE type = 'CALLS' AND d.key % 10 = 1")(
-    lambda v: v.edges().filter("type = 'CALLS'").join(v.nodes().filter(F.regexp_extract("qn", r"([0-9]+)$", 1).endswith("1")).select(F.col("id").alias("dst"), F.col("qn").alias("callee")), "dst").join(v.nodes().select(F.col("id").alias("src"), F.col("qn").alias("caller")), "src").select("caller", "callee")
-)
-query("g5_callees", _WITH + "SELECT d.id, d.qn FROM edges e JOIN nodes d ON d.id = dst JOIN nodes s ON s.id = src WHERE type = 'CALLS' AND ends_with(s.qn, '::c7')")(
-    lambda v: graph.neighbors(v.nodes(), v.edges(), graph.find_by_name(v.nodes(), "c7").select("id"), direction="out", types=["CALLS"])[0].filter("depth = 1").select("id", "qn")
-)
-query("j10_edge_ends", _WITH + "SELECT s.kind AS a, type, d.kind AS b, count(*) AS n FROM edges JOIN nodes s ON s.id = src JOIN nodes d ON d.id = dst GROUP BY 1, 2, 3")(
-    lambda v: v.edges().join(v.nodes().select(F.col("id").alias("src"), F.col("kind").alias("a")), "src").join(v.nodes().select(F.col("id").alias("dst"), F.col("kind").alias("b")), "dst").groupBy("a", "type", "b").agg(F.count("*").alias("n"))
-)
+_RELATED = _WITH + "SELECT s.qn AS {}, d.qn AS {} FROM edges e JOIN nodes d ON d.id = dst JOIN nodes s ON s.id = src WHERE type = '{}'"
+query("g5_callers", _RELATED.format("caller", "callee", "CALLS"))(lambda v: graph.callers(v.edges(), v.nodes()))
+query("g5_callees", _RELATED.format("caller", "callee", "CALLS") + " AND ends_with(s.qn, '::c7')")(lambda v: graph.callees(v.edges(), v.nodes(), graph.find_by_name(v.nodes(), "c7")))
+query("g5_importers", _RELATED.format("importer", "imported", "IMPORTS"))(lambda v: graph.importers(v.edges(), v.nodes()))
+query("g5_dependents", _RELATED.format("dependent", "dependency", "DEPENDS_ON"))(lambda v: graph.dependents(v.edges(), v.nodes()))
+query("j10_edge_ends", _WITH + "SELECT s.kind AS a, type, d.kind AS b, count(*) AS n FROM edges JOIN nodes s ON s.id = src JOIN nodes d ON d.id = dst GROUP BY 1, 2, 3")(lambda v: graph.edge_ends(v.edges(), v.nodes()))
+
 
 # --- vectors ------------------------------------------------------------------------------------------------
 
@@ -423,14 +432,20 @@ def _(v):
     return vectors.list_by_run(v.vectors(), "run_3", 20).select("node_id", "ord")
 
 
-@query("v6_hash_embed", "SELECT p_partkey, i, ('0x' || substr(sha256(p_name || chr(0) || i), 1, 8))::BIGINT::DOUBLE / 4294967295.0 * 2 - 1 AS x FROM part, range(8) t(i)")
+@query("v6_hash_embed", "SELECT s_suppkey, i, ('0x' || substr(sha256(s_name || chr(0) || i), 1, 8))::BIGINT::DOUBLE / 4294967295.0 * 2 - 1 AS x FROM supplier, range(1024) t(i)")
 def _(v):
-    return v.table("part").select("p_partkey", F.posexplode(S.hash_embedding("p_name", 8)).alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+    return v.table("supplier").select("s_suppkey", F.posexplode(S.hash_embedding("s_name")).alias("i", "x")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("j4_embed_join", f"WITH {NODES}, {VECTORS} SELECT n.qn, v.payload_kind FROM vectors v JOIN nodes n ON n.id = v.node_id")
+@query("k4_pin", f"WITH {NODES}, {VECTORS} SELECT repo, count(*) AS n, 'm1' AS model, 'r' AS revision, min(len(vector))::INT AS dim FROM vectors GROUP BY repo")
 def _(v):
-    return v.vectors().select("node_id", "payload_kind").join(v.nodes().select(F.col("id").alias("node_id"), "qn"), "node_id").select("qn", "payload_kind")
+    """The identity that a first write fixes, beside the rows that it holds for."""
+    rows = v.vectors().withColumns({"model": F.lit("m1"), "revision": F.lit("r")})
+    identity = vectors.checked(rows, vectors.identity_of(rows))
+    return rows.groupBy("repo").agg(F.count("*").alias("n")).withColumns({k: F.lit(x) for k, x in identity.items()})
+
+
+query("j4_embed_join", f"WITH {NODES}, {VECTORS} SELECT n.qn, v.payload_kind FROM vectors v JOIN nodes n ON n.id = v.node_id")(lambda v: vectors.with_nodes(v.vectors().select("node_id", "payload_kind"), v.nodes()).select("qn", "payload_kind"))
 
 
 # --- extraction ---------------------------------------------------------------------------------------------
@@ -461,9 +476,9 @@ def _(v):
     return extract.resolved_calls(rows, extract.declarations(rows, REPO))
 
 
-@query("x6_calls", f"WITH {_LINES} SELECT 'self' AS kind, count(*) AS n FROM sup UNION ALL SELECT 'bare', count(*) FROM cus")
+@query("x6_calls", f"WITH {_LINES} SELECT 'src/n' || n || '.ts' AS path, 'self' AS kind, 'stop' AS name, 'S' || k || '.run' AS target FROM sup UNION ALL SELECT 'src/n' || n || '.ts', 'bare', 'c' || m, 'c' || k FROM cus")
 def _(v):
-    return extract.scanned(v.files()).filter("what = 'call'").groupBy("kind").agg(F.count("*").alias("n"))
+    return extract.scanned(v.files()).filter("what = 'call'").select("path", "kind", "name", "target")
 
 
 @query("x7_imports", "SELECT 'src/n' || n_nationkey || '.ts' AS path, './n' || ((n_nationkey + 1) % 25) || '.js' AS target, 'src/n' || ((n_nationkey + 1) % 25) || '.ts' AS file FROM nation")
@@ -471,21 +486,33 @@ def _(v):
     return extract.imports(extract.scanned(v.files()), REPO).select("path", "target", "file")
 
 
-def _python_files(v):
-    lines = F.transform(F.sequence(F.lit(1), F.lit(65)), lambda i: F.concat(F.lit("    if a > "), i.cast("string"), F.lit(":\n        a = helper(a)\n")))
+_PY_HEADS = ("while a:", "if a > 1:", "for x in a:", "with a:")
+_PY_KINDS = ("while_statement", "if_statement", "for_statement", "with_statement")
+_TS_HEADS = ("while (a) {", "if (a) {", "for (const x of a) {", "for (let i = 0; i < a; i++) {")
+_TS_KINDS = ("while_statement", "if_statement", "for_in_statement", "for_statement")
+
+
+def _long_files(v):
+    """For each nation a file of Python and one of TypeScript with declarations and a long function of 64 blocks of four kinds."""
     name = F.col("n_nationkey").cast("string")
-    text = F.concat(F.lit("import os, json as j\nfrom .core import x\n\ndef helper(a):\n    return a\n\nclass K"), name, F.lit(":\n    def go(self, a):\n        return self.stop(a)\n\n    def stop(self, a):\n        return helper(a)\n\ndef long(a):\n"), F.array_join(lines, ""), F.lit("    return a\n"))
-    return v.table("nation").select(F.concat(F.lit("py/m"), name, F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"))
+    pick = lambda heads, i: F.element_at(F.array(*(F.lit(x) for x in heads)), (i % 4 + 1).cast("int"))
+    lines = lambda heads, row: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: row(pick(heads, i))), "")
+    py = F.concat(F.lit("import os, json as j\nfrom .core import x\n\ndef helper(a):\n    return a\n\nclass K"), name, F.lit(":\n    def go(self, a):\n        return self.stop(a)\n\n    def stop(self, a):\n        return helper(a)\n\ndef long(a):\n"), lines(_PY_HEADS, lambda h: F.concat(F.lit("    "), h, F.lit("\n        a = helper(a)\n"))), F.lit("    return a\n"))
+    ts = F.concat(F.lit("export function long(a) {\n"), lines(_TS_HEADS, lambda h: F.concat(F.lit("  "), h, F.lit("\n    a = helper(a);\n  }\n"))), F.lit("  return a;\n}\n"))
+    n = v.table("nation")
+    files_ = n.select(F.concat(F.lit("py/m"), name, F.lit(".py")).alias("path"), F.lit("python").alias("language"), py.alias("text"))
+    return files_.union(n.select(F.concat(F.lit("ts/m"), name, F.lit(".ts")), F.lit("typescript"), ts))
 
 
-@query("x4_py_decls", """SELECT 'py/m' || n_nationkey || '.py::' || replace(m, '@', 'K' || n_nationkey) AS qn, kind, a AS line_start, b AS line_end FROM nation, (VALUES ('helper', 'Function', 4, 5), ('@', 'Class', 7, 12), ('@.go', 'Method', 8, 9), ('@.stop', 'Method', 11, 12), ('long', 'Function', 14, 145)) t(m, kind, a, b)""")
+@query("x4_py_decls", """SELECT 'py/m' || n_nationkey || '.py::' || replace(m, '@', 'K' || n_nationkey) AS qn, kind, a AS line_start, b AS line_end FROM nation, (VALUES ('helper', 'Function', 4, 5), ('@', 'Class', 7, 12), ('@.go', 'Method', 8, 9), ('@.stop', 'Method', 11, 12), ('long', 'Function', 14, 143)) t(m, kind, a, b)""")
 def _(v):
-    return extract.declarations(extract.scanned(_python_files(v)), REPO).select("qn", "kind", F.col("start").cast("int").alias("line_start"), F.col("end").cast("int").alias("line_end"))
+    return extract.declarations(extract.scanned(_long_files(v).filter("language = 'python'")), REPO).select("qn", "kind", F.col("start").cast("int").alias("line_start"), F.col("end").cast("int").alias("line_end"))
 
 
-@query("x8_blocks", "SELECT 'py/m' || n_nationkey || '.py::long#block:' || i || ':if_statement' AS qn, (15 + 2 * i)::INT AS line_start FROM nation, range(65) t(i)")
+@query("x8_blocks", f"""SELECT 'py/m' || n_nationkey || '.py::long#block:' || i || ':' || {list(_PY_KINDS)}[i % 4 + 1] AS qn, (15 + 2 * i)::INT AS line_start, (16 + 2 * i)::INT AS line_end FROM nation, range(64) t(i)
+UNION ALL SELECT 'ts/m' || n_nationkey || '.ts::long#block:' || i || ':' || {list(_TS_KINDS)}[i % 4 + 1], (2 + 3 * i)::INT, (4 + 3 * i)::INT FROM nation, range(64) t(i)""")
 def _(v):
-    return extract.blocks(extract.scanned(_python_files(v))).select("qn", F.col("start").cast("int").alias("line_start"))
+    return extract.blocks(extract.scanned(_long_files(v))).select("qn", F.col("start").cast("int").alias("line_start"), F.col("end").cast("int").alias("line_end"))
 
 
 # --- build metadata -----------------------------------------------------------------------------------------
@@ -516,34 +543,54 @@ def _(v):
     return rig.workspace_dependencies(rows).select("name", F.array_join("deps", ",").alias("deps"))
 
 
-@query("a2_globs", "SELECT DISTINCT 'packages/' || n_name AS path FROM nation WHERE n_regionkey <> 2")
+@query("a2_globs", "SELECT DISTINCT 'packages/' || n_name AS path FROM nation WHERE n_regionkey IN (0, 1) UNION ALL SELECT DISTINCT 'libs/' || n_name FROM nation WHERE n_regionkey = 3 AND n_nationkey = 6")
 def _(v):
-    listing = v.table("nation").select(F.concat(F.lit("packages/"), F.when(F.col("n_regionkey") == 2, ".").otherwise(""), "n_name").alias("path"))
-    return listing.filter(F.col("path").rlike("^packages/[^./][^/]*$")).distinct()
+    """Folders right below one parent, a hidden one, deeper ones, and one that is named."""
+    where = F.when(F.col("n_regionkey") == 2, "packages/.").when(F.col("n_regionkey") == 4, "packages/deep/").when(F.col("n_regionkey") == 3, "libs/").otherwise("packages/")
+    listing = v.table("nation").select(F.concat(where, "n_name").alias("path"))
+    named = v.table("nation").filter("n_nationkey = 6").first()["n_name"]
+    return rig.matched_folders(listing, ["packages/*", f"libs/{named}/", "libs/**", "other*"])
 
 
 @query("a9_default", "SELECT 'comp_root' AS id, 'package' AS kind, '.' AS path")
 def _(v):
-    from ..sources.build_files import default_graph
+    return v.spark.createDataFrame([(c["id"], c["kind"], c["path"]) for c in build_files.default_graph()["components"]], "id string, kind string, path string")
+
+
+_PACKAGES = """pk AS (SELECT c_custkey AS k, 'pkg:c' || c_custkey AS id, 'c' || c_custkey AS name, 'c ' || (c_custkey + 1) AS dep FROM customer WHERE c_custkey % 7 <> 0)"""
+
+
+def _packages(v):
+    """A package for each customer, a seventh of them broken, that needs the next customer's and a foreign one."""
+    k = F.col("c_custkey")
+    text = F.when(k % 7 == 0, "{broken").otherwise(F.concat(F.lit('{"name": "c'), k.cast("string"), F.lit('", "scripts": {"build": "x", "lint": "y", "dev": "z"}, "devDependencies": {"c'), (k + 1).cast("string"), F.lit('": "*", "left-pad": "1"}}')))
+    return v.table("customer").select(F.concat(F.lit("packages/c"), k.cast("string")).alias("path"), text.alias("text"))
+
 
-    return v.spark.createDataFrame([(c["id"], c["kind"], c["path"]) for c in default_graph()["components"]], "id string, kind string, path string")
+@query("a1_package_json", f"WITH {_PACKAGES} SELECT a.id, 'package' AS kind, a.name, 'packages/' || a.name AS path, coalesce(b.id, '') AS deps FROM pk a LEFT JOIN pk b ON b.k = a.k + 1")
+def _(v):
+    return rig.package_components(_packages(v)).withColumn("deps", F.array_join("deps", ","))
 
 
-@query("a1_package_json", "SELECT c_custkey, 'c' || c_custkey AS name, 'pkg:c' || c_custkey AS id FROM customer WHERE c_custkey % 7 <> 0")
+@query("a1_package_targets", f"WITH {_PACKAGES} SELECT id || ':' || s AS id, kind, id AS component_id FROM pk, (VALUES ('build', 'build'), ('dev', 'run')) t(s, kind)")
 def _(v):
-    k = F.col("c_custkey").cast("string")
-    text = F.when(F.col("c_custkey") % 7 == 0, "{broken").otherwise(F.concat(F.lit('{"name": "c'), k, F.lit('", "scripts": {"build": "x"}}')))
-    row = v.table("customer").select("c_custkey", F.from_json(text, "name string, scripts map<string,string>").alias("p")).filter("p.name IS NOT NULL")
-    return row.select("c_custkey", "p.name", S.safe_id("pkg:", F.col("p.name")).alias("id"))
+    return rig.package_targets(_packages(v), build_files.SCRIPTS)
+
+
+_RIG_ID = "'sym_' || sha1('r' || chr(0) || p || chr(0) || {kind} || chr(0) || {id} || chr(0))"
 
 
-@query("g7_materialize", _MERGED + """, wh AS (SELECT *, CASE WHEN path = '' THEN '.' ELSE path END AS p FROM m), n AS (
-  SELECT 'RigComponent' AS kind, id AS qn, p AS path, 'sym_' || sha1('r' || chr(0) || p || chr(0) || 'RigComponent' || chr(0) || id || chr(0)) AS id FROM wh
-  UNION ALL SELECT 'RigTarget', t.id, p, 'sym_' || sha1('r' || chr(0) || p || chr(0) || 'RigTarget' || chr(0) || t.id || chr(0)) FROM targets t JOIN wh ON wh.id = component_id)
-SELECT * FROM n""")
+@query("g7_materialize", _MERGED + f""", tests AS (SELECT 'x' || s_suppkey AS id, 'pkg:n' || (s_suppkey % 27) AS component_id FROM supplier), wh AS (SELECT *, CASE WHEN path = '' THEN '.' ELSE path END AS p FROM m),
+c AS (SELECT id, p, {_RIG_ID.format(kind="'RigComponent'", id='id')} AS node FROM wh),
+k AS (SELECT 'RigTarget' AS kind, t.id, p, node AS of, {_RIG_ID.format(kind="'RigTarget'", id='t.id')} AS node FROM targets t JOIN c ON c.id = component_id
+  UNION ALL SELECT 'RigTest', t.id, p, node, {_RIG_ID.format(kind="'RigTest'", id='t.id')} FROM tests t JOIN c ON c.id = component_id)
+SELECT 'RigComponent' AS kind, id AS qn, p AS path, node AS id FROM c UNION ALL SELECT kind, id, p, node FROM k
+UNION ALL SELECT 'DEPENDS_ON', a.node, b.node, '' FROM (SELECT id, unnest(deps) AS d FROM m) x JOIN c a ON a.id = x.id JOIN c b ON b.id = d
+UNION ALL SELECT 'DECLARED_BY', node, of, '' FROM k""")
 def _(v):
-    tests = v.spark.createDataFrame([], "id string, framework string, component_id string")
-    return rig.materialized(rig.merged_components(v.components()), v.targets(), tests, REPO)[0].select("kind", "qn", "path", "id")
+    """Nodes, and edges in the same columns: type, both ends, nothing."""
+    nodes, edges = rig.materialized(rig.merged_components(v.components()), v.targets(), v.tests(), REPO)
+    return nodes.select("kind", "qn", "path", "id").union(edges.select("type", "src", "dst", F.lit("")))
 
 
 # --- manifest -----------------------------------------------------------------------------------------------
@@ -551,7 +598,7 @@ def _(v):
 query("m2_state", f"WITH {EVENTS} SELECT batch_id, CASE arg_max(turn, turn) WHEN 1 THEN 'pending' ELSE arg_max(to_status, turn) END AS status, max(CASE WHEN turn > 1 AND to_status = 'committed' THEN seen END) AS committed_at FROM v WHERE valid GROUP BY batch_id")(lambda v: manifest.state(v.events()))
 query("m2_invalid", f"WITH {EVENTS} SELECT event_id, batch_id FROM v WHERE NOT valid")(lambda v: manifest.invalid(v.events()).select("event_id", "batch_id"))
 query("m4_events", f"WITH {EVENTS} SELECT event_id, batch_id, CASE WHEN turn > 1 THEN 'pending' END AS from_status, CASE WHEN turn = 1 THEN 'pending' ELSE to_status END AS to_status FROM v WHERE valid")(lambda v: manifest.log(v.events()))
-query("m1_dup_batches", f"WITH {EVENTS} SELECT batch_id, count(*) AS n FROM ev GROUP BY 1 HAVING count(*) > 1")(lambda v: v.events().groupBy("batch_id").agg(F.count("*").alias("n")).filter("n > 1"))
+query("m1_dup_batches", f"WITH {EVENTS} SELECT batch_id, count(*) AS n FROM ev GROUP BY 1 HAVING count(*) > 1")(lambda v: manifest.refused(v.events().select("batch_id").limit(0), v.events()))
 
 
 @query("m3_runs", "SELECT user_id::VARCHAR AS batch_id, min(ts) AS created_at FROM events WHERE user_id % 10 = 3 GROUP BY user_id")
@@ -560,15 +607,22 @@ def _(v):
     return manifest.batches_for_run(batches, "3").select("batch_id", "created_at")
 
 
-@query("m5_ingestion", "SELECT user_id % 10 AS run, min(ts) AS started_at, max(ts) AS finished_at FROM events GROUP BY 1")
+@query("m5_ingestion", "SELECT user_id % 10 AS run, max(ts) FILTER (WHERE event_type = 'signup') AS started_at, max(ts) AS finished_at, max(event_id) FILTER (WHERE event_type = 'signup') >= 0 AS replaced FROM events GROUP BY 1")
+def _(v):
+    """Runs are recorded at every event, again at every signup (which replaces the row whole), and finished by the last event."""
+    rows = v.table("events").select((F.col("user_id") % 10).alias("run"), F.col("ts").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(False).alias("replaced"), "event_type")
+    runs = manifest.recorded_ingestions(rows.drop("event_type"), rows.filter("event_type = 'signup'").drop("event_type").withColumn("replaced", F.lit(True)))
+    return manifest.finished_ingestions(runs, rows.select("run", F.col("started_at").alias("finished_at")))
+
+
+@query("m3_batch", "SELECT user_id::VARCHAR AS batch_id, min(ts) AS created_at FROM events WHERE user_id = 13 GROUP BY user_id")
 def _(v):
-    rows = v.table("events").select((F.col("user_id") % 10).alias("run"), "ts")
-    return rows.groupBy("run").agg(F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"))
+    return manifest.batch(v.events().groupBy("batch_id").agg(F.min("at").alias("created_at")), "13")
 
 
 @query("m6_tree_hash", f"WITH {FILES} SELECT 'cnt_' || sha1(string_agg(path || chr(0) || sha1(text) || chr(0), '' ORDER BY path)) AS hash FROM files")
 def _(v):
-    return v.files().agg(S.tree_hash("path", "text").alias("hash"))
+    return v.spark.createDataFrame([(S.folded_tree_hash(v.files()),)], "hash string")
 
 
 @query("m7_checksum", "SELECT user_id % 10 AS run, sha256(count(*) || chr(0) || count(DISTINCT user_id) || chr(0) || count(DISTINCT event_type) || chr(0)) AS checksum FROM events GROUP BY 1")

@@ -45,10 +45,10 @@ class Views:
         edge = lambda rows, kind, first: rows.select("src", F.lit(kind).alias("type"), "dst", (F.col("o").cast("long") + first).alias("ord"))
         files = nodes.filter("kind = 'File'").select("path", F.col("id").alias("src"))
         contains = nodes.filter("kind <> 'File'").select("path", F.col("id").alias("dst"), F.col("ord").alias("o")).join(files, "path")
-        items = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-        calls = items.filter("l_linenumber = 1").join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        items = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+        calls = items.join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         calls = calls.groupBy(F.col("o_custkey").alias("src_key"), F.col("l_partkey").alias("dst_key")).agg(F.min("l_orderkey").alias("o")).join(ids("Function", "src"), "src_key").join(ids("Method", "dst"), "dst_key")
-        needs = items.filter("l_linenumber = 2").groupBy(F.col("l_suppkey").alias("src_key"), F.col("l_partkey").alias("dst_key")).agg(F.min("l_orderkey").alias("o")).join(ids("Class", "src"), "src_key").join(ids("Method", "dst"), "dst_key")
+        needs = items.groupBy(F.col("l_suppkey").alias("src_key"), F.col("l_partkey").alias("dst_key")).agg(F.min("l_orderkey").alias("o")).join(ids("Class", "src"), "src_key").join(ids("Method", "dst"), "dst_key")
         next_ = self.table("nation").select(F.col("n_nationkey").cast("long").alias("src_key"), ((F.col("n_nationkey") + 1) % 25).cast("long").alias("dst_key"), F.col("n_nationkey").alias("o"))
         imports = next_.join(ids("File", "src"), "src_key").join(ids("File", "dst"), "dst_key")
         return edge(contains, "CONTAINS", 0).union(edge(calls, "CALLS", 30_000_000_000)).union(edge(needs, "DEPENDS_ON", 40_000_000_000)).union(edge(imports, "IMPORTS", 50_000_000_000))
@@ -83,6 +83,9 @@ class Views:
     def targets(self) -> DataFrame:
         return self.table("supplier").select(F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "build").otherwise("run").alias("kind"), F.concat(F.lit("pkg:n"), (F.col("s_suppkey") % 30).cast("string")).alias("component_id"))
 
+    def tests(self) -> DataFrame:
+        return self.table("supplier").select(F.concat(F.lit("x"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("pytest").alias("framework"), F.concat(F.lit("pkg:n"), (F.col("s_suppkey") % 27).cast("string")).alias("component_id"))
+
     def events(self) -> DataFrame:
         status = F.create_map(*(F.lit(x) for x in ("purchase", "committed", "error", "failed", "signup", "dry_run", "click", "pending")))
         return self.table("events").select(F.col("user_id").cast("string").alias("batch_id"), F.element_at(status, F.col("event_type")).alias("to_status"), "event_id", F.col("ts").alias("at"))

@@ -1,8 +1,11 @@
 """Operators on small inputs: golden values, orders and error cases."""
 
+import io
 import json
+import re
 import subprocess
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -10,10 +13,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from graphloom import cli
 from graphloom.functions import scalars as S
 from graphloom.operators import extract, graph, manifest, models, vectors
 from graphloom.plans import index as indexing
+from graphloom.plans import retrieval
+from graphloom.plans.store import Store, StoreConflictError
 from graphloom.sources import build_files, files
+from graphloom.streaming import incremental
 
 NODE = "id string, path string, kind string, qn string, ord long"
 
@@ -144,23 +151,222 @@ def test_block_types(spark):
     ]
 
 
-def test_walk_index_and_dry_run(spark, tmp_path):
-    root, store = tmp_path / "repo", str(tmp_path / "store")
+@pytest.mark.parametrize(
+    ("language", "text", "want"),
+    [
+        ("python", "import os\n", [("import", "os")]),
+        ("python", "def h(): pass\n", [("declaration", "h")]),
+        ("python", "class A:\n    x = 1\n", [("declaration", "A")]),
+        ("python", "import a\nfrom . import b\ndef f(): g()\n", [("import", "a"), ("import", "."), ("declaration", "f"), ("call", "g")]),
+        ("python", "", []),
+        ("python", "def broken(:\n", []),
+        ("python", "(" * 5000, []),
+        ("typescript", 'import { x } from "./a.js";\n', [("import", "./a.js")]),
+        ("typescript", 'import { x } from "./a.js";\nfunction f(a) { return g(a); }\n', [("import", "./a.js"), ("declaration", "f"), ("call", "g")]),
+        ("typescript", "class A {}\n", [("declaration", "A")]),
+        ("javascript", ")))}}} ((( class {", []),
+        ("typescript", "", []),
+    ],
+)
+def test_scans_any_file(spark, language, text, want):
+    """Files that have some kinds of rows and not others, one by one and together with one that has all."""
+    one = [("p", language, text)]
+    found = lambda rows: [(r["what"], r["target"] if r["what"] == "import" else r["name"]) for r in rows if r["path"] == "p"]
+    assert found(extract.scanned(spark.createDataFrame(one, "path string, language string, text string")).collect()) == want
+    assert found(extract.scanned(spark.createDataFrame([*one, ("q", "typescript", TS)], "path string, language string, text string").coalesce(1)).collect()) == want
+
+
+def test_scanner_is_linear():
+    text = "".join(f"export function f{k}(a) {{\n  if (a) {{ return g(a, [1, (2)]); }}\n}}\n" for k in range(4000))
+    began = time.perf_counter()
+    rows = list(extract.scan_ts(text))
+    assert len(rows) == 8000 and rows[-2]["start"] == 3 * 3999 + 1 and time.perf_counter() - began < 10
+
+
+def test_regex_declarations_with_odd_characters(spark):
+    """Only a newline ends a line, and no character marks the matches."""
+    text = "x\u0001\ndef a(\n  b):\u2028def no(): pass\rdef nor(): pass\n\u0001\ndef c(): pass\nclass D: pass\n"
+    rows = extract.regex_declarations(spark.createDataFrame([("p.py", "python", text), ("q.py", "python", "")], "path string, language string, text string"), "r").collect()
+    assert sorted((r["qn"], r["start"], r["signature"]) for r in rows) == [("p.py::D", 6, "D"), ("p.py::a", 2, "a(\n  b)"), ("p.py::c", 5, "c()")]
+
+
+def test_walk(spark, tmp_path):
+    """Names with an underscore, brackets and spaces, hidden and skipped folders, bytes that aren't text, links, and a root whose name comes again."""
+    root = tmp_path / "r"
+    for name in ("src/__init__.py", "src/_priv.py", "src/__tests__/t.ts", "src/r/m.py", "app/[id]/a b.tsx", "k=v/x.js", "src/.hidden/h.py", "node_modules/n.ts", "src/note.md", "_lib/deep/q.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x = 1\n")
+    (root / "src/bad.py").write_bytes(b"a\xff\n")
+    (root / "src/link.py").symlink_to(root / "src/r/m.py")
+    rows = {r["path"]: r for r in files.walked(spark, str(root)).collect()}
+    assert set(rows) == {"src/__init__.py", "src/_priv.py", "src/__tests__/t.ts", "src/r/m.py", "app/[id]/a b.tsx", "k=v/x.js", "_lib/deep/q.py", "src/bad.py"}
+    assert rows["src/bad.py"]["text"] == "a\ufffd\n" and rows["src/_priv.py"]["text"] == "x = 1\n" and rows["src/__tests__/t.ts"]["language"] == "typescript"
+    (tmp_path / "empty").mkdir()
+    assert files.walked(spark, str(tmp_path / "empty")).collect() == []
+    with pytest.raises(FileNotFoundError):
+        files.walked(spark, str(tmp_path / "none"))
+
+
+@pytest.fixture
+def source(tmp_path):
+    root = tmp_path / "repo"
     (root / "src").mkdir(parents=True)
-    (root / "node_modules").mkdir()
     (root / "src/m.py").write_text("def f(a):\n    return g(a)\n\ndef g(a):\n    return a\n")
-    (root / "node_modules/x.ts").write_text("function no() {}")
-    (root / "src/readme.md").write_text("x")
-    assert [r["path"] for r in files.walked(spark, str(root)).collect()] == ["src/m.py"]
+    return root
+
+
+def test_index(spark, tmp_path, source):
+    store = str(tmp_path / "store")
     config = indexing.Config("r", parser="ast", dim=8)
-    dry = indexing.index(spark, str(root), store, indexing.Config("r", parser="ast", dim=8, dry_run=True))
-    assert dry["status"] == "dry_run"
-    done = indexing.index(spark, str(root), store, config)
-    again = indexing.index(spark, str(root), store, config)
+    dry = indexing.index(spark, str(source), store, indexing.Config("r", parser="ast", dim=8, dry_run=True), batch_id="dry")
+    tables = Store(spark, store)
+    assert dry["status"] == "dry_run" and tables.read("nodes") is None
+    done = indexing.index(spark, str(source), store, config, batch_id="one")
+    again = indexing.index(spark, str(source), store, config, batch_id="two")
     assert done["status"] == "committed" and (done["node_count"], done["edge_count"], done["vector_count"]) == (4, 3, 2)
     assert again["checksum"] == done["checksum"] and again["source_hash"] == done["source_hash"]
-    assert spark.read.parquet(f"{store}/nodes").count() == 4
-    assert spark.read.parquet(f"{store}/edges").filter("type = 'CALLS'").count() == 1
+    nodes = tables.read("nodes").orderBy("ord").collect()
+    assert [r["qn"] for r in nodes] == ["comp_root", "src/m.py", "src/m.py::f", "src/m.py::g"] and {r["run"] for r in nodes} == {"two"}
+    assert tables.read("edges").filter("type = 'CALLS'").count() == 1 and tables.read("vectors").count() == 2
+    with pytest.raises(manifest.ManifestStateError):
+        indexing.index(spark, str(source), store, config, batch_id="one")
+    with pytest.raises(vectors.EmbeddingCompatibilityError):
+        indexing.index(spark, str(source), store, indexing.Config("r", parser="ast", dim=8, model="other"), batch_id="three")
+    with pytest.raises(vectors.EmbeddingCompatibilityError):
+        indexing.index(spark, str(source), store, indexing.Config("r", parser="ast", dim=9), batch_id="four")
+    assert {r["batch_id"]: (r["status"], r["committed_at"] is not None) for r in indexing.batches(spark, store).collect()} == {"dry": ("dry_run", False), "one": ("committed", True), "two": ("committed", True), "three": ("failed", False), "four": ("failed", False)}
+    assert tables.current()["identity"] == {"model": "mock-embedder", "revision": "0", "dim": 8} and tables.read("vectors").select("model").distinct().count() == 1
+    with pytest.raises(StoreConflictError):
+        tables.commit({"tables": {}, "identity": None, "batches": 0}, {"tables": {}, "identity": None, "batches": 1})
+
+
+def test_failed_merge_changes_nothing(spark, tmp_path, source, monkeypatch):
+    """The second of three tables can't be written: all stay as they were, and the batch has failed."""
+    store, config = str(tmp_path / "store"), indexing.Config("r", parser="ast", dim=8)
+    indexing.index(spark, str(source), store, config, batch_id="one")
+    (source / "src/n.py").write_text("def h(): pass\n")
+    merged = Store.merged
+    monkeypatch.setattr(Store, "merged", lambda self, state, name, new, merge: merged(self, state, name, new, merge) if name == "nodes" else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        indexing.index(spark, str(source), store, config, batch_id="two")
+    assert Store(spark, store).read("nodes").count() == 4
+    assert {r["batch_id"]: r["status"] for r in indexing.batches(spark, store).collect()} == {"one": "committed", "two": "failed"}
+
+
+def test_fallback_identity(spark):
+    """Vectors carry the identity of what made them."""
+    rows = spark.createDataFrame([("n", "Block", "a")], "node_id string, payload_kind string, text string")
+    away = models.HttpEmbedder("http://127.0.0.1:9", "m", "1", 4)
+    made = models.embedded(rows, models.LatencyLogged(models.FallbackEmbedder(away, models.HashEmbedder(4, "spare", "7")))).first()
+    assert (made["model"], made["revision"]) == ("spare", "7")
+    with pytest.raises(vectors.EmbeddingCompatibilityError):
+        vectors.checked(models.embedded(rows, models.HashEmbedder(4, "spare", "7")), {"model": "m", "revision": "1", "dim": 4})
+    with pytest.raises(vectors.EmbeddingCompatibilityError):
+        models.EncoderEmbedder("m", "0")
+
+
+def test_query_of_another_length(spark):
+    rows = spark.createDataFrame([("n", [0.5] * 8, 1)], "node_id string, vector array<double>, ord long")
+    with pytest.raises(Exception, match="EmbeddingCompatibilityError"):
+        vectors.search(rows, [0.1, 0.2, 0.3]).collect()
+    assert vectors.search(rows, [0.1] * 8).count() == 1
+
+
+def test_strict_search_and_loops(spark, tiny):
+    assert reach(spark, tiny, seed="d", direction="out", depth=2, strict=True) == {"d"}
+    assert reach(spark, tiny, seed="missing", depth=2, strict=True) == set()
+    nodes, edges = tiny
+    loop = edges.union(spark.createDataFrame([("a", "CALLS", "a", 9)], edges.schema))
+    seed = spark.createDataFrame([("a",)], "id string")
+    found, seen = graph.neighbors(nodes, loop, seed)
+    assert {r["id"] for r in found.collect()} == {"a", "b", "c"} and seen.filter("src = dst").count() == 1 and seen.count() == 3
+
+
+def test_violations(spark):
+    sym, cnt = "sym_" + "0" * 40, "cnt_" + "0" * 40
+    rule = lambda rows, schema, what: [r["rule"] for r in graph.violations(spark.createDataFrame(rows, schema).coalesce(1), what).collect()]
+    edge = "src string, type string, dst string, repo string, run string"
+    assert rule([(sym, "CALLS", sym, "r", "b"), ("x", "CALLS", sym, "r", "b"), (sym, "KNOWS", sym, "r", "b"), (sym, "CALLS", None, "r", "b"), (sym, "CALLS", sym, "", "b")], edge, "edges") == ["src", "type", "dst", "repo"]
+    row = "node_id string, payload_kind string, model string, revision string, vector array<double>, repo string, run string"
+    assert rule([(sym, "Block", "m", "1", [1.0], "r", "b"), (sym, "Text", "m", "1", [1.0], "r", "b"), (sym, "Block", "m", "1", [float("nan")], "r", "b"), (sym, "Block", "m", "1", [], "r", "b")], row, "vectors") == ["payload_kind", "vector", "vector"]
+    batch = "batch_id string, source_hash string, created_at string, node_count long, edge_count long, vector_count long"
+    assert rule([("b", cnt, "2024-01-01T00:00:00+00:00", 1, 0, 0), ("b", "x", "2024-01-01T00:00:00+00:00", 1, 0, 0), ("b", cnt, "then", 1, 0, 0), ("b", cnt, "2024-01-01T00:00:00+00:00", -1, 0, 0)], batch, "batches") == ["source_hash", "created_at", "counts"]
+    assert rule([("c", "n", "app", "."), ("c", "n", "thing", ".")], "id string, name string, kind string, path string", "components") == ["kind"]
+    assert rule([("t", "c", "run"), ("t", "c", "fly")], "id string, component_id string, kind string", "targets") == ["kind"]
+
+
+def test_ingestions(spark):
+    runs = spark.createDataFrame([("a", 1, None, "x")], "run string, started_at long, finished_at long, model string")
+    both = manifest.recorded_ingestions(runs, spark.createDataFrame([("a", 2, None, "y"), ("b", 3, None, "z")], runs.schema))
+    done = manifest.finished_ingestions(both, spark.createDataFrame([("a", 9)], "run string, finished_at long"))
+    assert {tuple(r) for r in done.collect()} == {("a", 2, 9, "y"), ("b", 3, None, "z")} and manifest.ingestion(done, "b").count() == 1
+    with pytest.raises(manifest.ManifestStateError):
+        manifest.finished_ingestions(both, spark.createDataFrame([("c", 9)], "run string, finished_at long"))
+
+
+def test_export_document(spark, tiny):
+    nodes, edges = tiny
+    out = io.StringIO()
+    graph.export_document(nodes, edges, out)
+    got = json.loads(out.getvalue())
+    assert (got["format"], got["nodeCount"], got["edgeCount"]) == ("json", 4, 5) and [n["id"] for n in got["nodes"]] == list("abcd") and got["edges"][0]["dst"] == "b"
+
+
+def _scans(df, name: str) -> int:
+    """Scans of a folder in the plan before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(rf"FileScan parquet [^\n]*/{name}[,\]]", plan))
+
+
+def test_retrieval_reads_each_table_once(spark, tmp_path, server):
+    """A query's candidates are found once; later steps join the big tables with them, each table once."""
+    kind = ["Function"] * 6
+    nodes = spark.createDataFrame([(f"n{k}", f"f{k % 2}.py", kind[k], f"f{k % 2}.py::g{k}", 1 + k, 2 + k, k) for k in range(6)], "id string, path string, kind string, qn string, start int, end int, ord long")
+    edges = spark.createDataFrame([(f"n{k}", "CALLS", f"n{(k + 1) % 6}", k) for k in range(6)], "src string, type string, dst string, ord long")
+    vecs = spark.createDataFrame([(f"n{k}", models.hash_vector(f"g{k}", 4), k) for k in range(6)], "node_id string, vector array<double>, ord long")
+    code = spark.createDataFrame([(f"f{k}.py", "\n".join(f"line {i} of g{k}" for i in range(1, 9))) for k in range(2)], "path string, text string")
+    read = {}
+    for name, rows in (("nodes", nodes), ("edges", edges), ("vectors", vecs), ("files", code)):
+        rows.write.parquet(f"{tmp_path}/{name}")
+        read[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.sources.useV1SourceList", "parquet")
+    query = retrieval.query_row(spark, "what calls g1")
+    limits = retrieval.Limits(semantic=2)
+    found = retrieval.candidates(read["nodes"], read["edges"], read["vectors"], query, models.hash_vector("g4", 4), limits)
+    assert (_scans(found, "vectors"), _scans(found, "edges"), _scans(found, "nodes")) == (0, 1, 1)
+    out = retrieval.retrieve(*(read[n] for n in ("nodes", "edges", "vectors", "files")), query, models.hash_vector("g4", 4), limits)
+    assert [_scans(out, n) for n in ("vectors", "edges", "nodes", "files")] == [0, 0, 0, 1]
+    rows = out.orderBy("rank").collect()
+    assert {rows[0]["id"], rows[1]["id"]} == {"n1", "n4"} and rows[0]["text"].startswith("line ")
+    for reranker in (models.JaccardReranker(), models.LatencyLogged(models.FallbackReranker(models.HttpReranker(server, "m", "1"), models.JaccardReranker())), models.FallbackReranker(models.HttpReranker("http://127.0.0.1:9", "m", "1", 1.0), models.JaccardReranker())):
+        again = retrieval.retrieve(*(read[n] for n in ("nodes", "edges", "vectors", "files")), query, models.hash_vector("g4", 4), limits, reranker, seconds=5.0).orderBy("rank").collect()
+        assert [r["id"] for r in again][:1] == ["n1"] and again[0]["rerank_score"] == max(r["rerank_score"] for r in again) > 0
+    assert retrieval.bundle(out, "q", limits).first()["token_budget"]["total"] == 8000
+
+
+def test_command_line(spark, tmp_path, source, capsys):
+    store = str(tmp_path / "store")
+    say = lambda *args: (cli.main(["--store", store, *args]), capsys.readouterr().out)[1]
+    assert json.loads(say("doctor"))["status"] == "degraded"
+    assert json.loads(say("index", str(source), "--repo", "r", "--parser", "ast", "--dim", "16"))["status"] == "committed"
+    assert json.loads(say("doctor"))["status"] == "healthy"
+    got = json.loads(say("query", "what calls g", "--root", str(source), "--limit", "3", "--reranker", "words"))
+    assert len(got["snippets"]) == 3 and got["snippets"][0]["path"] == "src/m.py"
+    assert json.loads(say("export"))["nodeCount"] == 4 and len(json.loads(say("inspect", "edges", "--kind", "CALLS"))) == 1
+    assert json.loads(say("inspect", "batches"))[0]["status"] == "committed"
+
+
+def test_stream(spark, tmp_path):
+    schema = "id string, path string, kind string, qn string, start int, end int, ord long"
+    row = lambda k, path: ("sym_" + f"{k:040x}", path, "File", path, 1, 2, k)
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    for turn, rows in enumerate(([row(1, "a"), row(2, "b")], [row(2, "c"), row(3, "d")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        before = Store(spark, store).current()["tables"].get("nodes", {})
+        incremental.upsert_stream(spark.readStream.schema(schema).parquet(str(folder)), store, str(tmp_path / "check")).awaitTermination()
+        after = Store(spark, store).current()["tables"]["nodes"]
+        assert turn == 0 or sum(before.get(k) == x for k, x in after.items()) >= 1  # the parts of other ids stay as they are
+    assert {r["path"] for r in Store(spark, store).read("nodes").collect()} == {"a", "c", "d"}
 
 
 def test_build_files(tmp_path):
@@ -174,6 +380,14 @@ def test_build_files(tmp_path):
     assert [t["kind"] for t in got["targets"]] == ["build"]
     (tmp_path / "pyproject.toml").write_text('[project]\nname = "p"\ndependencies = ["a==1", "b>=2,<3", "d[x]"]\nscripts = { go = "p:main" }\n')
     assert build_files.pyproject(tmp_path)["components"][0]["deps"] == ["py:a", "py:b", "py:d"]
+    assert build_files.pnpm_patterns("  packages:\n    - a\n    - 'b/*'\n") == ["a", "b/*"]
+    (tmp_path / "rig.yaml").write_text("components:\n  - {id: z, kind: app, name: z, path: z, deps: [b, a]}\n")
+    assert (build_files.manual_yaml(tmp_path / "rig.yaml") or {"components": [{"deps": ["a", "b"]}]})["components"][0]["deps"] == ["a", "b"]
+    (tmp_path / "CMakeLists.txt").write_text("")
+    tool = tmp_path / "tool"
+    tool.write_text('#!/bin/sh\necho \'{"version": 1, "components": [{"id": "c", "kind": "app", "name": "c", "path": "."}], "targets": [], "tests": []}\'\n')
+    tool.chmod(0o755)
+    assert [g["components"][0]["id"] for g in build_files.dispatched(tmp_path, indexing.extractors(("pyproject", "external"), str(tool)))] == ["py:p", "c"]
     assert build_files.pnpm_patterns('# x\npackages:\n  - "a/*" # y\n  - b\nother: 1\n  - c\n') == ["a/*", "b"]
     fails = lambda *a, **k: subprocess.CompletedProcess(a, 1, "", "")
     with pytest.raises(build_files.ExternalToolError):
