@@ -40,7 +40,7 @@ STEMS, PASSAGES = (7, 5), (1, 3, 12, 50)
 STRONG = (1.5, 3.0)
 THRESHOLD = 0.7
 #: Words or pairs that a task gathers before it writes them out, and words that a worker remembers.
-GATHERED, REMEMBERED = 200_000, 200_000
+GATHERED, REMEMBERED = 200_000, 100_000
 FEATURES = 8 + len(PASSAGES)
 #: Bytes of text that are scored together.
 TOGETHER = 1 << 20
@@ -121,7 +121,8 @@ class Model:
         self.words, self.stems, self.contexts, self.pairs, self.rest = words, stems, contexts, pairs, rest
 
     def only(self, k: int) -> Model:
-        pick = lambda table: (table[0], table[1][:, k])
+        """One of several models: the same keys, its own values."""
+        pick = lambda table: (table[0], np.ascontiguousarray(table[1][:, k]))
         return Model(pick(self.words), [pick(x) for x in self.stems], pick(self.contexts), pick(self.pairs), self.rest[k])
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,17 +210,19 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _features(token: str, sent):
+    """Features by a list of models that was sent; each row names its model."""
+
     def found(texts: pa.Array, which: pa.Array) -> pa.Array:
-        scorers = held(("toxicity", token), dict)
-        rows: list = [None] * len(texts)
-        which = which.to_numpy(zero_copy_only=False)
-        for k in np.unique(which).tolist():
-            if k not in scorers:
-                scorers[k] = Scorer(sent.value.only(k))
-            mine = np.flatnonzero(which == k)
-            for part in slices([pa.record_batch({"text": texts.take(pa.array(mine)), "at": pa.array(mine)})], "text", TOGETHER):
-                for at, f in zip(part.column("at").to_pylist(), scorers[k].features([x or "" for x in part.column("text").to_pylist()]), strict=True):
-                    rows[at] = f
+        scorers = held(("toxicity", token), lambda: [Scorer(m) for m in sent.value])
+        rows: list = []
+        for part in slices([pa.record_batch({"text": texts, "which": which})], "text", TOGETHER):
+            some, model = [x or "" for x in part.column("text").to_pylist()], part.column("which").to_pylist()
+            out: list = [None] * len(some)
+            for k, scorer in enumerate(scorers):
+                mine = [i for i, m in enumerate(model) if m == k]
+                for i, f in zip(mine, scorer.features([some[i] for i in mine]), strict=True):
+                    out[i] = f
+            rows += out
         return pa.array(rows, pa.list_(pa.float64()))
 
     return found
@@ -327,16 +330,19 @@ def scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None,
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * rows / n))
     # The training rows are at most about ``rows``, so their texts are kept.
     train = stored(corpus.join(F.broadcast(known), "doc_id").select("toxic", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"), "text"))
-    sent = spark.sparkContext.broadcast(_models(train, corpus))
-    feature = F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")
+    models = _models(train, corpus)
+    sent = spark.sparkContext.broadcast([models.only(0), models.only(1)])
     # The half that a model is fitted on is not the one that it scores for the curve.
-    sample = train.select("toxic", feature("text", "half").alias("f")).collect()
+    sample = train.select("toxic", F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")("text", "half").alias("f")).collect()
+    sent.destroy()
     y = np.array([r["toxic"] for r in sample], float)
     curve = fitted(np.array([r["f"] for r in sample]), y) if 0 < y.sum() < len(y) else None
     out = docs.select("_row", "_text", held_out(F.col("_id")).alias("held_out"))
     if curve is None:
         return out.select("_row.*", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    out = out.withColumn("_f", feature("_text", F.lit(len(HALVES) - 1)))
+    sent = spark.sparkContext.broadcast([models.only(len(HALVES) - 1)])
+    del models, sample
+    out = out.withColumn("_f", F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")("_text", F.lit(0)))
     z = sum((F.get("_f", k) * float(w) for k, w in enumerate(curve[:-1])), F.lit(float(curve[-1])))
     out = out.select("_row", "held_out", (1 / (1 + F.exp(-z))).alias("score"))
     return out.select("_row.*", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
