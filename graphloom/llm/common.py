@@ -19,7 +19,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of whole texts in an Arrow batch, of which the JVM and a Python worker hold some at once (Spark's default is 10,000).
+BATCH_ROWS = 2048
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder.  From now on the session's Arrow batches are of a size for texts, unless the session has its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -121,7 +121,7 @@ def _scan(token: str, sent, size: int):
     return found
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, item_bytes: int = ITEM_BYTES, text: str = "text") -> DataFrame:
     """docs with a column ``found``: n_words, the hit runs of words, their spans in the original text (code points) and the items.
 
     The items make one automaton, which every Python worker builds once, and each text is scanned once; no
@@ -136,7 +136,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, item_bytes: int
     if size_now > item_bytes:
         raise ValueError(f"{size_now} bytes of items; the automaton is built for up to {item_bytes}: raise item_bytes if workers have the memory")
     sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
-    return docs.withColumn("found", F.arrow_udf(_scan(uuid.uuid4().hex, sent, size), FOUND)("text"))
+    return docs.withColumn("found", F.arrow_udf(_scan(uuid.uuid4().hex, sent, size), FOUND)(text))
 
 
 def verdicts(found: DataFrame) -> DataFrame:
@@ -148,8 +148,8 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
-    row = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return verdicts(find(row, items)).filter(~F.col("contaminated")).select("row.*")
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    return verdicts(find(row, items, text="row.text")).filter(~F.col("contaminated")).select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,10 +320,14 @@ def scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None,
     toxic; labels without an id or a value are left out; without toxic and ordinary training rows every score
     is 0.  Columns of docs that are named like the result's are replaced, others stay.
     """
-    spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    docs = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    corpus = docs.select(F.col("_id").alias("doc_id"), F.coalesce("_text", F.lit("")).alias("text")) if corpus is None else corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _scored(docs.select(F.struct(*names).alias("_row")), labels, corpus, rows).select("_row.*", "held_out", "score", "predicted")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None, rows: int = TRAINING_ROWS) -> DataFrame:
+    """scored() of docs(_row), each row a structure, so that a text goes through the plan once."""
+    spark, doc_id, text = docs.sparkSession, F.col("_row.doc_id"), F.col("_row.text")
+    corpus = docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")) if corpus is None else corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     if n > rows:
@@ -337,21 +341,19 @@ def scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None,
     sent.destroy()
     y = np.array([r["toxic"] for r in sample], float)
     curve = fitted(np.array([r["f"] for r in sample]), y) if 0 < y.sum() < len(y) else None
-    out = docs.select("_row", "_text", held_out(F.col("_id")).alias("held_out"))
     if curve is None:
-        return out.select("_row.*", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select("_row", held_out(doc_id).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     sent = spark.sparkContext.broadcast([models.only(len(HALVES) - 1)])
     del models, sample
-    out = out.withColumn("_f", F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")("_text", F.lit(0)))
+    out = docs.select("_row", F.arrow_udf(_features(uuid.uuid4().hex, sent), "array<double>")(text, F.lit(0)).alias("_f"))
     z = sum((F.get("_f", k) * float(w) for k, w in enumerate(curve[:-1])), F.lit(float(curve[-1])))
-    out = out.select("_row", "held_out", (1 / (1 + F.exp(-z))).alias("score"))
-    return out.select("_row.*", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = out.select("_row", held_out(doc_id).alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted to be toxic, with their own columns."""
-    row = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return scored(row, labels).filter("predicted = 0").select("row.*")
+    return _scored(docs.select(F.struct(*docs.columns).alias("_row")), labels, None).filter("predicted = 0").select("_row.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
