@@ -214,19 +214,15 @@ def described(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_summed, "doc_id long, n long, f1 long, f2 long, alive boolean")
 
 
-@tidy
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        hashes = shingle_hashes(batch.column("text").to_pylist())
-        yield pa.record_batch({"rep": batch.column("doc_id"), "tokens": pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary())})
-
-
 #: A representative's token with its count among all, and the size of the representative's set.
 COUNTED = np.dtype([("rep", "<i8"), ("count", "<i4"), ("n", "<i4"), ("token", "<u8")])
 
 
 def _tokens_dealt(buckets: int):
-    """The representatives' tokens by bucket, whole, with their representatives and these sets' sizes."""
+    """The representatives' tokens by bucket, whole, with their representatives and these sets' sizes.
+
+    Straight from the texts: one table function after another would keep two Python workers for each task.
+    """
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +235,9 @@ def _tokens_dealt(buckets: int):
             return pa.record_batch({"bucket": pa.array([b for b, _ in rows], pa.int32()), "rows": pa.array([x for _, x in rows], pa.binary())})
 
         held, reps, size = [], [], 0
-        for batch in batches:
-            for rep, tokens in zip(batch.column("rep").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                held.append(np.frombuffer(tokens, np.uint64))
+        for batch in slices(batches):
+            for rep, tokens in zip(batch.column("doc_id").to_pylist(), shingle_hashes(batch.column("text").to_pylist()), strict=True):
+                held.append(tokens)
                 reps.append(rep)
                 size += len(held[-1])
                 if size > GATHERED // 4:
@@ -429,10 +425,10 @@ def _block_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links a-b that connect all similar sets of rep and tokens (sorted 64-bit hashes)."""
-    parts = workers(sets.sparkSession)
-    shared = sets.mapInArrow(_tokens_dealt(8 * parts), "bucket int, rows binary").repartition(parts, "bucket")
+def links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links a-b that connect all documents (doc_id, text), one for each set, whose sets are similar."""
+    parts = workers(docs.sparkSession)
+    shared = docs.mapInArrow(_tokens_dealt(8 * parts), "bucket int, rows binary").repartition(parts, "bucket")
     shared = shared.mapInArrow(_frequent(parts), "bucket int, rows binary").repartition(parts, "bucket")
     sets = stored(shared.mapInArrow(_prefixes, "rep long, n long, prefix array<long>, tokens binary"))
     prefix = sets.select("rep", F.explode("prefix").alias("token"))
@@ -467,7 +463,7 @@ def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     classes = stored(classes)
     # The texts are dealt by a join of the same kind at every size.
     sets = texts(docs).join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    label = components(links(sets.mapInArrow(_sets, "rep long, tokens binary"), block))
+    label = components(links(sets, block))
     found = classes.join(label, classes["rep"] == label["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("found"))
     out = info.join(found, ["f1", "f2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("alive"), F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
