@@ -428,7 +428,7 @@ def _block_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links a-b that connect all documents (doc_id, text), one for each set, whose sets are similar."""
     parts = workers(docs.sparkSession)
-    shared = docs.mapInArrow(_tokens_dealt(8 * parts), "bucket int, rows binary").repartition(parts, "bucket")
+    shared = docs.mapInArrow(_tokens_dealt(2 * parts), "bucket int, rows binary").repartition(parts, "bucket")
     shared = shared.mapInArrow(_frequent(parts), "bucket int, rows binary").repartition(parts, "bucket")
     sets = stored(shared.mapInArrow(_prefixes, "rep long, n long, prefix array<long>, tokens binary"))
     prefix = sets.select("rep", F.explode("prefix").alias("token"))
