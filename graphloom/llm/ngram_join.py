@@ -7,11 +7,13 @@
    order, rarest first; of the prefix that a partner must meet (``n - ceil(3n/4) + 1`` shingles), those
    that occur twice join the documents to blocks (connected components of shared prefix shingles).
 3. In a block the sets are stored in a prefix tree, their shingles in the global order, the most frequent first;
-   shingles that no other set has count for a set's size but are on no path.  Each set is joined with the tree of
-   the earlier ones: paths share their overlap, and a subtree is left as soon as the remaining lengths can't
-   reach the similarity, or when all its sets are linked with this one already.
-   The sets of a block beyond ``BLOCK`` go to a tree for each of their shared prefix shingles instead, and
-   those of a shingle that still has more than ``BLOCK`` to pairs of parts, each pair a task.
+   shingles that no other set has count for a set's size but are on no path.  All sets are joined with the tree
+   of the earlier ones at once, node by node: paths share their overlap, and a set leaves a subtree as soon as the
+   remaining lengths can't reach the similarity, or when all the subtree's sets are linked with it already.
+   The sets of a block beyond ``BLOCK`` go to a tree for each of the hubs of their shared prefix shingles instead
+   (a shingle's hub is its least document, so that near copies meet in one tree and not in one for each shingle), or
+   for each shingle where that compares fewer pairs; those of a tree that still has more than ``BLOCK`` go to pairs
+   of parts, each pair a task.
 4. Links make components; all documents with the same set share their representative's.
 
 Counting in steps 1 and 2 combines within each task first: a hash that two documents of a task have
@@ -311,112 +313,129 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-class _Node:
-    __slots__ = ("children", "deep", "least", "mixed", "most", "segment", "sets", "some")
-
-    def __init__(self, segment: np.ndarray, size: int, deep: int, member: int):
-        self.segment, self.children, self.sets = segment, {}, {}
-        self.least = self.most = size
-        #: The longest path through this node, from the root.
-        self.deep = deep
-        self.some, self.mixed = member, False
+def _words(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of ascending columns as 64-bit words: where a word's columns begin, its number, and the word."""
+    first = np.flatnonzero(np.diff(columns >> 6, prepend=-1))
+    return first, columns[first] >> 6, np.bitwise_or.reduceat(np.uint64(1) << (columns & 63).astype(np.uint64), first)
+
+
+class Overlaps:
+    """How many of some ranks each set has: from bits for ranks that many sets have, from lists of sets for the others."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        flat, who = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        count = np.bincount(flat, minlength=width)
+        # A rank's bits take no more than eight bytes for each set that has it.
+        many = 64 * count >= len(rows)
+        self.sets, self.width = len(rows), width
+        self.column = np.where(many, np.cumsum(many) - 1, -1)
+        length = -(-int(many.sum()) // 64)
+        self.bits = np.zeros((length, len(rows)), np.uint64)
+        common = many[flat]
+        if common.any():
+            first, word, bits = _words(who[common] * 64 * length + self.column[flat[common]])
+            self.bits[word % length, who[common][first]] = bits
+        order = np.argsort(flat[~common], kind="stable")
+        self.have, self.at = who[~common][order], np.concatenate(([0], np.cumsum(np.where(many, 0, count))))
+        self.keys, self.ends = who * width + flat, np.cumsum([len(r) for r in rows])
+
+    def of(self, ranks: np.ndarray, who: np.ndarray) -> np.ndarray:
+        column = self.column[ranks]
+        total = np.zeros(len(who), np.int64)
+        if (common := column[column >= 0]).size:
+            _, word, bits = _words(common)
+            total += np.bitwise_count(self.bits[np.ix_(word, who)] & bits[:, None]).sum(0, dtype=np.int64)
+        if (rare := ranks[column < 0]).size:
+            have = np.concatenate([self.have[self.at[r] : self.at[r + 1]] for r in rare])
+            total += np.bincount(have, minlength=self.sets)[who]
+        return total
+
+    def after(self, rank: int, who: np.ndarray) -> np.ndarray:
+        """How many ranks beyond this one each set has."""
+        return self.ends[who] - np.searchsorted(self.keys, who * self.width + rank, "right")
 
 
 class PrefixTree:
-    """Sets as ascending arrays of ranks, and their sizes with what no other set has; add() links a set with earlier similar ones and stores it."""
-
-    def __init__(self, ranks: int):
-        self.root = _Node(np.zeros(0, np.int32), 0, 0, -1)
-        self.has = np.zeros(ranks, bool)
-        self.group: list[int] = []
-
-    def find(self, x: int) -> int:
-        while self.group[x] != x:
-            self.group[x] = self.group[self.group[x]]
-            x = self.group[x]
-        return x
-
-    def link(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        self.group[max(x, y)] = min(x, y)
-
-    def add(self, ranks: np.ndarray, size: int, store: bool = True, join: bool = True) -> int:
-        me = len(self.group)
-        self.group.append(me)
-        if join:
-            self.has[ranks] = True
-            self._join(me, ranks, size)
-            self.has[ranks] = False
-        if store:
-            self._store(me, ranks, size)
-        return me
-
-    def _join(self, me: int, ranks: np.ndarray, n: int) -> None:
-        stack = [(c, 0, 0) for c in self.root.children.values()]
+    """Some of the sets (ascending arrays of ranks) in the order of their paths: a node is a run of them with a common start."""
+
+    #: Sets of a subtree from which it pays to count what is left of the sets that are joined with it.
+    COUNTED = 8
+
+    def __init__(self, rows: list[np.ndarray], stored: list[int]):
+        path = {k: rows[k].astype(">u4").tobytes() for k in stored}
+        self.rows, self.sets = rows, np.array(sorted(stored, key=path.__getitem__), np.int64)
+        self.length = np.array([len(rows[k]) for k in self.sets], np.int64)
+        #: The length of the start that a set shares with the one before.
+        self.common = np.zeros(len(stored), np.int64)
+        for p in range(1, len(stored)):
+            k = min(self.length[p - 1], self.length[p])
+            differ = rows[self.sets[p - 1]][:k] != rows[self.sets[p]][:k]
+            self.common[p] = differ.argmax() if differ.any() else k
+
+    def groups(self, size: np.ndarray, joined: np.ndarray, width: int) -> np.ndarray:
+        """Of every set the number of one that links lead to; the sets ``joined`` (ascending) are joined with those of lesser numbers.
+
+        ``size`` counts what no other set has as well.
+        """
+        tokens, group = Overlaps(self.rows, width), np.arange(len(self.rows))
+        stack = [(0, len(self.sets), 0, joined, np.zeros(len(joined), np.int64))]
         while stack:
-            node, overlap, depth = stack.pop()
-            if not node.mixed and self.find(node.some) == self.find(me):
-                continue
-            if 100 * min(n, node.most) < SIMILAR * max(n, node.least):
-                continue
-            segment = node.segment
-            overlap += int(np.count_nonzero(self.has[segment]))
-            depth += len(segment)
-            left = len(ranks) - int(np.searchsorted(ranks, segment[-1], "right"))
-            reach = overlap + min(left, node.deep - depth)
-            if 100 * reach < SIMILAR * (n + max(depth, node.least) - reach):
+            low, high, start, who, overlap = stack.pop()
+            sets = self.sets[low:high]
+            least, most = size[sets].min(), size[sets].max()
+            n = size[who]
+            keep = (who > sets.min()) & (100 * np.minimum(n, most) >= SIMILAR * np.maximum(n, least))
+            if (group[sets] == group[sets[0]]).all():
+                keep &= group[who] != group[sets[0]]
+            who, overlap, n = who[keep], overlap[keep], n[keep]
+            if not len(who):
                 continue
-            for size, members in node.sets.items():
-                if 100 * overlap >= SIMILAR * (n + size - overlap):
-                    for other in members:
-                        self.link(me, other)
-            stack += [(c, overlap, depth) for c in node.children.values()]
-
-    def _store(self, me: int, ranks: np.ndarray, n: int) -> None:
-        node, at, end = self.root, 0, len(ranks)
-        while at < end:
-            child = node.children.get(ranks[at])
-            if child is None:
-                child = _Node(ranks[at:], n, end, me)
-                child.sets[n] = [me]
-                node.children[ranks[at]] = child
-                return
-            segment = child.segment
-            k = min(len(segment), end - at)
-            differ = np.flatnonzero(segment[:k] != ranks[at : at + k])
-            k = int(differ[0]) if len(differ) else k
-            if k < len(segment):  # the edge is cut where the two sets part
-                upper = _Node(segment[:k], child.least, child.deep, child.some)
-                upper.most, upper.mixed = child.most, child.mixed
-                child.segment = segment[k:]
-                upper.children[segment[k]] = child
-                node.children[ranks[at]] = upper
-                child = upper
-            child.least, child.most, child.deep = min(child.least, n), max(child.most, n), max(child.deep, end)
-            child.mixed = child.mixed or self.find(child.some) != self.find(me)
-            node, at = child, at + k
-        members = node.sets.setdefault(n, [])
-        # Of sets of one node and size that are similar to each other, one stands for all: they are linked already.
-        if not members or 100 * end < SIMILAR * (2 * n - end):
-            members.append(me)
+            end = int(self.length[low] if high - low == 1 else self.common[low + 1 : high].min())
+            if end > start:
+                segment = self.rows[sets[0]][start:end]
+                overlap = overlap + tokens.of(segment, who)
+                left = int(self.length[low:high].max()) - end
+                if high - low >= self.COUNTED:
+                    left = np.minimum(left, tokens.after(int(segment[-1]), who))
+                reach = overlap + left
+                keep = 100 * reach >= SIMILAR * (n + max(end, least) - reach)
+                who, overlap, n = who[keep], overlap[keep], n[keep]
+                if not len(who):
+                    continue
+            at = low
+            while at < high and self.length[at] == end:
+                me = self.sets[at]
+                found = who[(who > me) & (100 * overlap >= SIMILAR * (n + size[me] - overlap))]
+                for other in np.unique(group[found]):
+                    if other != group[me]:
+                        group[group == other] = group[me]
+                at += 1
+            if at < high:
+                cuts = [at, *(at + 1 + np.flatnonzero(self.common[at + 1 : high] == end)).tolist(), high]
+                stack += [(i, j, end, who, overlap) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return group
 
 
 def joined(reps: list[int], sizes: list[int], sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (set, another) that connect all similar sets, given as arrays of TOKEN; with sides, only links from side 1 to side 0 are looked for."""
     if len(reps) < 2:
         return []
-    flat = np.concatenate(sets)
-    # The counts are global, so that this is the global order as far as the block has it.
-    values, first, back = np.unique(flat["token"], return_index=True, return_inverse=True)
-    rank = np.empty(len(values), np.int32)
-    rank[np.lexsort((values, -flat["count"][first].astype(np.int64)))] = np.arange(len(values), dtype=np.int32)
-    rows = np.split(rank[back], np.cumsum([len(s) for s in sets])[:-1])
     order = sorted(range(len(reps)), key=lambda k: (sides[k] if sides else 0, sizes[k], reps[k]))
-    tree = PrefixTree(len(values))
-    for k in order:
-        side = sides[k] if sides else None
-        tree.add(np.sort(rows[k]), sizes[k], store=side != 1, join=side != 0)
-    return [(reps[order[k]], reps[order[tree.find(k)]]) for k in range(len(order)) if tree.find(k) != k]
+    flat = np.concatenate([sets[k] for k in order])
+    # The counts are global, so that this is the global order as far as the block has it.
+    values, first, back, count = np.unique(flat["token"], return_index=True, return_inverse=True, return_counts=True)
+    # What only one set of these has is on no path.
+    count = np.where(count > 1, -flat["count"][first].astype(np.int64), 1)
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((values, count))] = np.arange(len(values))
+    width = int((count < 1).sum())
+    rows = [np.sort(r[r < width]) for r in np.split(rank[back], np.cumsum([len(sets[k]) for k in order])[:-1])]
+    split = sum(s == 0 for s in sides) if sides else 0
+    if sides and not 0 < split < len(order):
+        return []
+    tree = PrefixTree(rows, list(range(split or len(order))))
+    group = tree.groups(np.array([sizes[k] for k in order], np.int64), np.arange(split, len(order)), width)
+    return [(reps[order[k]], reps[order[g]]) for k, g in enumerate(group.tolist()) if g != k]
 
 
 def _block_links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -439,14 +458,16 @@ def links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = sets.join(label, sets["rep"] == label["node"])
     row = ["rep", "n", "tokens"]
     whole = rows.filter(F.col("count") <= block).select(F.lit(0).alias("kind"), F.col("component").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), *row)
-    # A set of a larger block meets its partners at a prefix token that both have.
-    most = salted(rows.filter(F.col("count") > block).select(*row, F.explode("prefix").alias("token")), "token", "rep", hub.select("token", "c"))
-    token = most.filter(F.col("c") <= block).select(F.lit(1).alias("kind"), F.col("token").alias("key"), F.lit(0), F.lit(0), F.lit(0), *row)
-    # Every pair of parts of a token that has still more is a task; the part with itself included.
-    parts_ = F.ceil(F.col("c") / max(block // 2, 1)).cast("int")
-    pairs = most.filter(F.col("c") > block).withColumn("part", F.pmod(F.xxhash64("rep"), parts_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts_ - 1)))
-    pairs = pairs.select(F.lit(2).alias("kind"), F.col("token").alias("key"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), *row)
-    return whole.union(token).union(pairs).groupBy("kind", "key", "i", "j").applyInPandas(_block_links, "a long, b long")
+    # A set of a larger block meets its partners at a hub of a prefix token that both have, or at the token itself.
+    near = stored(salted(rows.filter(F.col("count") > block).select("rep", F.explode("prefix").alias("token")), "token", "rep", hub))
+    sums = near.groupBy("b").agg(F.countDistinct("rep").alias("m"), F.sum("c").alias("pairs"))
+    by_token = F.col("m") * F.col("m") > F.col("pairs")  # a token's c rows have its c each
+    met = salted(near, "b", "rep", sums).select("rep", F.when(by_token, 1).otherwise(2).alias("kind"), F.when(by_token, F.col("token")).otherwise(F.col("b")).alias("key"), F.when(by_token, F.col("c")).otherwise(F.col("m")).alias("most")).distinct()
+    # Every pair of parts of what still has more is a task; the part with itself included.
+    parts_ = F.when(F.col("most") > block, F.ceil(F.col("most") / max(block // 2, 1))).otherwise(1).cast("int")
+    pairs = met.withColumn("part", F.pmod(F.xxhash64("rep"), parts_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts_ - 1)))
+    pairs = pairs.join(sets.select(*row), "rep").select("kind", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), *row)
+    return whole.union(pairs).groupBy("kind", "key", "i", "j").applyInPandas(_block_links, "a long, b long")
 
 
 def grouped(docs: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -171,6 +171,44 @@ def test_prefix_tree_against_pairs():
         assert classes(links) == classes(want)
 
 
+def test_near_copies_beyond_a_block_meet_once_for_each_pair_of_parts(spark, monkeypatch):
+    """Trees of a large block are dealt by hub: copies that share many prefix shingles aren't joined again for each of those."""
+    words = [f"w{k}" for k in range(120)]
+    rows = [(d, " ".join([*words[: 3 * d], f"x{d}", *words[3 * d + 1 :]])) for d in range(40)]
+    rows += [(100 + d, " ".join([*words[: 2 * d], *(f"y{d}" for _ in range(9)), *words[2 * d + 30 :]])) for d in range(12)]
+    same(table(ngram_join.grouped(docs(spark, rows), block=8), "doc_id", "n_shingles", "component_id"), brute.ngram_join(rows))
+    monkeypatch.setattr(ngram_join, "_block_links", lambda key, rows: rows.head(1).assign(a=len(rows), b=0)[["a", "b"]])
+    read = sum(r["a"] for r in ngram_join.links(docs(spark, rows), 8).collect())
+    parts = -(-len(rows) // 4)
+    assert 0 < read <= 2 * parts * len(rows)
+
+
+def test_prefix_tree_of_many_sets_with_sides():
+    """More sets than an Overlaps' word has bits, with frequent and rare tokens; links from one side to the other only."""
+    r = np.random.default_rng(5)
+    sets = []
+    for k in range(300):
+        # Common tokens, of which a few are left out, and rare ones that two or three sets have.
+        token = np.unique(np.concatenate((r.permutation(60)[: r.integers(35, 60)], 100 + r.integers(0, 400, r.integers(0, 6)))).astype(np.uint64))
+        one = np.zeros(len(token), ngram_join.TOKEN)
+        one["token"], one["count"] = token, np.where(token < 100, 200, 2)
+        sets.append(one)
+    sizes, sides = [len(s) + k % 3 for k, s in enumerate(sets)], [k % 2 for k in range(300)]
+    common = lambda a, b: len(np.intersect1d(sets[a]["token"], sets[b]["token"]))
+    similar = [(a, b) for a in range(300) for b in range(a) if 100 * common(a, b) >= 75 * (sizes[a] + sizes[b] - common(a, b))]
+
+    def classes(pairs):
+        at = np.arange(300)
+        for a, b in pairs:
+            if at[a] != at[b]:
+                at[at == max(at[a], at[b])] = min(at[a], at[b])
+        return at.tolist()
+
+    for side, want in ((None, similar), (sides, [(a, b) for a, b in similar if sides[a] != sides[b]])):
+        assert 1 < len(set(classes(want))) < 300
+        assert classes(ngram_join.joined(list(range(300)), sizes, sets, side)) == classes(want)
+
+
 def test_decontaminate(spark):
     items = [(1, PASSAGES[1]), (2, PASSAGES[5] + " more words"), (10, "one"), (11, None), (12, ""), (2, PASSAGES[5] + " more words")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
