@@ -56,10 +56,10 @@ def list_nodes(nodes: DataFrame, kind: str = "", path_prefix: str = "", repo: st
 
 
 def list_edges(edges: DataFrame, type_: str = "", repo: str = "", run: str = "", limit: int = 0) -> DataFrame:
-    """An unknown type has no edges."""
+    """An unknown type has no edges.  Where edges share an ``ord``, a limit takes them by src, type and dst, an edge's key."""
     for column, value in (("type", type_), ("repo", repo), ("run", run)):
         edges = edges.filter(F.col(column) == value) if value else edges
-    return edges.orderBy("ord").limit(limit) if limit > 0 else edges
+    return edges.orderBy("ord", "src", "type", "dst").limit(limit) if limit > 0 else edges
 
 
 def get_node(nodes: DataFrame, id_: str | Column) -> DataFrame:

@@ -318,6 +318,15 @@ def _scans(df, name: str) -> int:
     return len(re.findall(rf"FileScan parquet [^\n]*/{name}[,\]]", plan))
 
 
+def test_listed_edges_of_one_place_are_taken_by_their_key(spark):
+    """A limit among edges that share an ord gives the same edges whatever the order of the rows."""
+    rows = [(f"s{k % 3}", "CALLS", f"d{k}", 7 + k // 6) for k in range(12)]
+    want = [r[:3] for r in sorted(rows, key=lambda r: (r[3], *r[:3]))[:4]]
+    for turned in (rows, rows[::-1]):
+        edges = spark.createDataFrame(turned, "src string, type string, dst string, ord long")
+        assert [tuple(r)[:3] for r in graph.list_edges(edges, "CALLS", limit=4).collect()] == want
+
+
 def test_retrieval_reads_each_table_once(spark, tmp_path, server):
     """A query's candidates are found once; later steps join the big tables with them, each table once."""
     kind = ["Function"] * 6
